@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidemark.llm import dac, warc
+from tidemark.llm import dac, pieces, quality, warc
 from tidemark.llm.catalogue import read, register
 
 
@@ -15,6 +15,24 @@ def op2_token_files(spark, sf_dir):
     return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@register("op4_sentencepiece")
+def op4_sentencepiece(spark, sf_dir):
+    rows = pieces.encode_decode(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return rows.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+@register("op7_quality")
+def op7_quality(spark, sf_dir):
+    documents = read(spark, sf_dir, "documents")
+    rows = quality.judge(documents, quality.train(documents, read(spark, sf_dir, "labels")))
+    return rows.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality"
+    )
+
+
 @register(
     "op9_warc",
     """
