@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidemark.llm import dac, pieces, quality, warc
+from tidemark.llm import dac, minhash, pieces, quality, warc
 from tidemark.llm.catalogue import read, register
 
 
@@ -24,6 +24,11 @@ def op4_sentencepiece(spark, sf_dir):
     )
 
 
+@register("op6_minhash")
+def op6_minhash(spark, sf_dir):
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 @register("op7_quality")
 def op7_quality(spark, sf_dir):
     documents = read(spark, sf_dir, "documents")
