@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidemark.llm import dac, minhash, pieces, quality, warc
+from tidemark.llm import chat, dac, licenses, minhash, pieces, quality, warc
 from tidemark.llm.catalogue import read, register
 
 
@@ -15,6 +15,11 @@ def op2_token_files(spark, sf_dir):
     return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@register("op3_licenses", licenses.oracle())
+def op3_licenses(spark, sf_dir):
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
 @register("op4_sentencepiece")
 def op4_sentencepiece(spark, sf_dir):
     rows = pieces.encode_decode(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -24,6 +29,11 @@ def op4_sentencepiece(spark, sf_dir):
     )
 
 
+@register("op5_chat", chat.ORACLE)
+def op5_chat(spark, sf_dir):
+    return chat.rotate(read(spark, sf_dir, "conversations"))
+
+
 @register("op6_minhash")
 def op6_minhash(spark, sf_dir):
     return minhash.near_duplicates(read(spark, sf_dir, "documents"))
