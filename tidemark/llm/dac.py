@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,9 @@ BLOCK = 512
 #: Tokens after which a writer closes its file and starts another.
 ROLL_TOKENS = 8 << 20
 #: Words a worker remembers the ids of.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
+#: ASCII marks that may close a word.
+MARKS = b".,;:!?|*#$%&()[]{}<>-+=/\"_~@^`"
 NULL_ID = -(1 << 63)
 
 
@@ -109,36 +112,67 @@ class DacFile:
         return np.append(self.firsts[1:], self.n_tokens)
 
 
+class Remembered(dict):
+    """Ids by word; `spare` has those of the current batch that there is no more room for."""
+
+    spare: dict = {}
+
+    def __missing__(self, word):
+        return self.spare[word]
+
+
 class WordEncoder:
     """Ids of whole texts by the tokenizers library, each distinct word encoded once.
 
-    The vocabulary's normaliser and pre-tokeniser never join across ASCII white space, so a text's ids are its
-    words' ids in order. A text in which a special token could appear goes to the library whole.
+    The vocabulary lower-cases, and its normaliser and pre-tokeniser never join across ASCII white space nor
+    between a Latin letter and ASCII marks other than the apostrophe. So a text's ids are those of its lower-cased
+    words in order, and a word's those of its stem and its closing marks. A text in which a special token could
+    appear goes to the library whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-        self.special = tuple(t.content.encode() for t in self.library.get_added_tokens_decoder().values())
+        self.known = Remembered()
+        self.special = tuple(t.content.encode().lower() for t in self.library.get_added_tokens_decoder().values())
+        if self.library.normalizer is None or self.library.normalizer.normalize_str("A") != "a":
+            raise ValueError("only vocabularies that lower-case")
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        known, cut, new = self.known, {}, {}
+        for word in words:
+            stem = word.rstrip(MARKS)
+            if stem and len(stem) < len(word) and (last := stem.decode()[-1]).isalpha() and last < "\u0250":
+                cut[word] = stem, word[len(stem) :]
+                for part in cut[word]:
+                    if part not in known:
+                        new[part] = b""
+            else:
+                new[word] = b""
+        parts = list(new)
+        new.update(zip(parts, self._library([p.decode() for p in parts]), strict=True))
+        known.spare = new
+        new.update([(word, known[stem] + known[marks]) for word, (stem, marks) in cut.items()])
+        return new
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        raw = [(t or "").encode() for t in texts]
-        whole = {i: t for i, t in enumerate(raw) if any(s in t for s in self.special)}
-        split = [[] if i in whole else t.split() for i, t in enumerate(raw)]
-        new = list({w for words in split for w in words if w not in self.known})
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known = {}
-            new = list({w for words in split for w in words})
-        self.known.update(zip(new, self._library([w.decode() for w in new]), strict=True))
-        get = self.known.__getitem__
+        raw = [(t or "").encode().lower() for t in texts]
+        whole = [i for i, t in enumerate(raw) if any(s in t for s in self.special)]
+        split = [t.split() for t in raw]
+        for i in whole:
+            split[i] = []
+        known = self.known
+        new = self._learn({w for words in split for w in words if w not in known})
+        if len(known) + len(new) <= CACHE_WORDS:
+            known.update(new)
+        get = known.__getitem__
         out = [b"".join(map(get, words)) for words in split]
-        for i, ids in zip(whole, self._library([t.decode() for t in whole.values()]), strict=True):
+        for i, ids in zip(whole, self._library([texts[i] for i in whole]), strict=True):
             out[i] = ids
         return out
 
@@ -174,8 +208,8 @@ def write_tokens(documents: DataFrame, folder: str, vocabulary: str, end_id: int
 
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 2000):
+                some = batch.slice(at, 2000)
                 for key, one in zip(some.column(0).to_pylist(), encoder(vocabulary).encode(some.column(1).to_pylist()), strict=True):
                     ids += (one, end)
                     keys.append(NULL_ID if key is None else key)
