@@ -5,10 +5,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, dac, licenses, minhash, pieces, quality, warc
+from tidemark.llm import chat, dac, decontam, licenses, minhash, pieces, quality, warc
 from tidemark.llm.catalogue import read, register
 
 
+@register("op1_decontamination")
+def op1_decontamination(spark, sf_dir):
+    return decontam.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 @register("op2_token_files")
 def op2_token_files(spark, sf_dir):
     rows = dac.tokenize(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
