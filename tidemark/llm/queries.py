@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, dac, decontam, licenses, minhash, pieces, quality, warc
+from tidemark.llm import chat, dac, decontam, licenses, lines, minhash, pieces, quality, warc
 from tidemark.llm.catalogue import read, register
 
 
@@ -53,6 +53,12 @@ def op7_quality(spark, sf_dir):
     )
 
 
+@register("op8_lines")
+def op8_lines(spark, sf_dir):
+    rows = lines.dedup_lines(read(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 @register(
     "op9_warc",
     """
