@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, dac, decontam, licenses, lines, minhash, pieces, quality, warc
+from tidemark.llm import chat, dac, decontam, licenses, lines, minhash, pieces, quality, repeats, warc
 from tidemark.llm.catalogue import read, register
 
 
@@ -74,3 +74,9 @@ def op8_lines(spark, sf_dir):
 def op9_warc(spark, sf_dir):
     rows = warc.archive(read(spark, sf_dir, "pages"))
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@register("op10_repeats")
+def op10_repeats(spark, sf_dir):
+    rows = repeats.remove_repeats(read(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
