@@ -1,12 +1,23 @@
-"""Hourly grids: bucketing, densifying and rolling statistics on them."""
+"""Hourly grids: bucketing, densifying, rolling statistics, gaps, runs and suppressed onsets."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.joins import seconds
+from tidemark.session import ship_package
+
+
+def data_window(readings: DataFrame, ts: str) -> DataFrame:
+    """One row: the first full hour, and the end of the last."""
+    return readings.agg(F.date_trunc("hour", F.min(ts)).alias("data_start"), (F.date_trunc("hour", F.max(ts)) + F.expr("INTERVAL 1 HOUR")).alias("data_end"))
+
 
 def hourly_buckets(readings: DataFrame, key: str, ts: str, values: Sequence[str]) -> DataFrame:
     """Per entity and hour: number of readings, and mean, exact median, min and max of each value."""
@@ -16,3 +27,105 @@ def hourly_buckets(readings: DataFrame, key: str, ts: str, values: Sequence[str]
         for name, stat in (("mean", F.avg), ("median", F.median), ("min", F.min), ("max", F.max))
     ]
     return readings.groupBy(key, F.date_trunc("hour", ts).alias("bucket")).agg(F.count("*").alias("n_readings"), *stats)
+
+
+def prediction_grid(stays: DataFrame, key: str, start: str, end: str, as_of: datetime, data_start: datetime) -> DataFrame:
+    """Hours at which each stay is predicted: from the first full hour after its start (or the data's), to before its
+    end (or `as_of`). Stays without such an hour have no rows."""
+    first = F.date_trunc("hour", F.greatest(F.col(start).cast("timestamp"), F.lit(data_start))) + F.expr("INTERVAL 1 HOUR")
+    stop = F.least(F.coalesce(F.col(end).cast("timestamp"), F.lit(as_of)), F.lit(as_of))
+    hours = F.when(first < stop, F.sequence(first, stop - F.expr("INTERVAL 1 MICROSECOND"), F.expr("INTERVAL 1 HOUR")))
+    return stays.withColumn("prediction_ts", F.explode(hours))
+
+
+def densify(buckets: DataFrame, key: str, bucket: str) -> DataFrame:
+    """Every hour from an entity's first bucket to its last; hours without readings have nulls."""
+    ends = buckets.groupBy(key).agg(F.min(bucket).alias("lo"), F.max(bucket).alias("hi"))
+    grid = ends.select(key, F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 HOUR"))).alias(bucket))
+    return grid.join(buckets, [key, bucket], "left")
+
+
+def rolling_features(buckets: DataFrame, key: str, bucket: str, value: str, expected_per_hour: int = 12) -> DataFrame:
+    """Per bucket hour: means over 1, 3 and 6 hours weighted by readings, the trend over two hours, readings missing.
+
+    Frames are ranges of time, so absent hours need no rows. An hour whose value is null still adds its readings to
+    the weights.
+    """
+    second = seconds(bucket).cast("long")
+    by_time = Window.partitionBy(key).orderBy(second)
+    total, weight = F.coalesce(F.col(f"{value}_mean") * F.col("n_readings"), F.lit(0.0)), F.col("n_readings")
+    out = {f"{value}_mean_1h": F.col(f"{value}_mean")}
+    for hours in (3, 6):
+        frame = by_time.rangeBetween(-(hours - 1) * 3600, 0)
+        out[f"{value}_mean_{hours}h"] = F.try_divide(F.sum(total).over(frame), F.sum(weight).over(frame))
+    ago = F.max(F.col(f"{value}_mean")).over(by_time.rangeBetween(-2 * 3600, -2 * 3600))
+    out[f"{value}_trend_3h"] = F.col(f"{value}_mean") - ago
+    six = F.sum(weight).over(by_time.rangeBetween(-5 * 3600, 0))
+    out["missing_1h"] = F.greatest(F.lit(expected_per_hour) - weight, F.lit(0)).cast("long")
+    out["missing_6h"] = F.greatest(F.lit(6 * expected_per_hour) - six, F.lit(0)).cast("long")
+    return buckets.withColumns(out)
+
+
+def gaps(readings: DataFrame, key: str, ts: str, minutes: int) -> DataFrame:
+    """Adds `outage`: whether at least `minutes` passed since the entity's reading before. The first has none."""
+    before = F.lag(ts).over(Window.partitionBy(key).orderBy(ts))
+    return readings.withColumn("outage", F.coalesce(seconds(ts) - seconds(before) >= minutes * 60, F.lit(False)))
+
+
+def equal_runs(readings: DataFrame, key: str, ts: str, value: str, least: int) -> DataFrame:
+    """Adds `stuck`: whether the reading is in a run of at least `least` equal successive values. Nulls break runs."""
+    by_time = Window.partitionBy(key).orderBy(ts)
+    same = F.coalesce(F.lag(value).over(by_time) == F.col(value), F.lit(False))
+    rows = readings.withColumn("_run", F.sum((~same).cast("long")).over(by_time.rowsBetween(Window.unboundedPreceding, 0)))
+    length = F.count("*").over(Window.partitionBy(key, "_run"))
+    return rows.withColumn("stuck", (length >= least) & F.col(value).isNotNull()).drop("_run")
+
+
+def islands(rows: DataFrame, key: str, ts: str, step_seconds: int) -> DataFrame:
+    """Adds `island`, a number within the entity that grows where more than a step lies between rows."""
+    by_time = Window.partitionBy(key).orderBy(ts)
+    apart = F.coalesce(seconds(ts) - seconds(F.lag(ts).over(by_time)) > step_seconds, F.lit(True))
+    return rows.withColumn("island", F.sum(apart.cast("long")).over(by_time.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def entries(rows: DataFrame, key: str, ts: str, high: str, step_seconds: int = 3600) -> DataFrame:
+    """Rows that are high while the row one step before is absent or not high."""
+    by_time = Window.partitionBy(key).orderBy(ts)
+    joined_on = (seconds(ts) - seconds(F.lag(ts).over(by_time)) == step_seconds) & F.lag(high).over(by_time)
+    return rows.withColumn("_on", F.coalesce(joined_on, F.lit(False))).where(F.col(high) & ~F.col("_on")).drop("_on")
+
+
+def suppressed(rows: DataFrame, key: str, ts: str, hours: float, tie: str | None = None) -> DataFrame:
+    """Rows that fire: those at least `hours` after the last row of the key that fired, greedily from the first.
+
+    Sequential by nature. The sorted rows stream through each task with one time per key in memory, so a long history
+    is never collected.
+    """
+    ship_package(rows.sparkSession)
+    names = rows.columns
+    k, t = names.index(key), names.index(ts)
+    width = timedelta(hours=hours)
+
+    def run(batches):
+        last_key, fired = object(), None
+        for batch in batches:
+            keys, times = batch.column(k).to_pylist(), batch.column(t).to_pylist()
+            keep = np.zeros(batch.num_rows, bool)
+            for i, (a, b) in enumerate(zip(keys, times, strict=True)):
+                if a != last_key:
+                    last_key, fired = a, None
+                if fired is None or b - fired >= width:
+                    keep[i], fired = True, b
+            yield batch.filter(pa.array(keep))
+
+    order = [key, ts, *([tie] if tie else [])]
+    return rows.repartition(key).sortWithinPartitions(*order).mapInArrow(run, rows.schema)
+
+
+def split_by_day(intervals: DataFrame, start: str, end: str) -> DataFrame:
+    """A row for each day that an interval touches, with the minutes of it on that day; the end is exclusive."""
+    last = F.date_trunc("day", F.col(end) - F.expr("INTERVAL 1 MICROSECOND"))
+    days = F.when(F.col(end) > F.col(start), F.sequence(F.date_trunc("day", start), last, F.expr("INTERVAL 1 DAY")))
+    rows = intervals.withColumn("day", F.explode(days))
+    overlap = F.least(seconds(end), seconds("day") + 86400) - F.greatest(seconds(start), seconds("day"))
+    return rows.withColumn("minutes", overlap / 60)
