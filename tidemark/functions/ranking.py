@@ -38,3 +38,20 @@ def top_k_per_key(rows: DataFrame, key: str, order: Sequence[Column], k: int, al
 def hashed_sample(rows: DataFrame, key: str, seed: int, n: int) -> DataFrame:
     """n rows, the same at each run: those whose keys hash lowest."""
     return rows.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+
+
+def running_sum(rows: DataFrame, order: Sequence[Column], by: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Adds cum_<column>: the sum up to and including each row, within the `by` columns, in the given order.
+
+    Like `dense_number`: no task sees more than its own range of rows, whatever the size of a group. The order must
+    tell rows of a group apart.
+    """
+    keys = [F.col(b) for b in by]
+    dealt = rows.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id())
+    within = Window.partitionBy("_part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    dealt = dealt.withColumns({f"_own_{c}": F.sum(c).over(within) for c in columns})
+    sizes = dealt.groupBy("_part", *by).agg(*[F.sum(c).alias(f"_sum_{c}") for c in columns])
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_part", *by, *[F.coalesce(F.sum(f"_sum_{c}").over(before), F.lit(0)).alias(f"_before_{c}") for c in columns])
+    joined = dealt.join(sizes, ["_part", *by]).withColumns({f"cum_{c}": F.col(f"_before_{c}") + F.col(f"_own_{c}") for c in columns})
+    return joined.drop("_part", *[f"_{k}_{c}" for k in ("own", "before") for c in columns])

@@ -20,4 +20,4 @@ def register(name: str, sql: str | None = None):
     return enter
 
 
-from tidemark.plans import records, timeline  # noqa: E402, F401
+from tidemark.plans import records, signals, timeline  # noqa: E402, F401
