@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,17 +23,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm import storage
+from tidemark.llm import arrays, storage
 from tidemark.session import checkpointed, shared_dir, ship_package
 
 MAGIC = b"TMDAC1\0\0"
 BLOCK = 512
 #: Tokens after which a writer closes its file and starts another.
-ROLL_TOKENS = 8 << 20
-#: Words a worker remembers the ids of.
-CACHE_WORDS = 600_000
-#: ASCII marks that may close a word.
-MARKS = b".,;:!?|*#$%&()[]{}<>-+=/\"_~@^`"
+ROLL_TOKENS = 4 << 20
+#: Places for pieces that a worker remembers the ids of; half of them are used.
+SLOTS = 1 << 21
+#: ASCII marks besides the apostrophe.
+MARKS = b".,;:!?|*#$%&()[]{}<>-+=/\"_~@^`\\"
 NULL_ID = -(1 << 63)
 
 
@@ -112,68 +112,138 @@ class DacFile:
         return np.append(self.firsts[1:], self.n_tokens)
 
 
-class Remembered(dict):
-    """Ids by word; `spare` has those of the current batch that there is no more room for."""
+LETTER, MARK, APOSTROPHE = 1, 2, 3
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[list(MARKS)] = MARK
+_CLASS[ord("'")] = APOSTROPHE
+_CLASS[ord("a") : ord("z") + 1] = LETTER
 
-    spare: dict = {}
 
-    def __missing__(self, word):
-        return self.spare[word]
+def cut_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the pieces of lower-cased texts, and pieces before each row.
+
+    Cuts: ASCII white space, and between Latin letters (to U+00FF) and ASCII marks, but for letters after an apostrophe.
+    """
+    kind = _CLASS[data]
+    lead = np.flatnonzero(data == 0xC3)
+    lead = lead[lead + 1 < len(data)]
+    lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+    kind[lead] = kind[lead + 1] = LETTER
+    inside = ~arrays.SPACE[data]
+    edge = np.ones(len(data) + 1, bool)
+    left, right = kind[:-1], kind[1:]
+    edge[1:-1] = (inside[1:] != inside[:-1]) | ((left == LETTER) & (right >= MARK)) | ((left == MARK) & (right == LETTER))
+    edge[offsets] = True
+    cuts = np.flatnonzero(edge)
+    starts, ends = cuts[:-1], cuts[1:]
+    real = inside[starts] if len(data) else np.zeros(0, bool)
+    starts, ends = starts[real], ends[real]
+    return starts, ends, np.searchsorted(starts, offsets)
 
 
 class WordEncoder:
-    """Ids of whole texts by the tokenizers library, each distinct word encoded once.
+    """Ids of whole texts by the tokenizers library, each distinct piece encoded once.
 
-    The vocabulary lower-cases, and its normaliser and pre-tokeniser never join across ASCII white space nor
-    between a Latin letter and ASCII marks other than the apostrophe. So a text's ids are those of its lower-cased
-    words in order, and a word's those of its stem and its closing marks. A text in which a special token could
-    appear goes to the library whole.
+    The vocabulary lower-cases, and its normaliser and pre-tokeniser never join across the places where `cut_words`
+    cuts. So a text's ids are those of its lower-cased pieces in order. A text in which a special token could appear
+    goes to the library whole. Pieces are remembered in a hash table of arrays, by a 64-bit hash and their first eight
+    bytes; when it is full, what is new is encoded for its batch alone.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, slots: int = SLOTS):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.known = Remembered()
         self.special = tuple(t.content.encode().lower() for t in self.library.get_added_tokens_decoder().values())
         if self.library.normalizer is None or self.library.normalizer.normalize_str("A") != "a":
             raise ValueError("only vocabularies that lower-case")
+        self.keys, self.heads, self.entries = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64), np.zeros(slots, np.int32)
+        self.first, self.size = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.pool = np.zeros(0, np.uint32)
+
+    def _library(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _find(self, keys: np.ndarray, heads: np.ndarray) -> np.ndarray:
+        """Entry of each piece, or -1."""
+        out = np.full(len(keys), -1, np.int32)
+        mask = np.uint64(len(self.keys) - 1)
+        todo, slot = np.arange(len(keys)), (keys & mask).astype(np.int64)
+        while len(todo):
+            there = self.keys[slot]
+            hit = there == keys[todo]
+            good = hit & (self.heads[slot] == heads[todo])
+            out[todo[good]] = self.entries[slot[good]]
+            on = ~hit & (there != 0)
+            todo, slot = todo[on], (slot[on] + 1) & int(mask)
+        return out
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        known, cut, new = self.known, {}, {}
-        for word in words:
-            stem = word.rstrip(MARKS)
-            if stem and len(stem) < len(word) and (last := stem.decode()[-1]).isalpha() and last < "\u0250":
-                cut[word] = stem, word[len(stem) :]
-                for part in cut[word]:
-                    if part not in known:
-                        new[part] = b""
-            else:
-                new[word] = b""
-        parts = list(new)
-        new.update(zip(parts, self._library([p.decode() for p in parts]), strict=True))
-        known.spare = new
-        new.update([(word, known[stem] + known[marks]) for word, (stem, marks) in cut.items()])
-        return new
+    def _keep(self, keys: np.ndarray, heads: np.ndarray, first_entry: int) -> None:
+        mask = len(self.keys) - 1
+        todo, slot = np.arange(len(keys)), (keys & np.uint64(mask)).astype(np.int64)
+        while len(todo):
+            free = np.flatnonzero(self.keys[slot] == 0)
+            _, one = np.unique(slot[free], return_index=True)
+            put = free[one]
+            at = slot[put]
+            self.keys[at], self.heads[at], self.entries[at] = keys[todo[put]], heads[todo[put]], first_entry + todo[put]
+            rest = np.ones(len(todo), bool)
+            rest[put] = False
+            todo, slot = todo[rest], (slot[rest] + 1) & mask
+
+    def encode_bytes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows one after another, and how many each row has."""
+        raw, data = data, arrays.lowered(data)
+        starts, ends, words = cut_words(data, offsets)
+        keys = np.maximum(arrays.span_hashes(data, starts, ends), np.uint64(1))
+        padded = np.concatenate([data, np.zeros(8, np.uint8)])
+        heads = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))[starts]
+        short = np.minimum(ends - starts, 8).astype(np.uint64)
+        heads = heads & (np.uint64(0xFFFFFFFFFFFFFFFF) >> ((np.uint64(8) - short) << np.uint64(3)))
+        entry = self._find(keys, heads)
+        first, size, pool = self.first, self.size, self.pool
+        missing = np.flatnonzero(entry < 0)
+        if len(missing):
+            # equal keys with other heads are told apart
+            order = missing[np.lexsort((heads[missing], keys[missing]))]
+            new = np.ones(len(order), bool)
+            new[1:] = (keys[order][1:] != keys[order][:-1]) | (heads[order][1:] != heads[order][:-1])
+            entry[order] = len(first) + np.cumsum(new) - 1
+            order = order[new]
+            blob, a, b = data.tobytes(), starts[order].tolist(), ends[order].tolist()
+            ids = self._library([blob[i:j].decode() for i, j in zip(a, b, strict=True)])
+            sizes = np.fromiter(map(len, ids), np.int32, len(ids))
+            first = np.concatenate([first, len(pool) + np.cumsum(sizes, dtype=np.int32) - sizes])
+            size = np.concatenate([size, sizes])
+            pool = np.concatenate([pool, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))])
+            alone = np.ones(len(order), bool)
+            alone[1:] = keys[order][1:] != keys[order][:-1]
+            if len(first) <= len(self.keys) // 2 and alone.all():
+                self._keep(keys[order], heads[order], len(self.first))
+                self.first, self.size, self.pool = first, size, pool
+        many = size[entry]
+        done = np.concatenate([[0], np.cumsum(many)])
+        flat = pool[np.arange(done[-1]) - np.repeat(done[:-1] - first[entry], many)]
+        counts = np.diff(done[words])
+        text = data.tobytes()
+        if any(x in text for x in self.special):
+            flat, counts = self._with_special(raw, offsets, flat, counts)
+        return flat, counts
+
+    def _with_special(self, raw, offsets, flat, counts):
+        parts = np.split(flat, np.cumsum(counts)[:-1])
+        for i in range(len(counts)):
+            text = raw[offsets[i] : offsets[i + 1]].tobytes()
+            if any(x in text.lower() for x in self.special):
+                parts[i] = np.array(self._library([text.decode()])[0], np.uint32)
+        return np.concatenate(parts), np.array([len(p) for p in parts])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        raw = [(t or "").encode().lower() for t in texts]
-        whole = [i for i, t in enumerate(raw) if any(s in t for s in self.special)]
-        split = [t.split() for t in raw]
-        for i in whole:
-            split[i] = []
-        known = self.known
-        new = self._learn({w for words in split for w in words if w not in known})
-        if len(known) + len(new) <= CACHE_WORDS:
-            known.update(new)
-        get = known.__getitem__
-        out = [b"".join(map(get, words)) for words in split]
-        for i, ids in zip(whole, self._library([texts[i] for i in whole]), strict=True):
-            out[i] = ids
+        out = []
+        for _, _, data, offsets in arrays.text_slices(pa.array(texts, pa.string())):
+            flat, counts = self.encode_bytes(data, offsets)
+            out += [p.astype("<u4").tobytes() for p in np.split(flat, np.cumsum(counts)[:-1])]
         return out
 
 
@@ -200,25 +270,27 @@ def write_tokens(documents: DataFrame, folder: str, vocabulary: str, end_id: int
         ids, keys, lengths, total = [], [], [], 0
 
         def close():
-            tokens = np.frombuffer(b"".join(ids), "<u4")
-            firsts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+            sizes = np.concatenate(lengths)
             with storage.new_file(folder, f"{part:06d}-{seq:04d}", ".dac") as (out, uri):
-                out.write(pack(tokens, np.array(keys, np.int64), firsts, width))
-            return pa.RecordBatch.from_pydict({"file": [uri], "part": [part], "seq": [seq], "n_docs": [len(keys)], "n_tokens": [total]})
+                out.write(pack(np.concatenate(ids), np.concatenate(keys), np.cumsum(sizes) - sizes, width))
+            return pa.RecordBatch.from_pydict({"file": [uri], "part": [part], "seq": [seq], "n_docs": [len(sizes)], "n_tokens": [total]})
 
-        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                some = batch.slice(at, 2000)
-                for key, one in zip(some.column(0).to_pylist(), encoder(vocabulary).encode(some.column(1).to_pylist()), strict=True):
-                    ids += (one, end)
-                    keys.append(NULL_ID if key is None else key)
-                    lengths.append(len(one) // 4 + 1)
-                    total += lengths[-1]
-                    if total >= ROLL_TOKENS:
-                        yield close()
-                        seq += 1
-                        ids, keys, lengths, total = [], [], [], 0
+            doc_id = batch.column(0).fill_null(NULL_ID).to_numpy()
+            for first, end, data, offsets in arrays.text_slices(batch.column(1), 1 << 20):
+                flat, counts = encoder(vocabulary).encode_bytes(data, offsets)
+                some = np.full(len(flat) + len(counts), end_id, np.uint32)
+                inner = np.ones(len(some), bool)
+                inner[np.cumsum(counts + 1) - 1] = False
+                some[inner] = flat
+                ids.append(some)
+                keys.append(doc_id[first:end])
+                lengths.append(counts + 1)
+                total += len(some)
+                if total >= ROLL_TOKENS:
+                    yield close()
+                    seq += 1
+                    ids, keys, lengths, total = [], [], [], 0
         if keys:
             yield close()
 
