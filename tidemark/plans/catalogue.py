@@ -20,4 +20,5 @@ def register(name: str, sql: str | None = None):
     return enter
 
 
-from tidemark.plans import records, signals, timeline  # noqa: E402, F401
+from tidemark.plans import records, search, signals, timeline  # noqa: E402, F401, I001
+from tidemark.plans import named, pipelines  # noqa: E402, F401
