@@ -76,7 +76,7 @@ def _powers(n: int, inverse: bool) -> np.ndarray:
 
 def _table(n: int, inverse: bool) -> np.ndarray:
     """At least n powers; sizes are rounded up, so few tables are ever made."""
-    return _powers(max(SLICE_BYTES + 1, 1 << (n - 1).bit_length()), inverse)
+    return _powers(SLICE_BYTES + 8 if n <= SLICE_BYTES + 8 else 1 << (n - 1).bit_length(), inverse)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -107,11 +107,23 @@ def joined_hashes(words: np.ndarray, k: int) -> np.ndarray:
 
 
 def distinct_in_rows(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct (row, value) pairs, in order of row, then value."""
-    order = np.lexsort((values, rows))
-    rows, values = rows[order], values[order]
-    new = np.ones(len(rows), bool)
-    new[1:] = (rows[1:] != rows[:-1]) | (values[1:] != values[:-1])
+    """The distinct (row, value) pairs, in order of row, then value.
+
+    Row and leading bits of the value are sorted as one number; should two values of a row differ only behind those
+    bits, the full sort is done instead.
+    """
+    if not len(rows):
+        return rows, values
+    room = 64 - max(1, int(rows.max()).bit_length())
+    joint = rows.astype(np.uint64) << np.uint64(room) | values >> np.uint64(64 - room)
+    order = np.argsort(joint)
+    joint, rows, values = joint[order], rows[order], values[order]
+    same, new = joint[1:] == joint[:-1], np.ones(len(rows), bool)
+    new[1:] = ~same
+    if (same & (values[1:] != values[:-1])).any():
+        order = np.lexsort((values, rows))
+        rows, values = rows[order], values[order]
+        new[1:] = (rows[1:] != rows[:-1]) | (values[1:] != values[:-1])
     return rows[new], values[new]
 
 

@@ -27,15 +27,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import arrays
+from tidemark.llm.filters import KeyFilter
 from tidemark.llm.streams import groups
 from tidemark.session import checkpointed, ship_package
 
 THRESHOLD = (9, 10)
 MIN_WORDS = 5
-#: Counters of the word table, and bits of the filters of line places: fixed sizes, however large the corpus.
-WORD_BITS, FILTER_BITS = 20, 25
+#: Bits of the number of counters of the word table: a fixed size, however large the corpus.
+WORD_BITS = 20
 #: Earlier candidates that a class tries in the first round, for each word; entries of a word compared at once.
-FIRST, BLOCK = 4, 2048
+FIRST, BLOCK = 16, 2048
+#: Entries of whole words taken together.
+TOGETHER = 60_000
+#: Counters in a row of the word table's shuffle.
+CELL = 1024
 CLASS = "k1 long, k2 long, doc_id long, mark long, line int, n int, prefix binary, sketch binary"
 
 
@@ -60,8 +65,9 @@ def line_offsets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 def line_words(data: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct (line, word hash) pairs."""
-    starts, ends, words = arrays.word_spans(arrays.lowered(data), lines, arrays.SPACE)
-    return arrays.distinct_in_rows(np.repeat(np.arange(len(lines) - 1), np.diff(words)), arrays.span_hashes(arrays.lowered(data), starts, ends))
+    data = arrays.lowered(data)
+    starts, ends, words = arrays.word_spans(data, lines, arrays.SPACE)
+    return arrays.distinct_in_rows(np.repeat(np.arange(len(lines) - 1), np.diff(words)), arrays.span_hashes(data, starts, ends))
 
 
 def _row_slices(batch: pa.RecordBatch):
@@ -87,13 +93,23 @@ def word_counts(documents: DataFrame) -> np.ndarray:
                 data = arrays.lowered(data)
                 starts, ends, _ = arrays.word_spans(data, offsets, arrays.SPACE)
                 seen += np.bincount((arrays.span_hashes(data, starts, ends) >> np.uint64(64 - WORD_BITS)).astype(np.int64), minlength=len(seen))
-        some = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_pydict({"word": pa.array(some.astype(np.int32)), "n": pa.array(seen[some])})
+        cells = seen.reshape(-1, CELL)
+        some = np.flatnonzero(cells.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), arrays.binary_column(cells[some].ravel(), np.full(len(some), CELL))], ["cell", "counts"])
 
-    table = documents.select("text").mapInArrow(run, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << WORD_BITS, np.int64)
-    out[table["word"].to_numpy()] = table["n"].to_numpy()
-    return out
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for cell, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                total[cell] = total.get(cell, 0) + np.frombuffer(counts, np.int64)
+        yield pa.RecordBatch.from_pydict({"cell": pa.array(list(total), pa.int32()), "counts": pa.array([x.tobytes() for x in total.values()], pa.binary())})
+
+    rows = documents.select("text").mapInArrow(run, "cell int, counts binary")
+    table = rows.repartition("cell").mapInArrow(add, "cell int, counts binary").toArrow()
+    out = np.zeros((1 << WORD_BITS) // CELL * CELL, np.int64).reshape(-1, CELL)
+    for cell, counts in zip(table["cell"].to_pylist(), table["counts"].to_pylist(), strict=True):
+        out[cell] = np.frombuffer(counts, np.int64)
+    return out.ravel()
 
 
 def first_lines(documents: DataFrame, counts: np.ndarray) -> DataFrame:
@@ -125,8 +141,7 @@ def first_lines(documents: DataFrame, counts: np.ndarray) -> DataFrame:
                 first[1:] = (np.diff(k1[order]) != 0) | (np.diff(k2[order]) != 0)
                 pick = np.sort(order[first])
                 # words by rarity within their line; the rarer half-octave first, then by hash
-                rank = np.lexsort((word, shared.value[(word >> np.uint64(64 - WORD_BITS)).astype(np.int64)], row))
-                word = word[rank]
+                word = word[rarity_order(np.repeat(np.arange(len(own)), n), shared.value[(word >> np.uint64(64 - WORD_BITS)).astype(np.int64)], word)]
                 length = n - need_of_one(n) + 1
                 flat = np.repeat(starts[pick], length[pick]) + _ramp(length[pick])
                 sketch = np.zeros((len(own), 2), np.uint64)
@@ -156,6 +171,15 @@ def first_lines(documents: DataFrame, counts: np.ndarray) -> DataFrame:
     return checkpointed(rows.mapInArrow(first_of, CLASS), "line-classes")
 
 
+def rarity_order(row: np.ndarray, steps: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Order by row, rarity step, hash: as one number where its bits tell all words of a line apart, else in full."""
+    rows = max(1, int(row.max()).bit_length())
+    joint = row.astype(np.uint64) << np.uint64(64 - rows) | steps.astype(np.uint64) << np.uint64(56 - rows) | word >> np.uint64(8 + rows)
+    order = np.argsort(joint)
+    joint = joint[order]
+    return np.lexsort((word, steps, row)) if (joint[1:] == joint[:-1]).any() else order
+
+
 def need_of_one(n: np.ndarray) -> np.ndarray:
     """Words that a set of n must share with any similar set."""
     x, y = THRESHOLD
@@ -167,34 +191,15 @@ def _ramp(counts: np.ndarray) -> np.ndarray:
     return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-class PlaceFilter:
-    """A Bloom filter of fixed size over place keys: may let others through, never keeps a member out."""
-
-    def __init__(self, keys: DataFrame, column: str):
-        size = (1 << FILTER_BITS) - 1
-        bits = keys.select(F.explode(F.array(*[F.shiftrightunsigned(column, s).bitwiseAND(size) for s in (0, 32)])).alias("bit"))
-        words = bits.groupBy(F.shiftright("bit", 5).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, int(bit & 31))")).alias("word"))
-        table = words.toArrow()  # 2^(FILTER_BITS - 5) rows at most
-        self.words = np.zeros(1 << (FILTER_BITS - 5), np.int64)
-        self.words[table["at"].to_numpy()] = table["word"].to_numpy()
+ENTRY = "word long, doc_id long, mark long, line int, key long, n int, at int, sketch binary"
+ENTRY_NAMES = ["word", "doc_id", "mark", "line", "key", "n", "at", "sketch"]
+ENTRY_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+PAIR = "later long, earlier long, more boolean"
 
-    def has(self, keys: np.ndarray) -> np.ndarray:
-        """Which of the keys may be members."""
-        out = np.ones(len(keys), bool)
-        for shift in (0, 32):
-            bit = (keys.view(np.uint64) >> np.uint64(shift)) & np.uint64((1 << FILTER_BITS) - 1)
-            out &= (self.words[(bit >> np.uint64(5)).astype(np.int64)] >> (bit & np.uint64(31)).astype(np.int64)) & 1 == 1
-        return out
-
-
-def candidates(classes: DataFrame, only: PlaceFilter | None = None) -> DataFrame:
-    """(later, earlier, more): place keys of candidate pairs, and whether the later one has further candidates.
 
-    The first round gives a class's FIRST earliest candidates under each word. With `only`, all candidates of those
-    classes. A word with many entries is dealt out in blocks, each pair of blocks a cell of its own.
-    """
-    spark = classes.sparkSession
-    focus = spark.sparkContext.broadcast(only)
+def index_entries(classes: DataFrame, words: KeyFilter | None = None) -> DataFrame:
+    """Each class under each word of its prefix (ENTRY); with `words`, under those only."""
+    shared = classes.sparkSession.sparkContext.broadcast(words)
 
     def enter(batches):
         for batch in batches:
@@ -203,50 +208,166 @@ def candidates(classes: DataFrame, only: PlaceFilter | None = None) -> DataFrame
             doc_id, mark, line, n = (batch.column(i).to_numpy() for i in (2, 3, 4, 5))
             counts = n - need_of_one(n) + 1
             row = np.repeat(np.arange(len(n)), counts)
-            words = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.int64)
+            word, at = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.int64), _ramp(counts)
+            if shared.value is not None:
+                some = shared.value.has(word)
+                word, at, row = word[some], at[some], row[some]
             taken = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(words), batch.column(2).take(taken), batch.column(3).take(taken), batch.column(4).take(taken), pa.array(place_key(doc_id, mark, line)[row]),
-                 batch.column(5).take(taken), pa.array(_ramp(counts).astype(np.int32)), batch.column(7).take(taken)],
+                [pa.array(word), *(batch.column(i).take(taken) for i in (2, 3, 4)), pa.array(place_key(doc_id, mark, line)[row]),
+                 batch.column(5).take(taken), pa.array(at.astype(np.int32)), batch.column(7).take(taken)],
                 ["word", "doc_id", "mark", "line", "key", "n", "at", "sketch"],
             )
 
-    def pairs(batches):
+    return classes.mapInArrow(enter, ENTRY)
+
+
+class Entries:
+    """Columns of a run of entries, in order of group, then place."""
+
+    def __init__(self, table: pa.Table, group: np.ndarray):
+        self.group = group
+        self.key, self.n, self.at = (table[c].to_numpy() for c in ("key", "n", "at"))
+        self.sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint64).reshape(-1, 2)
+
+    def allowed(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether sizes, places and sketches leave the pairs possible."""
+        common = need(self.n[x], self.n[y])
+        fine = np.flatnonzero(np.minimum(self.n[x] - self.at[x], self.n[y] - self.at[y]) >= common)
+        apart = np.bitwise_count(self.sketch[x[fine]] ^ self.sketch[y[fine]]).sum(1)
+        out = np.zeros(len(x), bool)
+        out[fine] = apart <= (self.n[x] + self.n[y] - 2 * common)[fine]
+        return out
+
+
+def earlier_pairs(entries: Entries, wanted: np.ndarray, first: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(later row, earlier row, more): allowed pairs within groups for the wanted rows, their `first` earliest ones.
+
+    All rows meet the first row of their group, then the second, and so on; a row leaves at its first candidate too
+    many, so a group of look-alikes costs each of its rows a few steps.
+    """
+    starts = np.flatnonzero(np.diff(entries.group, prepend=entries.group[0] - 1))
+    start = np.repeat(starts, np.diff(starts, append=len(entries.group)))
+    place = np.arange(len(start)) - start
+    some, found, step = np.flatnonzero(wanted & (place > 0)), [], 0
+    many, more = np.zeros(len(start), np.int64), np.zeros(len(start), bool)
+    while len(some):
+        good = some[entries.allowed(some, start[some] + step)]
+        if first is not None:
+            full = many[good] >= first
+            more[good[full]] = True
+            good = good[~full]
+        many[good] += 1
+        found.append((good, start[good] + step))
+        step += 1
+        some = some[(place[some] > step) & ~more[some]]
+    later, earlier = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(2))
+    return later, earlier, more[later]
+
+
+def candidates(classes: DataFrame, only: tuple[KeyFilter, KeyFilter] | None = None) -> DataFrame:
+    """(later, earlier, more): place keys of candidate pairs, and whether the later one has further candidates.
+
+    The first round gives a class's FIRST earliest candidates under each word. With `only` (classes and their words),
+    all candidates of those classes. Words of up to BLOCK entries are handled where the entries were sorted; the entries
+    of others pass on and are dealt out in blocks, each pair of blocks a cell of its own.
+    """
+    spark = classes.sparkSession
+    focus = spark.sparkContext.broadcast(only and only[0])
+    first = None if only else FIRST
+
+    def rows_of(entries, later, earlier, more):
+        return pa.RecordBatch.from_arrays([pa.array(entries.key[later]), pa.array(entries.key[earlier]), pa.array(more)], ["later", "earlier", "more"])
+
+    def decide(table):
+        word = table["word"].to_numpy()
+        entries = Entries(table, np.cumsum(np.diff(word, prepend=word[0]) != 0))
+        wanted = np.ones(len(word), bool) if focus.value is None else focus.value.has(entries.key)
+        return padded(rows_of(entries, *earlier_pairs(entries, wanted, first)))
+
+    def padded(pairs):
+        nothing = [pa.nulls(pairs.num_rows, t) for t in ENTRY_TYPES]
+        return pa.RecordBatch.from_arrays([*pairs.columns, *nothing], [*pairs.schema.names, *ENTRY_NAMES])
+
+    def deferred(table):
+        nothing = [pa.nulls(table.num_rows, t) for t in (pa.int64(), pa.int64(), pa.bool_())]
+        whole = table.combine_chunks()
+        columns = [c.combine_chunks() for c in whole.columns]
+        return pa.RecordBatch.from_arrays([*nothing, *[c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns]], ["later", "earlier", "more", *ENTRY_NAMES])
+
+    def small(batches):
+        held, size, hot = [], 0, None
+
+        def flush(table, final):
+            nonlocal held, size, hot
+            word = table["word"].to_numpy()
+            whole = len(word) if final else int(np.searchsorted(word, word[-1]))
+            begin = np.flatnonzero(np.diff(word, prepend=word[0] - 1 if word[0] > np.iinfo(np.int64).min else word[0] + 1))
+            many = np.repeat(np.diff(begin, append=len(word)) > BLOCK, np.diff(begin, append=len(word)))
+            if many.any():
+                yield deferred(table.filter(pa.array(many)))
+            few = table.slice(0, whole).filter(pa.array(~many[:whole]))
+            if few.num_rows:
+                yield decide(few)
+            hot = word[-1] if not final and many[-1] else None
+            rest = table.slice(whole) if hot is None else table.slice(len(word))
+            held, size = rest.to_batches(), rest.num_rows
+
+        for batch in batches:
+            if hot is not None and batch.num_rows:
+                same = int(np.searchsorted(batch.column(0).to_numpy(), hot, "right"))
+                if same:
+                    yield deferred(pa.Table.from_batches([batch.slice(0, same)]))
+                    batch = batch.slice(same)
+                if batch.num_rows:
+                    hot = None
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows
+            if size >= TOGETHER:
+                yield from flush(pa.Table.from_batches(held), False)
+        if size:
+            yield from flush(pa.Table.from_batches(held), True)
+
+    def cell(batches):
         for group in groups(batches, 3):
-            if group.num_rows < 2:
-                continue
-            i, j = group.column(1)[0].as_py(), group.column(2)[0].as_py()
-            own, key, n, at = (group.column(k).to_numpy() for k in (3, 7, 8, 9))
-            sketch = np.frombuffer(b"".join(group.column(10).to_pylist()), np.uint64).reshape(-1, 2)
-            wanted = np.ones(len(key), bool) if focus.value is None else focus.value.has(key)
+            i, j = group["i"][0].as_py(), group["j"][0].as_py()
+            own = group["own"].to_numpy()
+            entries = Entries(group, np.zeros(len(own), np.int64))
+            wanted = np.ones(len(own), bool) if focus.value is None else focus.value.has(entries.key)
             later, earlier, more = [], [], []
             for x in np.flatnonzero(wanted):
-                # rows are in order of place
-                others = np.flatnonzero((own[:x] == (j if own[x] == i else i))) if i != j else np.arange(x)
-                if not len(others):
-                    continue
-                need_xy = need(n[others], n[x])
-                fine = np.minimum(n[others] - at[others], n[x] - at[x]) >= need_xy
-                others, need_xy = others[fine], need_xy[fine]
-                apart = np.bitwise_count(sketch[others] ^ sketch[x]).sum(1)
-                others = others[apart <= n[others] + n[x] - 2 * need_xy]
-                if len(others):
-                    some = others if focus.value is not None else others[:FIRST]
-                    later += [key[x]] * len(some)
-                    earlier += key[some].tolist()
-                    more += [len(others) > len(some)] * len(some)
+                others = np.flatnonzero(own[:x] == (j if own[x] == i else i)) if i != j else np.arange(x)
+                others = others[entries.allowed(np.full(len(others), x), others)] if len(others) else others
+                taken = others if first is None else others[:first]
+                later += [x] * len(taken)
+                earlier += taken.tolist()
+                more += [len(others) > len(taken)] * len(taken)
             if later:
-                yield pa.RecordBatch.from_arrays([pa.array(later, pa.int64()), pa.array(earlier, pa.int64()), pa.array(more)], ["later", "earlier", "more"])
+                yield rows_of(entries, np.array(later), np.array(earlier), np.array(more))
+
+    dealt = index_entries(classes, only and only[1]).repartition("word").sortWithinPartitions("word", "doc_id", "mark", "line")
+    found = checkpointed(dealt.mapInArrow(small, f"{PAIR}, {ENTRY}"), "line-pairs")
+    pairs, many = found.where("later IS NOT NULL").select("later", "earlier", "more"), found.where("later IS NULL").select(*ENTRY_NAMES)
+    sizes = many.groupBy("word").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    many = many.join(sizes, "word").withColumn("own", F.pmod("key", "blocks").cast("int"))
+    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = many.select("word", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "mark", "line", "key", "n", "at", "sketch")
+    cells = cells.repartition("word", "i", "j").sortWithinPartitions("word", "i", "j", "doc_id", "mark", "line").mapInArrow(cell, PAIR)
+    return pairs.unionByName(cells).groupBy("later", "earlier").agg(F.bool_or("more").alias("more"))
+
+
+def words_of(classes: DataFrame, keys: KeyFilter) -> DataFrame:
+    """The prefix words of the classes with these place keys."""
+    shared = classes.sparkSession.sparkContext.broadcast(keys)
+
+    def run(batches):
+        for batch in batches:
+            some = shared.value.has(place_key(*(batch.column(i).to_numpy() for i in range(3))))
+            words = b"".join(batch.column(3).filter(pa.array(some)).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(words, np.int64))], ["word"])
 
-    entries = classes.mapInArrow(enter, "word long, doc_id long, mark long, line int, key long, n int, at int, sketch binary")
-    sizes = entries.groupBy("word").agg(F.count("*").alias("size")).where("size > 1")
-    entries = entries.join(sizes.select("word", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "word")
-    entries = entries.withColumn("own", F.pmod("key", "blocks").cast("int"))
-    cells = entries.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("word", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "mark", "line", "key", "n", "at", "sketch")
-    dealt = cells.repartition("word", "i", "j").sortWithinPartitions("word", "i", "j", "doc_id", "mark", "line")
-    found = dealt.mapInArrow(pairs, "later long, earlier long, more boolean")
-    return found.groupBy("later", "earlier").agg(F.bool_or("more").alias("more"))
+    return classes.select("doc_id", "mark", "line", "prefix").mapInArrow(run, "word long").distinct()
 
 
 def verified(pairs: DataFrame, documents: DataFrame) -> DataFrame:
@@ -255,7 +376,7 @@ def verified(pairs: DataFrame, documents: DataFrame) -> DataFrame:
     A filter of the pairs' places says which lines send their words; the texts themselves are not shuffled.
     """
     places = pairs.select(F.col("later").alias("key")).unionByName(pairs.select(F.col("earlier").alias("key"))).distinct()
-    shared = documents.sparkSession.sparkContext.broadcast(PlaceFilter(places, "key"))
+    shared = documents.sparkSession.sparkContext.broadcast(KeyFilter(places, "key"))
 
     def send(batches):
         for batch in batches:
@@ -291,7 +412,8 @@ def kept_lines(documents: DataFrame) -> DataFrame:
     matched = checkpointed(verified(tried, documents), "line-matches")
     left = tried.where("more").select("later").distinct().join(matched, "later", "left_anti")
     if not left.isEmpty():
-        rest = candidates(classes, PlaceFilter(left, "later")).join(left, "later", "left_semi").join(tried, ["later", "earlier"], "left_anti")
+        keys = KeyFilter(left, "later")
+        rest = candidates(classes, (keys, KeyFilter(words_of(classes, keys), "word"))).join(left, "later", "left_semi").join(tried, ["later", "earlier"], "left_anti")
         matched = matched.unionByName(checkpointed(verified(checkpointed(rest, "line-rest"), documents), "line-more"))
 
     def key(batches):
