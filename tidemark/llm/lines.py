@@ -429,9 +429,10 @@ def kept_lines(documents: DataFrame) -> DataFrame:
 def dedup_lines(documents: DataFrame) -> DataFrame:
     """The documents with the text that stays, and n_lines, n_removed and removed_words. Lines keep their order."""
     own = [c for c in documents.columns if c not in {"n_lines", "n_removed"}]
-    keep = kept_lines(documents).select(F.col("doc_id").alias("of"), F.col("mark").alias("of_mark"), "lines")
-    rows = documents.select(*own, F.xxhash64("text").alias("of_mark_here"))
-    rows = rows.join(keep, F.coalesce("doc_id", F.lit(-(1 << 63))).eqNullSafe(F.col("of")) & (F.col("of_mark_here") == F.col("of_mark")), "left")
+    keep = kept_lines(documents).withColumnRenamed("doc_id", "of").withColumnRenamed("mark", "of_mark")
+    # the documents' own columns travel in a struct, whatever their names
+    rows = documents.select(F.struct(*own).alias("row"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("here"), F.xxhash64("text").alias("here_mark"))
+    rows = rows.join(keep, (F.col("here") == F.col("of")) & (F.col("here_mark") == F.col("of_mark")), "left")
     at = own.index("text")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*own).schema)
 
@@ -449,4 +450,4 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64())], [*own, "n_lines", "n_removed"])
 
-    return rows.select(*own, "lines").mapInArrow(run, f"{fields}, n_lines long, n_removed long")
+    return rows.select("row.*", F.col("lines").alias("kept_line_numbers")).mapInArrow(run, f"{fields}, n_lines long, n_removed long")
