@@ -1,19 +1,23 @@
 """Near-duplicate documents by HyperMinHash sketches, banding and exact verification.
 
 A document's set is its distinct 5-word shingles (A-Z lower-cased, words split at ASCII white space; with fewer
-words the whole sequence is the one shingle). Its sketch has a register for each of 128 buckets: for the smallest
-hash of the bucket, the count of leading zeros and the 10 bits that follow the first one, 16 bits in all. Equal
-sets are one class from the start. Bands of 4 registers make candidates:
-
-1. In each band bucket every member is paired with the smallest document. Pairs whose Jaccard estimate (matching
-   registers, corrected for the collisions that two unrelated sets of these sizes would have) is far too low are
-   left out; the others are decided on the full sets.
-2. Components of the links so far. Buckets that still hold several components are compared block by block, their
-   pairs of different components estimated in arrays and, where the estimate allows a link, decided on full sets.
+words the whole sequence is the one shingle). A register keeps, for the smallest hash of its bucket, the count of
+leading zeros and the bits that follow the first one. A document has 128 coarse registers (10 such bits, 16 in all),
+which are banded, and 512 fine ones (4 such bits, 8 in all), which estimate. Equal sets are one class from the start.
+Bands of 4 coarse registers make candidates:
+
+1. In each band bucket every member is paired with the smallest document; a member of several buckets of more than FEW
+   is paired with the smallest of those alone. Pairs whose Jaccard estimate (matching
+   registers, corrected for the collisions that two unrelated sets of these sizes would have) is too far below the
+   threshold are left out; the others are decided on the full sets.
+2. Components of the links so far. Buckets that still hold several components are compared block by block: pairs
+   of different components are estimated in arrays, in the first band they share. For ROUNDS rounds each document
+   tries the best of them, so that components grow together as in Boruvka's algorithm.
+3. The pairs of still different components whose estimate allows a link are all decided, a pair of blocks at a time.
 
 So no bucket's pairs are ever listed, a bucket of copies costs one pair a member, and no candidate pair that could
 join two components is left undecided. At a similarity of 0.85 two large sets share no band with a probability of
-(1 - 0.85^4)^32, 6e-11.
+(1 - 0.85^4)^32, 6e-11, and are estimated too low by MARGIN standard errors with one of 3e-6.
 
 Cases: a document without words links with nothing, its own component. Rows that repeat a doc_id are one node; null
 doc_ids get no component and are kept. Other columns are ignored. An empty table gives an empty one.
@@ -25,10 +29,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import arrays
+from tidemark.llm.filters import likely
 from tidemark.llm.graph import components
 from tidemark.llm.streams import groups, pieces_by_key
 from tidemark.session import checkpointed, ship_package
@@ -36,13 +42,19 @@ from tidemark.session import checkpointed, ship_package
 WORDS = 5
 #: A link needs 100 * intersection >= PERCENT * union.
 PERCENT = 85
-BUCKET_BITS, MANTISSA_BITS = 7, 10
-BUCKETS = 1 << BUCKET_BITS
+#: Bits of the bucket and of the mantissa.
+COARSE, FINE = (7, 10), (9, 4)
 BAND = 4
+BANDS = (1 << COARSE[0]) // BAND
+EMPTY = {COARSE: 0xFFFF, FINE: 0xFF}
 #: Standard errors that an estimate may lie below the threshold.
-MARGIN = 6.0
+MARGIN = 4.5
 #: Rows of a block when a band bucket is compared with itself, and members verified against one copy of a leader.
-BLOCK, MEMBERS = 512, 64
+BLOCK, MEMBERS = 1024, 64
+#: Members of a bucket in which every one is paired with the smallest.
+FEW = 8
+#: Rounds of best pairs before all pairs that are left.
+ROUNDS = 2
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,58 +78,62 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return arrays.distinct_in_rows(np.concatenate(rows), np.concatenate(values))
 
 
-def registers(rows: np.ndarray, values: np.ndarray, n_rows: int) -> np.ndarray:
-    """Sketches (n_rows x BUCKETS): 0 for an empty bucket, else 1 + leading zeros and mantissa of its smallest hash."""
-    out = np.zeros((n_rows, BUCKETS), np.uint16)
-    bucket = (values >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+def registers(rows: np.ndarray, values: np.ndarray, n_rows: int, kind: tuple[int, int]) -> np.ndarray:
+    """A register for each bucket of each row: leading zeros and mantissa of its smallest hash, or EMPTY."""
+    bucket_bits, mantissa_bits = kind
+    empty = EMPTY[kind]
+    out = np.full((n_rows, 1 << bucket_bits), empty, np.uint16 if empty > 255 else np.uint8)
+    bucket = (values >> np.uint64(64 - bucket_bits)).astype(np.int64)
     first = np.ones(len(rows), bool)
     first[1:] = (rows[1:] != rows[:-1]) | (bucket[1:] != bucket[:-1])
-    least = values[first] << np.uint64(BUCKET_BITS)
+    least = values[first] << np.uint64(bucket_bits)
     exponent = np.frexp((least >> np.uint64(11)).astype(np.float64))[1]
-    zeros = np.minimum(53 - exponent, 62).astype(np.uint64)
-    mantissa = (least << zeros << np.uint64(1)) >> np.uint64(64 - MANTISSA_BITS)
-    out[rows[first], bucket[first]] = (zeros << np.uint64(MANTISSA_BITS) | mantissa).astype(np.uint16) + 1
+    zeros = np.minimum(53 - exponent, (empty >> mantissa_bits) - 1).astype(np.uint64)
+    mantissa = (least << zeros << np.uint64(1)) >> np.uint64(64 - mantissa_bits)
+    out[rows[first], bucket[first]] = zeros << np.uint64(mantissa_bits) | mantissa
     return out
 
 
-def band_keys(sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of every band that is not all empty."""
-    n = len(sketches)
-    parts = np.ascontiguousarray(sketches).view(np.uint64).reshape(n, BUCKETS // BAND)
-    keys = arrays.mix(parts ^ arrays.mix(np.arange(1, BUCKETS // BAND + 1, dtype=np.uint64)))
-    rows, bands = np.nonzero(parts)
-    return rows, keys[rows, bands]
+def band_keys(coarse: np.ndarray) -> np.ndarray:
+    """Key of each band of each row, 0 where all of its registers are empty."""
+    parts = np.ascontiguousarray(coarse).view(np.uint64).reshape(len(coarse), BANDS)
+    keys = arrays.mix(parts ^ arrays.mix(np.arange(1, BANDS + 1, dtype=np.uint64)))
+    return np.where(parts == np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0), keys)
 
 
 @lru_cache(64)
 def random_matches(log2_size: int) -> float:
-    """Registers in which two unrelated sets of 2^log2_size elements agree, on average."""
-    rate = 2.0**log2_size / BUCKETS
-    zeros = np.arange(0, 50)[:, None]
-    width = 2.0 ** -(zeros + 1 + MANTISSA_BITS)
-    at = 2.0 ** -(zeros + 1) * (1 + np.arange(1 << MANTISSA_BITS)[None, :] / (1 << MANTISSA_BITS))
+    """Fine registers in which two unrelated sets of 2^log2_size elements agree, on average."""
+    bucket_bits, mantissa_bits = FINE
+    rate = 2.0 ** (log2_size - bucket_bits)
+    zeros = np.arange(0, (EMPTY[FINE] >> mantissa_bits) - 1)[:, None]
+    width = 2.0 ** -(zeros + 1 + mantissa_bits)
+    at = 2.0 ** -(zeros + 1) * (1 + np.arange(1 << mantissa_bits)[None, :] / (1 << mantissa_bits))
     cell = np.exp(-rate * at) * -np.expm1(-rate * width)
-    return float(BUCKETS * (cell**2).sum())
+    return float((cell**2).sum() * (1 << bucket_bits))
 
 
 def estimates(a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Collision-corrected Jaccard estimates of sketch pairs, and registers compared. sizes: of the smaller sets."""
-    used = ((a > 0) | (b > 0)).sum(-1)
-    same = ((a == b) & (a > 0)).sum(-1)
-    chance = np.array([random_matches(int(x)) for x in np.log2(np.maximum(sizes, 1)).astype(int).ravel()]).reshape(sizes.shape)
-    return np.clip((same - chance) / np.maximum(used - chance, 1e-9), 0, 1), used
-
-
-def may_link(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
-    """Whether sizes and sketches leave a link possible."""
+    """Collision-corrected Jaccard estimates of pairs of fine registers, and registers compared. sizes: of the smaller sets."""
+    empty = EMPTY[FINE]
+    used = ((a != empty) | (b != empty)).sum(-1)
+    same = ((a == b) & (a != empty)).sum(-1)
+    chance = np.array([random_matches(i) for i in range(40)])[np.log2(np.maximum(sizes, 1)).astype(int)]
+    # unrelated registers agree by chance, of those that the sets do not share
+    guess = (same - chance) / np.maximum(used - chance, 1e-9)
+    return np.clip(guess, 0, 1), used
+
+
+def may_link(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether sizes and sketches leave a link possible, and the estimates."""
     low, high = np.minimum(n_a, n_b), np.maximum(n_a, n_b)
     guess, used = estimates(a, b, low)
     share = PERCENT / 100
-    return (100 * low >= PERCENT * high) & (guess >= share - MARGIN * np.sqrt(share * (1 - share) / np.maximum(used, 1)))
+    return (100 * low >= PERCENT * high) & (guess >= share - MARGIN * np.sqrt(share * (1 - share) / np.maximum(used, 1))), guess
 
 
 def sketch(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_key (128 bits, equal for equal sets), registers; no shuffle."""
+    """doc_id, n_shingles, set_key (128 bits, equal for equal sets), band keys and fine registers; no shuffle."""
     ship_package(documents.sparkSession)
 
     def run(batches):
@@ -132,27 +148,33 @@ def sketch(documents: DataFrame) -> DataFrame:
                 if full.any():
                     keys[full, 0] = np.add.reduceat(values, starts[full])
                     keys[full, 1] = np.bitwise_xor.reduceat(arrays.mix(values), starts[full])
+                bands, fine = band_keys(registers(rows, values, n, COARSE)), registers(rows, values, n, FINE)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, n), pa.array(counts, pa.int64()), arrays.binary_column(keys.ravel(), np.full(n, 2)),
-                     arrays.binary_column(registers(rows, values, n).ravel(), np.full(n, BUCKETS))],
-                    ["doc_id", "n_shingles", "set_key", "registers"],
+                     arrays.binary_column(bands.ravel(), np.full(n, BANDS)), arrays.binary_column(fine.ravel(), np.full(n, fine.shape[1]))],
+                    ["doc_id", "n_shingles", "set_key", "bands", "registers"],
                 )
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, registers binary")
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands binary, registers binary")
+
+
+def _matrix(column: pa.Array, kind: type) -> np.ndarray:
+    """A binary column of equal lengths as rows of numbers."""
+    return np.stack([np.frombuffer(x, kind) for x in column.to_pylist()])
 
 
 def _bands(sketches: DataFrame) -> DataFrame:
-    """(key, id, n) for every band of every class."""
+    """(key, id, n) for every band of every class that has a register."""
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                some = np.stack([np.frombuffer(x, np.uint16) for x in batch.column(2).to_pylist()])
-                rows, keys = band_keys(some)
+                keys = _matrix(batch.column(2), np.uint64)
+                rows, bands = np.nonzero(keys)
                 taken = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column(0).take(taken), batch.column(1).take(taken)], ["key", "id", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[rows, bands].view(np.int64)), batch.column(0).take(taken), batch.column(1).take(taken)], ["key", "id", "n"])
 
-    return sketches.select("id", "n", "registers").mapInArrow(run, "key long, id long, n long")
+    return sketches.select("id", "n", "bands").mapInArrow(run, "key long, id long, n long")
 
 
 def _possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -163,10 +185,10 @@ def _possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                r_a, r_b = (np.stack([np.frombuffer(x, np.uint16) for x in batch.column(i).to_pylist()]) for i in (4, 5))
-                yield batch.select(["a", "b"]).filter(pa.array(may_link(r_a, r_b, batch.column(2).to_numpy(), batch.column(3).to_numpy())))
+                r_a, r_b = (_matrix(batch.column(i), np.uint8) for i in (4, 5))
+                yield batch.select(["a", "b"]).filter(pa.array(may_link(r_a, r_b, batch.column(2).to_numpy(), batch.column(3).to_numpy())[0]))
 
-    rows = pairs.join(other, "b").join(one, "a").select("a", "b", "n_a", "n_b", "r_a", "r_b")
+    rows = pairs.join(other.hint("merge"), "b").join(one.hint("merge"), "a").select("a", "b", "n_a", "n_b", "r_a", "r_b")
     return rows.mapInArrow(run, "a long, b long")
 
 
@@ -180,7 +202,9 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     copies = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("copies"))
     members = pairs.join(copies, "a").select("a", F.pmod(F.xxhash64("b"), "copies").cast("int").alias("copy"), F.lit(1).alias("member"), F.col("b").alias("id"))
     leaders = copies.select("a", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(0).alias("member"), F.col("a").alias("id"))
-    needed = members.unionByName(leaders).join(texts, "id").select("a", "copy", "member", "id", "text")
+    wanted = members.unionByName(leaders)
+    texts = likely(texts, F.xxhash64("id"), wanted.select(F.xxhash64("id").alias("key")), "key")
+    needed = wanted.join(texts.hint("merge"), "id").select("a", "copy", "member", "id", "text")
 
     def run(batches):
         leader = None
@@ -203,35 +227,93 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def _across(bands: DataFrame, sketches: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs of different components that share a band and may link, from blocks of each band bucket."""
-    of = found.select("id", "component")
-    rows = bands.join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi")
-    rows = rows.join(mixed.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "key")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("id", F.lit(3)), "blocks").cast("int"))
+def _cells(crowded: DataFrame, sketches: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of the band buckets that hold several components, for each pair of blocks (i, j) that they belong to."""
+    rows = crowded.join(found.select("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"))
+    mixed = mixed.where("lo < hi").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    rows = rows.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("id", F.lit(3)), "blocks").cast("int"))
     cells = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "n", "component")
-    cells = cells.join(sketches.select("id", "registers"), "id").select("key", "i", "j", "own", "id", "n", "component", "registers")
+    cells = cells.join(sketches.select("id", "bands", "registers"), "id").select("key", "i", "j", "own", "id", "n", "component", "bands", "registers")
+    return cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def _cell_pairs(cell: pa.Table, both_ways: bool):
+    """(id, ids, estimates): the documents of other components that share their first band here and may link."""
+    key, i, j = (cell.column(k)[0].as_py() for k in range(3))
+    own, ids, n, component = (cell.column(k).to_numpy() for k in (3, 4, 5, 6))
+    bands, fine = _matrix(cell.column(7), np.uint64), _matrix(cell.column(8), np.uint8)
+    at = int(np.flatnonzero(bands[0] == np.int64(key).view(np.uint64))[0])
+    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    for x in left:
+        others = right[(component[right] != component[x]) & ((i != j) | (right > x) | both_ways)]
+        others = others[100 * np.minimum(n[others], n[x]) >= PERCENT * np.maximum(n[others], n[x])]
+        if not len(others):
+            continue
+        fits, guess = may_link(fine[x][None, :], fine[others], np.full(len(others), n[x]), n[others])
+        fits &= ~((bands[others, :at] == bands[x, :at]) & (bands[x, :at] != 0)).any(1)
+        if fits.any():
+            yield ids[x], ids[others[fits]], guess[fits]
+
+
+def _best_pairs(cells: DataFrame) -> DataFrame:
+    """The pair of the highest estimate for each document, block and band."""
 
     def run(batches):
         for cell in groups(batches, 3):
-            i, j = cell.column(1)[0].as_py(), cell.column(2)[0].as_py()
-            own, ids, n, component = (cell.column(k).to_numpy() for k in (3, 4, 5, 6))
-            some = np.stack([np.frombuffer(x, np.uint16) for x in cell.column(7).to_pylist()])
-            left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-            pairs = []
-            for x in left:
-                others = right[(component[right] != component[x]) & ((i != j) | (right > x))]
-                if len(others):
-                    fine = others[may_link(some[x][None, :], some[others], np.full(len(others), n[x]), n[others])]
-                    pairs += [(min(ids[x], ids[y]), max(ids[x], ids[y])) for y in fine]
+            pairs = [tuple(sorted((x, others[np.argmax(guess)]))) for x, others, guess in _cell_pairs(cell, True)]
             if pairs:
                 a, b = zip(*pairs, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    dealt = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return cells.mapInArrow(run, "a long, b long").distinct()
+
+
+def _links_in_cells(cells: DataFrame, texts: DataFrame) -> DataFrame:
+    """The links (a, b) among all pairs of the cells that may be links.
+
+    A cell names the documents that it needs and, for each, those to compare it with; texts come once to a cell, not
+    once to a pair, and a cell has two blocks of documents at most.
+    """
+    names = ["key", "i", "j", "id", "others"]
+    schema = "key long, i int, j int, id long, others array<long>"
+
+    def ask(batches):
+        for cell in groups(batches, 3):
+            rows = [(x, others.tolist()) for x, others, _ in _cell_pairs(cell, False)]
+            if rows:
+                named = sorted({x for x, _ in rows} | {y for _, others in rows for y in others})
+                place = [pa.array([cell.column(k)[0].as_py()] * (len(named) + len(rows)), t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32()))]
+                ids, others = [*named, *(x for x, _ in rows)], [*([None] * len(named)), *(o for _, o in rows)]
+                yield pa.RecordBatch.from_arrays([*place, pa.array(ids, pa.int64()), pa.array(others, pa.list_(pa.int64()))], names)
+
+    asked = checkpointed(cells.mapInArrow(ask, schema), "cells")
+    named = asked.where("others IS NULL").select("key", "i", "j", "id")
+    texts = likely(texts, F.xxhash64("id"), named.select(F.xxhash64("id").alias("hashed")), "hashed")
+    rows = named.join(texts.hint("merge"), "id").select("key", "i", "j", "id", F.lit(None).cast("array<long>").alias("others"), "text")
+    rows = rows.unionByName(asked.where("others IS NOT NULL").withColumn("text", F.lit(None).cast("string")))
+
+    def decide(batches):
+        for cell in groups(batches, 3):
+            sets: dict[int, np.ndarray] = {}
+            known = cell.filter(pa.compute.is_valid(cell.column(5)))
+            for first, end, data, offsets in arrays.text_slices(known.column(5).combine_chunks()) if known.num_rows else ():
+                of, values = shingle_sets(data, offsets)
+                parts = np.split(values, np.searchsorted(of, np.arange(1, end - first)))
+                sets.update(zip(known.column(3)[first:end].to_pylist(), parts, strict=True))
+            links = []
+            for x, others in zip(cell.column(3).to_pylist(), cell.column(4).to_pylist(), strict=True):
+                for y in others or ():
+                    a, b = sets[x], sets[y]
+                    common = int((np.searchsorted(a, b, "right") > np.searchsorted(a, b)).sum())
+                    if 100 * common >= PERCENT * (len(a) + len(b) - common):
+                        links.append((min(x, y), max(x, y)))
+            if links:
+                a, b = zip(*links, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(decide, "a long, b long")
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -239,20 +321,31 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     every = checkpointed(sketch(documents), "sketches")
     full = every.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = full.groupBy("set_key").agg(F.min("doc_id").alias("id"))
-    ids = checkpointed(full.join(classes, "set_key").select("doc_id", "id", "n_shingles", "registers"), "classes")
-    sketches = ids.where("doc_id = id").select("id", F.col("n_shingles").alias("n"), "registers").dropDuplicates(["id", "n", "registers"])
+    ids = checkpointed(full.select("doc_id", "set_key").join(classes, "set_key").select("doc_id", "id"), "classes")
+    # wide rows are written twice at most: as made, and one for each class
+    heads = full.join(classes, "set_key").where("doc_id = id")
+    sketches = heads.select("id", F.col("n_shingles").alias("n"), "bands", "registers").distinct()
     sketches = checkpointed(sketches, "class-sketches")
     texts = documents.select(F.col("doc_id").alias("id"), "text").where("text IS NOT NULL")
     bands = checkpointed(_bands(sketches), "bands")
-    heads = bands.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("size")).where("size > 1").select("key", "a")
-    stars = bands.join(heads, "key").where("a <> id").select("a", F.col("id").alias("b")).distinct()
+    heads = bands.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("size")).where("size > 1")
+    stars = bands.join(heads, "key").where("a <> id").select("a", F.col("id").alias("b"), (F.col("size") > FEW).alias("crowded"))
+    first = stars.where("crowded").groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    stars = stars.where("NOT crowded").select("a", "b").unionByName(first).distinct()
     same = ids.where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
     tried = checkpointed(_possible(stars, sketches), "stars")
     links = checkpointed(_linked(tried, texts), "links")
     found = components(links)
-    more = checkpointed(_across(bands, sketches, found).join(tried, ["a", "b"], "left_anti"), "across")
-    if not more.isEmpty():
-        links = links.unionByName(checkpointed(_linked(more, texts), "more-links"))
+    # buckets of two are done: their one pair has been tried
+    full_keys = bands.groupBy("key").count().where("count > 2").select("key")
+    crowded = checkpointed(bands.join(full_keys, "key"), "crowded")
+    for _ in range(ROUNDS):
+        more = checkpointed(_best_pairs(_cells(crowded, sketches, found)).join(tried, ["a", "b"], "left_anti"), "best")
+        if not more.isEmpty():
+            tried = tried.unionByName(more)
+            links = links.unionByName(checkpointed(_linked(more, texts), "more-links"))
+            found = components(links)
+    links = links.unionByName(checkpointed(_links_in_cells(_cells(crowded, sketches, found), texts), "last-links"))
     labels = components(links.unionByName(same)).groupBy("id").agg(F.min("component").alias("component"))
     out = every.join(labels, every.doc_id == labels.id, "left")
     component = F.coalesce("component", "doc_id")
