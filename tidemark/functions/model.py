@@ -62,10 +62,9 @@ def fit_linear(train: DataFrame, features: Sequence[str], label: str, strength:
 def fit_trees(train: DataFrame, features: Sequence[str], label: str, rounds: int = 30, seed: int = 7) -> PipelineModel:
     """Gradient-boosted trees on medians for what is missing."""
     filled = [f"{f}_filled" for f in features]
-    stages = [
-        Imputer(strategy="median", inputCols=list(features), outputCols=filled), VectorAssembler(inputCols=filled, outputCol="_features"),
-        GBTClassifier(featuresCol="_features", labelCol=label, maxIter=rounds, maxDepth=4, seed=seed, rawPredictionCol="_margin", probabilityCol="_probability", predictionCol="_prediction"),
-    ]
+    trees = GBTClassifier(featuresCol="_features", labelCol=label, maxIter=rounds, maxDepth=4, seed=seed, predictionCol="_prediction")
+    trees = trees.setRawPredictionCol("_margin").setProbabilityCol("_probability")
+    stages = [Imputer(strategy="median", inputCols=list(features), outputCols=filled), VectorAssembler(inputCols=filled, outputCol="_features"), trees]
     return Pipeline(stages=stages).fit(train)
 
 
