@@ -25,7 +25,7 @@ SUMMARY = f"""
              WHERE day_at > timestamp(:as_of) - INTERVAL 3 DAYS AND day_at <= timestamp(:as_of) AND {OF_SITE}) AS alerts_per_nurse_shift,
            (SELECT round(avg(escalated), 6) FROM {{alerts}} WHERE alert_at > timestamp(:as_of) - INTERVAL 7 DAYS AND alert_at <= timestamp(:as_of) AND {OF_SITE}) AS alert_precision,
            (SELECT count(escalated) FROM {{alerts}} WHERE alert_at > timestamp(:as_of) - INTERVAL 7 DAYS AND alert_at <= timestamp(:as_of) AND {OF_SITE}) AS alerts_with_outcome,
-           (SELECT round(median(hours_flagged), 4) FROM {{escalations}} WHERE event_at > timestamp(:as_of) - INTERVAL 7 DAYS AND event_at <= timestamp(:as_of) AND {OF_SITE}) AS median_hours_flagged
+           (SELECT round(median(hours_flagged), 2) FROM {{escalations}} WHERE event_at > timestamp(:as_of) - INTERVAL 7 DAYS AND event_at <= timestamp(:as_of) AND {OF_SITE}) AS median_hours_flagged
 """
 CENSUS = f"""
     SELECT day_at, site, sum(census) AS census, sum(n_low) AS n_low, sum(n_high) AS n_high, sum(alerts) AS alerts, sum(escalations) AS escalations
@@ -120,7 +120,7 @@ summary = _named(
     (SELECT round(sum(alerts) * 60.0 / sum(census), 6) FROM kpis WHERE day_at > {T} - INTERVAL 3 DAY AND day_at <= {T} AND site = 1) AS alerts_per_nurse_shift,
     (SELECT round(avg(escalated), 6) FROM alerts WHERE alert_at > {T} - INTERVAL 7 DAY AND alert_at <= {T} AND site = 1) AS alert_precision,
     (SELECT count(escalated) FROM alerts WHERE alert_at > {T} - INTERVAL 7 DAY AND alert_at <= {T} AND site = 1) AS alerts_with_outcome,
-    (SELECT round(median(hours_flagged), 4) FROM esc WHERE event_at > {T} - INTERVAL 7 DAY AND event_at <= {T} AND site = 1) AS median_hours_flagged""",
+    (SELECT round(median(hours_flagged), 2) FROM esc WHERE event_at > {T} - INTERVAL 7 DAY AND event_at <= {T} AND site = 1) AS median_hours_flagged""",
     site=1, patients_per_nurse=5, shift_hours=12,
 )
 census = _named(
