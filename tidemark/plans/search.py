@@ -123,7 +123,8 @@ def hashed_vector_norms(spark, sf_dir):
     return rows.groupBy("item_id").agg(F.round(F.sum(F.col("value") ** 2), 6).alias("norm"))
 
 
-@register("heading_chunks", "SELECT doc_id, CAST(0 AS INT) AS chunk, 'Part' AS section, 'one two' AS chunk_text FROM documents WHERE doc_id < 20")
+@register("heading_chunks", r"""SELECT doc_id, CAST(0 AS INT) AS chunk, lang AS section, body AS chunk_text FROM (SELECT doc_id, lang, regexp_replace(text, '[\n#`]+', ' ', 'g') AS body FROM documents) WHERE trim(body) <> ''""")
 def heading_chunks(spark, sf_dir):
-    pages = table(spark, sf_dir, "documents").where("doc_id < 20").select("doc_id", F.lit("# Part\n\none two\n").alias("body"))
+    body = F.concat(F.lit("# "), "lang", F.lit("\n\n"), F.regexp_replace("text", "[\n#`]+", " "))
+    pages = table(spark, sf_dir, "documents").select("doc_id", body.alias("body"))
     return retrieval.heading_chunks(pages, "doc_id", "body")

@@ -281,12 +281,11 @@ def drift_distances(spark, sf_dir):
 @register(
     "drift_levels",
     """
-    SELECT user_id, value, CASE WHEN value / 100 >= 0.2 THEN 'act' WHEN value / 100 >= 0.1 THEN 'warn' ELSE 'stable' END AS level FROM events WHERE event_id < 500
+    SELECT user_id, value, CASE WHEN value / 100 >= 0.2 THEN 'act' WHEN value / 100 >= 0.1 THEN 'warn' ELSE 'stable' END AS level FROM events
     """,
 )
 def drift_levels(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").where("event_id < 500")
-    return rows.select("user_id", "value", metrics.level(F.lit("feature_psi"), F.col("value") / 100).alias("level"))
+    return table(spark, sf_dir, "events").select("user_id", "value", metrics.level(F.lit("feature_psi"), F.col("value") / 100).alias("level"))
 
 
 @register("age_bands", "SELECT p_partkey, CASE WHEN p_size + 40 >= 18 AND p_size + 40 < 50 THEN '18-49' WHEN p_size + 40 < 70 THEN '50-69' WHEN p_size + 40 < 85 THEN '70-84' ELSE '85-199' END AS band FROM part")

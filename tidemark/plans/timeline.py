@@ -166,14 +166,14 @@ def range_join_before(spark, sf_dir):
 @register(
     "validity_join",
     """
-    SELECT o.o_orderkey, CAST(count(l.l_linenumber) AS BIGINT) AS n_open FROM (SELECT * FROM orders WHERE o_orderkey % 3 = 0) o
+    SELECT o.o_orderkey, CAST(count(l.l_linenumber) AS BIGINT) AS n_open FROM orders o
     LEFT JOIN (SELECT l_orderkey, l_linenumber, l_shipdate AS start_at, l_shipdate + INTERVAL 40 DAY AS stop_at FROM lineitem) l
       ON o.o_orderkey = l.l_orderkey AND l.start_at <= o.o_orderdate + INTERVAL 60 DAY AND l.stop_at > o.o_orderdate + INTERVAL 60 DAY
     GROUP BY 1
     """,
 )
 def validity_join(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select("o_orderkey", (F.col("o_orderdate") + F.expr("INTERVAL 60 DAYS")).alias("at"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderdate") + F.expr("INTERVAL 60 DAYS")).alias("at"))
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", F.col("l_shipdate").alias("start_at"), (F.col("l_shipdate") + F.expr("INTERVAL 40 DAYS")).alias("stop_at"))
     return joins.valid_at(orders, lines, "o_orderkey", "at", "start_at", "stop_at").groupBy("o_orderkey").agg(F.count("l_linenumber").alias("n_open"))
 
@@ -198,14 +198,13 @@ def first_outcome(spark, sf_dir):
 @register(
     "densified_hours",
     """
-    WITH b AS (SELECT user_id, date_trunc('hour', ts) AS bucket, count(*) AS n FROM events WHERE user_id <= 15 GROUP BY 1, 2),
+    WITH b AS (SELECT user_id, date_trunc('hour', ts) AS bucket, count(*) AS n FROM events GROUP BY 1, 2),
     g AS (SELECT user_id, unnest(generate_series(min(bucket), max(bucket), INTERVAL 1 HOUR)) AS bucket FROM b GROUP BY 1)
     SELECT g.user_id, g.bucket, CAST(b.n AS BIGINT) AS n FROM g LEFT JOIN b USING (user_id, bucket)
     """,
 )
 def densified_hours(spark, sf_dir):
-    some = table(spark, sf_dir, "events").where("user_id <= 15")
-    buckets = some.groupBy("user_id", F.date_trunc("hour", "ts").alias("bucket")).agg(F.count("*").alias("n"))
+    buckets = table(spark, sf_dir, "events").groupBy("user_id", F.date_trunc("hour", "ts").alias("bucket")).agg(F.count("*").alias("n"))
     return timegrid.densify(buckets, "user_id", "bucket")
 
 
