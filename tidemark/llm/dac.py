@@ -296,7 +296,7 @@ def write_tokens(documents: DataFrame, folder: str, vocabulary: str, end_id: int
 
     rows = documents.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     schema = "file string, part long, seq long, n_docs long, n_tokens long"
-    return checkpointed(rows.mapInArrow(write, schema), "dac-manifest")
+    return checkpointed(rows.mapInArrow(arrays.tidied(write), schema), "dac-manifest")
 
 
 def with_starts(manifest: DataFrame) -> DataFrame:
@@ -328,7 +328,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                         "ids": pa.array([tokens[a:b].astype("<u4").tobytes() for a, b in zip(firsts, stop, strict=True)], pa.binary()),
                     })
 
-    return with_starts(manifest).select("file", "base").repartition(min(n, 4096)).mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
+    return with_starts(manifest).select("file", "base").repartition(min(n, 4096)).mapInArrow(arrays.tidied(read), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def tokenize(documents: DataFrame, vocabulary: str, end_id: int = 1) -> DataFrame:

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm import arrays
+
 #: Bits of the filter's size: 4 MB.
 FILTER_BITS = 25
 
@@ -43,4 +45,4 @@ def likely(rows: DataFrame, key: Column, keys: DataFrame, column: str) -> DataFr
         for batch in batches:
             yield batch.select(batch.schema.names[:-1]).filter(pa.array(shared.value.has(batch.column(batch.num_columns - 1).to_numpy())))
 
-    return rows.withColumn("_key", key).mapInArrow(run, rows.schema)
+    return rows.withColumn("_key", key).mapInArrow(arrays.tidied(run), rows.schema)

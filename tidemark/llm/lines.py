@@ -104,8 +104,8 @@ def word_counts(documents: DataFrame) -> np.ndarray:
                 total[cell] = total.get(cell, 0) + np.frombuffer(counts, np.int64)
         yield pa.RecordBatch.from_pydict({"cell": pa.array(list(total), pa.int32()), "counts": pa.array([x.tobytes() for x in total.values()], pa.binary())})
 
-    rows = documents.select("text").mapInArrow(run, "cell int, counts binary")
-    table = rows.repartition("cell").mapInArrow(add, "cell int, counts binary").toArrow()
+    rows = documents.select("text").mapInArrow(arrays.tidied(run), "cell int, counts binary")
+    table = rows.repartition("cell").mapInArrow(arrays.tidied(add), "cell int, counts binary").toArrow()
     out = np.zeros((1 << WORD_BITS) // CELL * CELL, np.int64).reshape(-1, CELL)
     for cell, counts in zip(table["cell"].to_pylist(), table["counts"].to_pylist(), strict=True):
         out[cell] = np.frombuffer(counts, np.int64)
@@ -167,8 +167,8 @@ def first_lines(documents: DataFrame, counts: np.ndarray) -> DataFrame:
                 last = (k1[-1], k2[-1])
                 yield batch.filter(pa.array(new))
 
-    rows = _source(documents).mapInArrow(send, CLASS).repartition("k1").sortWithinPartitions("k1", "k2", "doc_id", "mark", "line")
-    return checkpointed(rows.mapInArrow(first_of, CLASS), "line-classes")
+    rows = _source(documents).mapInArrow(arrays.tidied(send), CLASS).repartition("k1").sortWithinPartitions("k1", "k2", "doc_id", "mark", "line")
+    return checkpointed(rows.mapInArrow(arrays.tidied(first_of), CLASS), "line-classes")
 
 
 def rarity_order(row: np.ndarray, steps: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -219,7 +219,7 @@ def index_entries(classes: DataFrame, words: KeyFilter | None = None) -> DataFra
                 ["word", "doc_id", "mark", "line", "key", "n", "at", "sketch"],
             )
 
-    return classes.mapInArrow(enter, ENTRY)
+    return classes.mapInArrow(arrays.tidied(enter), ENTRY)
 
 
 class Entries:
@@ -347,13 +347,13 @@ def candidates(classes: DataFrame, only: tuple[KeyFilter, KeyFilter] | None = No
                 yield rows_of(entries, np.array(later), np.array(earlier), np.array(more))
 
     dealt = index_entries(classes, only and only[1]).repartition("word").sortWithinPartitions("word", "doc_id", "mark", "line")
-    found = checkpointed(dealt.mapInArrow(small, f"{PAIR}, {ENTRY}"), "line-pairs")
+    found = checkpointed(dealt.mapInArrow(arrays.tidied(small), f"{PAIR}, {ENTRY}"), "line-pairs")
     pairs, many = found.where("later IS NOT NULL").select("later", "earlier", "more"), found.where("later IS NULL").select(*ENTRY_NAMES)
     sizes = many.groupBy("word").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     many = many.join(sizes, "word").withColumn("own", F.pmod("key", "blocks").cast("int"))
     many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = many.select("word", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "mark", "line", "key", "n", "at", "sketch")
-    cells = cells.repartition("word", "i", "j").sortWithinPartitions("word", "i", "j", "doc_id", "mark", "line").mapInArrow(cell, PAIR)
+    cells = cells.repartition("word", "i", "j").sortWithinPartitions("word", "i", "j", "doc_id", "mark", "line").mapInArrow(arrays.tidied(cell), PAIR)
     return pairs.unionByName(cells).groupBy("later", "earlier").agg(F.bool_or("more").alias("more"))
 
 
@@ -367,7 +367,7 @@ def words_of(classes: DataFrame, keys: KeyFilter) -> DataFrame:
             words = b"".join(batch.column(3).filter(pa.array(some)).to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(words, np.int64))], ["word"])
 
-    return classes.select("doc_id", "mark", "line", "prefix").mapInArrow(run, "word long").distinct()
+    return classes.select("doc_id", "mark", "line", "prefix").mapInArrow(arrays.tidied(run), "word long").distinct()
 
 
 def verified(pairs: DataFrame, documents: DataFrame) -> DataFrame:
@@ -398,10 +398,10 @@ def verified(pairs: DataFrame, documents: DataFrame) -> DataFrame:
                 good.append(common >= need(len(a), len(b)))
             yield batch.select(["later"]).filter(pa.array(good, pa.bool_()))
 
-    words = _source(documents).where("text IS NOT NULL").mapInArrow(send, "key long, words binary").dropDuplicates(["key"])
+    words = _source(documents).where("text IS NOT NULL").mapInArrow(arrays.tidied(send), "key long, words binary").dropDuplicates(["key"])
     rows = pairs.join(words.select(F.col("key").alias("later"), F.col("words").alias("a")), "later")
     rows = rows.join(words.select(F.col("key").alias("earlier"), F.col("words").alias("b")), "earlier").select("later", "a", "b")
-    return rows.mapInArrow(check, "later long").distinct()
+    return rows.mapInArrow(arrays.tidied(check), "later long").distinct()
 
 
 def kept_lines(documents: DataFrame) -> DataFrame:
@@ -421,7 +421,7 @@ def kept_lines(documents: DataFrame) -> DataFrame:
             keys = place_key(*(batch.column(i).to_numpy() for i in range(3)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys)], ["doc_id", "mark", "line", "key"])
 
-    firsts = classes.select("doc_id", "mark", "line").mapInArrow(key, "doc_id long, mark long, line int, key long")
+    firsts = classes.select("doc_id", "mark", "line").mapInArrow(arrays.tidied(key), "doc_id long, mark long, line int, key long")
     stay = firsts.join(matched.select(F.col("later").alias("key")), "key", "left_anti")
     return stay.groupBy("doc_id", "mark").agg(F.collect_set("line").alias("lines"))
 
@@ -450,4 +450,4 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64())], [*own, "n_lines", "n_removed"])
 
-    return rows.select("row.*", F.col("lines").alias("kept_line_numbers")).mapInArrow(run, f"{fields}, n_lines long, n_removed long")
+    return rows.select("row.*", F.col("lines").alias("kept_line_numbers")).mapInArrow(arrays.tidied(run), f"{fields}, n_lines long, n_removed long")

@@ -155,7 +155,7 @@ def sketch(documents: DataFrame) -> DataFrame:
                     ["doc_id", "n_shingles", "set_key", "bands", "registers"],
                 )
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands binary, registers binary")
+    return documents.select("doc_id", "text").mapInArrow(arrays.tidied(run), "doc_id long, n_shingles long, set_key binary, bands binary, registers binary")
 
 
 def _matrix(column: pa.Array, kind: type) -> np.ndarray:
@@ -174,7 +174,7 @@ def _bands(sketches: DataFrame) -> DataFrame:
                 taken = pa.array(rows)
                 yield pa.RecordBatch.from_arrays([pa.array(keys[rows, bands].view(np.int64)), batch.column(0).take(taken), batch.column(1).take(taken)], ["key", "id", "n"])
 
-    return sketches.select("id", "n", "bands").mapInArrow(run, "key long, id long, n long")
+    return sketches.select("id", "n", "bands").mapInArrow(arrays.tidied(run), "key long, id long, n long")
 
 
 def _possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -189,7 +189,7 @@ def _possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
                 yield batch.select(["a", "b"]).filter(pa.array(may_link(r_a, r_b, batch.column(2).to_numpy(), batch.column(3).to_numpy())[0]))
 
     rows = pairs.join(other.hint("merge"), "b").join(one.hint("merge"), "a").select("a", "b", "n_a", "n_b", "r_a", "r_b")
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(arrays.tidied(run), "a long, b long")
 
 
 def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -224,7 +224,7 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(linked)), rows.column(3).take(pa.array(linked))], ["a", "b"])
 
     dealt = needed.repartition("a", "copy").sortWithinPartitions("a", "copy", "member")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(arrays.tidied(run), "a long, b long")
 
 
 def _cells(crowded: DataFrame, sketches: DataFrame, found: DataFrame) -> DataFrame:
@@ -267,7 +267,7 @@ def _best_pairs(cells: DataFrame) -> DataFrame:
                 a, b = zip(*pairs, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return cells.mapInArrow(run, "a long, b long").distinct()
+    return cells.mapInArrow(arrays.tidied(run), "a long, b long").distinct()
 
 
 def _links_in_cells(cells: DataFrame, texts: DataFrame) -> DataFrame:
@@ -288,7 +288,7 @@ def _links_in_cells(cells: DataFrame, texts: DataFrame) -> DataFrame:
                 ids, others = [*named, *(x for x, _ in rows)], [*([None] * len(named)), *(o for _, o in rows)]
                 yield pa.RecordBatch.from_arrays([*place, pa.array(ids, pa.int64()), pa.array(others, pa.list_(pa.int64()))], names)
 
-    asked = checkpointed(cells.mapInArrow(ask, schema), "cells")
+    asked = checkpointed(cells.mapInArrow(arrays.tidied(ask), schema), "cells")
     named = asked.where("others IS NULL").select("key", "i", "j", "id")
     texts = likely(texts, F.xxhash64("id"), named.select(F.xxhash64("id").alias("hashed")), "hashed")
     rows = named.join(texts.hint("merge"), "id").select("key", "i", "j", "id", F.lit(None).cast("array<long>").alias("others"), "text")
@@ -313,7 +313,7 @@ def _links_in_cells(cells: DataFrame, texts: DataFrame) -> DataFrame:
                 a, b = zip(*links, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(decide, "a long, b long")
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(arrays.tidied(decide), "a long, b long")
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tidemark.llm import arrays
 from tidemark.session import ship_package
 
 SPACE = "▁"
@@ -219,6 +220,10 @@ class MergeModel:
                 raise ValueError("the library encodes a text otherwise")
         return out
 
+    def forget(self) -> None:
+        """Chunks are remembered for one task: workers go on to other work."""
+        self.known = Remembered()
+
     def decode(self, ids: list[bytes]) -> list[str]:
         """The texts, by the library's decode(ids)."""
         decode = self.library.decode
@@ -246,5 +251,6 @@ def encode_decode(documents: DataFrame, vocabulary: str) -> DataFrame:
                 ids = model(vocabulary).encode(some.column(1).to_pylist())
                 texts = model(vocabulary).decode(ids)
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(ids, pa.binary()), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
+        model(vocabulary).forget()
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary, decoded string")
+    return documents.select("doc_id", "text").mapInArrow(arrays.tidied(run), "doc_id long, ids binary, decoded string")

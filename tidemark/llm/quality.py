@@ -31,6 +31,8 @@ SAMPLE_ROWS = 2500
 MIN_QUALITY = 0.5
 #: Hashed features of each family.
 BUCKETS = 1 << 14
+#: Feature values that a step of the fit holds at once.
+VALUES_AT_ONCE = 500_000
 FAMILIES = ("word", "word pair", "3 bytes", "5 bytes")
 WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -142,27 +144,40 @@ def fit(features: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray
         return None
     size = len(FAMILIES) * BUCKETS
 
-    def stacked(rows):
-        some = [i for i in range(len(labels)) if rows[i]]
-        counts = np.array([len(features[i]) for i in some])
-        return np.concatenate([features[i] for i in some]), np.concatenate([values[i] for i in some]), np.repeat(np.arange(len(some)), counts), labels[rows].astype(float)
+    def parts(rows):
+        """Some documents at a time: features, values, row of each value, rows; bounds what a step holds."""
+        some, at = [i for i in range(len(labels)) if rows[i]], 0
+        while at < len(some):
+            size = np.cumsum([len(features[i]) for i in some[at : at + 500]])
+            end = at + max(1, int(np.searchsorted(size, VALUES_AT_ONCE)))
+            own = some[at:end]
+            yield np.concatenate([features[i] for i in own]), np.concatenate([values[i] for i in own]), np.repeat(np.arange(len(own)), [len(features[i]) for i in own]), slice(at, at + len(own))
+            at += len(own)
+
+    def logits(rows):
+        out = np.full(int(rows.sum()), bias)
+        for idx, val, row, here in parts(rows):
+            out[here] += np.bincount(row, w[idx] * val, here.stop - here.start)
+        return out
 
-    idx, val, row, y = stacked(~held)
+    y = labels[~held].astype(float)
     weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
     w, bias = np.zeros(size), 0.0
     m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
     for t in range(1, rounds + 1):
-        z = np.bincount(row, w[idx] * val, len(y)) + bias
-        error = weight * (1 / (1 + np.exp(-z)) - y)
-        grad, gb = np.bincount(idx, error[row] * val, size) + 1e-6 * w, error.sum()
+        grad, gb = 1e-6 * w, 0.0
+        for idx, val, row, here in parts(~held):
+            z = np.bincount(row, w[idx] * val, here.stop - here.start) + bias
+            error = weight[here] * (1 / (1 + np.exp(-z)) - y[here])
+            grad += np.bincount(idx, error[row] * val, size)
+            gb += error.sum()
         m, v, mb, vb = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb**2
         rate = 1.0 * np.sqrt(1 - 0.99**t) / (1 - 0.9**t)
         w -= rate * m / (np.sqrt(v) + 1e-8)
         bias -= 0.1 * rate * mb / (np.sqrt(vb) + 1e-8)
     out = Classifier(w.reshape(len(FAMILIES), BUCKETS).astype(np.float32), float(bias))
     if len(set(labels[held])) == 2:
-        idx, val, row, y = stacked(held)
-        z = np.bincount(row, w[idx] * val, len(y)) + bias
+        z, y = logits(held), labels[held].astype(float)
         # Platt's targets keep the slope finite on separable rows
         target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
         slope, shift = 1.0, 0.0
@@ -195,7 +210,7 @@ def train(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
 
     # no more rows than the sample has doc_ids: of rows that repeat one, the first by text stays
     texts = texts.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
-    rows = texts.mapInArrow(run, "doc_id long, quality int, features binary, parts binary").toArrow().sort_by("doc_id")
+    rows = texts.mapInArrow(arrays.tidied(run), "doc_id long, quality int, features binary, parts binary").toArrow().sort_by("doc_id")
     if not rows.num_rows:
         return None
     features = [np.frombuffer(x, np.int32) for x in rows["features"].to_pylist()]
@@ -228,4 +243,4 @@ def judge(documents: DataFrame, classifier: Classifier | None, min_quality: floa
                 names = [*own, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "quality", "kept"]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return documents.mapInArrow(run, schema)
+    return documents.mapInArrow(arrays.tidied(run), schema)

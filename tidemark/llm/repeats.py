@@ -122,7 +122,7 @@ def parse(documents: DataFrame) -> DataFrame:
                     ["word", "phrase", "doc_id", "mark", "x", "lo", "hi"],
                 )
 
-    return _source(documents).where("text IS NOT NULL").mapInArrow(run, "word long, phrase long, doc_id long, mark long, x int, lo int, hi int")
+    return _source(documents).where("text IS NOT NULL").mapInArrow(arrays.tidied(run), "word long, phrase long, doc_id long, mark long, x int, lo int, hi int")
 
 
 def order_parse(entries: DataFrame) -> DataFrame:
@@ -166,7 +166,7 @@ def order_parse(entries: DataFrame) -> DataFrame:
                     yield rows
 
     dealt = entries.repartition("word").sortWithinPartitions("word", "phrase", "doc_id", "mark", "x")
-    return dealt.mapInArrow(run, "doc_id long, mark long, x int, lo int, hi int")
+    return dealt.mapInArrow(arrays.tidied(run), "doc_id long, mark long, x int, lo int, hi int")
 
 
 def segments(documents: DataFrame, unsure: DataFrame) -> DataFrame:
@@ -205,7 +205,7 @@ def segments(documents: DataFrame, unsure: DataFrame) -> DataFrame:
                         ["key", "doc_id", "mark", "start", "bytes"],
                     )
 
-    return rows.mapInArrow(run, "key long, doc_id long, mark long, start int, bytes binary")
+    return rows.mapInArrow(arrays.tidied(run), "key long, doc_id long, mark long, start int, bytes binary")
 
 
 def _ramp(counts: np.ndarray) -> np.ndarray:
@@ -300,7 +300,7 @@ def order_windows(rows: DataFrame, hot: int = HOT) -> DataFrame:
             yield decided(ready)
 
     dealt = rows.repartition("key").sortWithinPartitions("key", "doc_id", "mark", "start")
-    return dealt.mapInArrow(run, "content long, doc_id long, mark long, lo int, hi int")
+    return dealt.mapInArrow(arrays.tidied(run), "content long, doc_id long, mark long, lo int, hi int")
 
 
 def order_contents(rows: DataFrame) -> DataFrame:
@@ -347,7 +347,7 @@ def remove_repeats(documents: DataFrame, hot: int = HOT) -> DataFrame:
             columns = [pa.array(c, pa.int64()) for c in (sizes, removed, spans)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return rows.mapInArrow(arrays.tidied(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def brute_force(texts: list[tuple[int, bytes]], length: int = LENGTH) -> dict[int, np.ndarray]:
