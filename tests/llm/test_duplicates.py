@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tests.llm.conftest import SCHEMA, document, edited, sentence
+from tests.llm.conftest import SCHEMA, WORDS, document, edited, sentence
 from tidemark.llm import graph, lines, minhash, quality, repeats
 
 
@@ -116,6 +116,26 @@ def test_line_dedup_equals_brute_force(spark, documents, rows, nothing, unnamed,
         assert {r.lang for r in lines.dedup_lines(documents).collect()} == {"en"}
 
 
+def test_short_lines_are_judged(spark):
+    """Lines of one word and more, and sets around the smallest that can match without being equal."""
+    r = random.Random(11)
+    nine = [w + "x" for w in WORDS[:9]]
+    texts = {0: "One\ntwo words\nA b c\na b c d\n\n" + " ".join(nine), 1: "one\nwords TWO two\n\nnew\nc b a\nd a b c\na b c e", 2: "one", 3: " ".join([*nine, "ten"])}
+    texts |= {4: " ".join(nine[:8]), 5: " ".join([*nine[:8], "other"]), 6: " ".join(nine[::-1])}
+    texts |= {10 + i: "\n".join(" ".join(r.choice("abcde") for _ in range(r.randint(0, 5))) for _ in range(12)) for i in range(30)}
+    got = {x.doc_id: x.text for x in lines.dedup_lines(spark.createDataFrame([(i, t, "", "", 0) for i, t in texts.items()], SCHEMA)).collect()}
+    earlier, want = [], {}
+    for i in sorted(texts):
+        keep = []
+        for line in texts[i].split("\n"):
+            words = frozenset(line.lower().split())
+            if not words or not any(10 * len(words & e) >= 9 * len(words | e) for e in earlier):
+                keep.append(line)
+            earlier += [words] if words else []
+        want[i] = "\n".join(keep)
+    assert got == want and got[1] == "\nnew\na b c e" and [got[i] for i in (2, 3, 6)] == [""] * 3 and got[4] and got[5]
+
+
 def test_repeats_equal_brute_force(spark, documents, rows, nothing, unnamed):
     r = random.Random(9)
     passage = sentence(r, 60)

@@ -6,15 +6,15 @@ Jaccard similarity of THRESHOLD or more with it. Earlier lines count whether or
 
 1. Word counts over the whole corpus, in a table of fixed size by word hash, order words by rarity.
 2. Equal sets are one class, whose first line stands for it.
-3. Each class is entered under the words of its prefix, the n - ceil(THRESHOLD n) + 1 rarest. Two sets that are
-   similar enough share one of them. Within a word's entries, a pair is a candidate if its sizes, the places of the
-   word in both (words left after it bound the overlap) and the bits that differ in two 128-bit sketches (no more
-   than the sets' difference) allow it.
+3. Each class is entered under the words of its prefix, the n - ceil(THRESHOLD n) + 1 rarest; those of fewer than
+   UNEQUAL words are not, as nothing but an equal set is similar enough. Two sets that are similar enough share a prefix
+   word. Within a word's entries, a pair is a candidate if its sizes, the places of the word in both (words left after
+   it bound the overlap) and the bits that differ in two 128-bit sketches (no more than the sets' difference) allow it.
 4. Only the existence of one earlier match matters: a class first tries its FIRST earliest candidates of each word.
    Those it has in vain, with candidates left, try all the others in a second round.
 5. Candidates are decided on the full word sets (64-bit word hashes).
 
-Cases: null texts stay null and have no lines. Shorter lines and empty ones always stay. Rows that repeat doc_id and
+Cases: null texts stay null and have no lines. Lines without words always stay. Rows that repeat doc_id and
 text share their lines' places, so they keep the same lines; rows of one doc_id with other texts are ordered by a hash
 of the text. Null doc_ids come first. Very long lines are ordinary. Further columns pass through.
 """
@@ -32,7 +32,9 @@ from tidemark.llm.streams import groups
 from tidemark.session import checkpointed, ship_package
 
 THRESHOLD = (9, 10)
-MIN_WORDS = 5
+MIN_WORDS = 1
+#: Distinct words of the smallest set that can be similar enough to another without being equal: 9, to one of 10.
+UNEQUAL = -(-THRESHOLD[0] // (THRESHOLD[1] - THRESHOLD[0]))
 #: Bits of the number of counters of the word table: a fixed size, however large the corpus.
 WORD_BITS = 20
 #: Earlier candidates that a class tries in the first round, for each word; entries of a word compared at once.
@@ -203,6 +205,7 @@ def index_entries(classes: DataFrame, words: KeyFilter | None = None) -> DataFra
 
     def enter(batches):
         for batch in batches:
+            batch = batch.filter(pa.array(batch.column(5).to_numpy() >= UNEQUAL))
             if not batch.num_rows:
                 continue
             doc_id, mark, line, n = (batch.column(i).to_numpy() for i in (2, 3, 4, 5))
