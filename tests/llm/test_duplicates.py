@@ -192,6 +192,18 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     assert {x.doc_id: x.ids_sha256 for x in corpus_pipeline.run(spark, str(tmp_path)).collect()} == want
 
 
+def test_copies_with_short_lines_leave_the_pipeline(spark):
+    """A copy loses its lines of one to four words too, so nothing is left of it that near-dedup would not know."""
+    r = random.Random(12)
+    short = lambda i: "\n".join(" ".join(f"{w}{i}" for w in WORDS[:n]) for n in range(1, 5))
+    texts = {i: f"{short(i)}\n{document(r, 3)}\n\nend of {i}" for i in range(8)}
+    copies = {100 + i: texts[i] for i in texts} | {200: texts[0].upper(), 201: "\n".join(reversed(texts[1].split("\n")))}
+    other = {300: short(2) + "\nonly here"}
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in {**texts, **copies, **other}.items()], SCHEMA)
+    got = {x.doc_id: (x.text, x.n_chars) for x in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert got == {i: (t, len(t)) for i, t in texts.items()} | {300: ("only here", 9)}
+
+
 def test_stages_keep_columns(spark, tmp_path, rows, nothing):
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
