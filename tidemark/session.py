@@ -10,6 +10,8 @@ import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -59,10 +61,59 @@ def _drop(spark: SparkSession, path: str) -> None:
 
 def checkpointed(df, purpose: str):
     """`df` written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
+    return written(df, None, df.schema, purpose)
+
+
+#: Bytes that a worker holds before it writes a row group.
+ROW_GROUP = 8 << 20
+
+
+def written(df, run, schema, purpose: str):
+    """`df`, or what the mapInArrow function `run` makes of it, as a checkpointed table of this schema.
+
+    Hadoop's local file system starts a process for each file and folder that it makes, to set its mode. So where the
+    shared folder is a mount (file:), the Python workers write the Parquet files. An attempt of a task writes a hidden
+    file of its own; the driver moves those of the attempts that Spark took, so what a lost or repeated attempt leaves
+    is never read. On other file systems Spark's writer does it.
+    """
     spark = df.sparkSession
     path = shared_dir(spark, purpose)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if not path.startswith("file:"):
+        (df if run is None else df.mapInArrow(run, schema)).write.parquet(path)
+        return spark.read.schema(schema).parquet(path)
+    local = "/" + path.removeprefix("file:").lstrip("/")
+    hidden = os.path.join(local, "_attempts")
+    os.makedirs(hidden)
+    fields = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
+    wanted = None if run is None else to_arrow_schema(fields)
+
+    def write(batches):
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+
+        name, out, held, size = f"{uuid.uuid4().hex}.parquet", None, [], 0
+
+        def flush():
+            nonlocal out, held, size
+            out = out or pq.ParquetWriter(os.path.join(hidden, name), held[0].schema, compression="snappy")
+            out.write_table(pa.Table.from_batches(held))
+            held, size = [], 0
+
+        for batch in batches if run is None else run(batches):
+            if batch.num_rows:
+                held.append(batch if wanted is None else batch.select(wanted.names).cast(wanted))
+                size += batch.nbytes
+                if size >= ROW_GROUP:
+                    flush()
+        if held:
+            flush()
+        if out is not None:
+            out.close()
+            yield pa.RecordBatch.from_pydict({"name": [name]})
+
+    for row in df.mapInArrow(write, "name string").collect():  # a name for each task
+        os.rename(os.path.join(hidden, row.name), os.path.join(local, row.name))
+    return spark.read.schema(schema).parquet(path)
 
 
 _SHIPPED: set[str] = set()
