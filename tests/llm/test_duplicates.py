@@ -89,7 +89,7 @@ def brute_lines(texts: dict[int, str | None]) -> dict[int, str | None]:
         keep = []
         for line in [] if texts[i] is None else texts[i].split("\n"):
             words = frozenset(line.encode().lower().split())
-            if len(words) >= lines.MIN_WORDS:
+            if words:
                 if not any(10 * len(words & e) >= 9 * len(words | e) for e in earlier):
                     keep.append(line)
                 earlier.append(words)
@@ -99,7 +99,7 @@ def brute_lines(texts: dict[int, str | None]) -> dict[int, str | None]:
     return out
 
 
-@pytest.mark.parametrize("limits", [{}, {"FIRST": 1, "BLOCK": 3, "TOGETHER": 40}])
+@pytest.mark.parametrize("limits", [{}, {"FIRST": 1, "BLOCK": 3, "TOGETHER": 40, "COMMON": 2, "PAIRS": 7}, {"FIRST": 1, "BLOCK": 2, "COMMON": 10**6}])
 def test_line_dedup_equals_brute_force(spark, documents, rows, nothing, unnamed, monkeypatch, limits):
     for name, value in limits.items():
         monkeypatch.setattr(lines, name, value)

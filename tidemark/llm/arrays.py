@@ -136,6 +136,12 @@ def binary_column(blob: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(blob))]).cast(pa.binary())
 
 
+@lru_cache(1)
+def _settled() -> None:
+    """Once in a worker: what was imported is left out of later collections, which would take most of a short task."""
+    gc.freeze()
+
+
 def tidied(run: Callable) -> Callable:
     """A mapInArrow function that gives freed memory back to the system when its task ends.
 
@@ -147,6 +153,7 @@ def tidied(run: Callable) -> Callable:
             yield from run(batches)
         finally:
             gc.collect()
+            _settled()
             pa.default_memory_pool().release_unused()
             try:
                 ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -1,4 +1,4 @@
-"""Bloom filters of a fixed size, so that broadcasting one has a bound whatever the corpus.
+"""Bloom filters of a bounded size, so that broadcasting one has a bound whatever the corpus.
 
 They only ever thin out rows ahead of an exact join or check: a full filter lets everything through, which costs time
 and changes no result.
@@ -13,27 +13,29 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import arrays
 
-#: Bits of the filter's size: 4 MB.
-FILTER_BITS = 25
+#: Bits of a filter's size: 16 for each key that is expected, between 2^20 (128 kB) and 2^27 (16 MB).
+LEAST_BITS, MOST_BITS = 20, 27
 
 
 class KeyFilter:
-    """A Bloom filter of fixed size over 64-bit hashes: may let others through, never keeps a member out."""
+    """A Bloom filter over 64-bit hashes: may let others through, never keeps a member out."""
 
-    def __init__(self, keys: DataFrame, column: str):
-        size = (1 << FILTER_BITS) - 1
+    def __init__(self, keys: DataFrame, column: str, expected: int | None = None):
+        expected = keys.count() if expected is None else expected
+        self.bits = min(max((16 * expected).bit_length(), LEAST_BITS), MOST_BITS)
+        size = (1 << self.bits) - 1
         bits = keys.select(F.explode(F.array(*[F.shiftrightunsigned(column, s).bitwiseAND(size) for s in (0, 32)])).alias("bit"))
         words = bits.groupBy(F.shiftright("bit", 5).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, int(bit & 31))")).alias("word"))
-        table = words.toArrow()  # 2^(FILTER_BITS - 5) rows at most
-        self.words = np.zeros(1 << (FILTER_BITS - 5), np.int64)
+        table = words.toArrow()  # 2^(bits - 5) rows at most
+        self.words = np.zeros(1 << (self.bits - 5), np.uint32)
         self.words[table["at"].to_numpy()] = table["word"].to_numpy()
 
     def has(self, keys: np.ndarray) -> np.ndarray:
         """Which of the keys may be members."""
         out = np.ones(len(keys), bool)
         for shift in (0, 32):
-            bit = (keys.view(np.uint64) >> np.uint64(shift)) & np.uint64((1 << FILTER_BITS) - 1)
-            out &= (self.words[(bit >> np.uint64(5)).astype(np.int64)] >> (bit & np.uint64(31)).astype(np.int64)) & 1 == 1
+            bit = (keys.view(np.uint64) >> np.uint64(shift)) & np.uint64((1 << self.bits) - 1)
+            out &= (self.words[(bit >> np.uint64(5)).astype(np.int64)] >> (bit & np.uint64(31)).astype(np.uint32)) & 1 == 1
         return out
 
 
