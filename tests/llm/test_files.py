@@ -50,6 +50,8 @@ def test_reader_finds_damage():
 def test_codes_give_every_token(ids, width):
     file = dac.DacFile(dac.pack(np.array(ids, np.uint32), np.array([7]), np.array([0]), width))
     assert (file.tokens().tolist() if ids else []) == ids
+    for a in {0, len(ids) // 3, len(ids) // 2}:
+        assert file.run(a, len(ids)).tolist() == ids[a:]
     for i in {0, 1, len(ids) // 2, len(ids) - 1, 511, 512, 513}:
         if 0 <= i < len(ids):
             assert file.token(i) == ids[i]
@@ -59,8 +61,36 @@ def test_codes_give_every_token(ids, width):
 
 def test_damaged_code_file():
     data = dac.pack(np.arange(9, dtype=np.uint32), np.array([1]), np.array([0]))
+    for at in (3, 20, 40, len(data) - 1):
+        with pytest.raises(ValueError, match="damaged"):
+            broken = dac.DacFile(data[:at] + bytes([data[at] ^ 1]) + data[at + 1 :])
+            broken.documents(0, 1), broken.tokens(), [broken._items(i, "u1", 0, int(n)) for i, (_, n) in enumerate(broken.sections)]
     with pytest.raises(ValueError, match="damaged"):
-        dac.DacFile(data[:40] + b"\x01" + data[41:])
+        dac.DacFile(data[:15])
+
+
+class Counted(io.BytesIO):
+    """A file that knows how much was read of it."""
+
+    bytes_read = 0
+
+    def read(self, n=-1):
+        out = super().read(n)
+        self.bytes_read += len(out)
+        return out
+
+
+def test_one_token_needs_few_pages():
+    ids = np.random.default_rng(2).integers(0, 49_000, 1_000_000).astype(np.uint32)
+    data = dac.pack(ids, np.arange(10), np.arange(10) * 100_000)
+    for i in (0, 123_456, 999_999):
+        source = Counted(data)
+        assert dac.DacFile(source).token(i) == ids[i] and source.bytes_read < len(data) / 4
+    source = Counted(data)
+    file = dac.DacFile(source)
+    keys, firsts = file.documents(3, 5)
+    assert keys.tolist() == [3, 4] and firsts.tolist() == [300_000, 400_000, 500_000] and (file.run(300_000, 500_000) == ids[300_000:500_000]).all()
+    assert source.bytes_read < len(data) / 2 and file.documents(9, 10)[1].tolist() == [900_000, 1_000_000]
 
 
 def test_token_files_equal_library(spark, documents, rows, monkeypatch):

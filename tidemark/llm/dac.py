@@ -3,12 +3,16 @@
 Each id is cut into chunks of `width` bits. Level 0 holds the lowest chunk of every id, level 1 the next chunk of
 the ids that have one, and so on. A level's continuation bitmap says which of its ids go on; their place in the
 next level is the number of set bits before them, which a rank directory (set bits before each block of 512)
-and one popcount give. So any token is reached in as many steps as it has chunks, without decoding a block.
+and one popcount give. So any token, and any run of them, is reached in as many steps as it has chunks, without
+decoding a block.
 
-A file holds the documents of a run of doc_ids: header, document directory (doc_id, first token), levels.
+A file holds the documents of a run of doc_ids: a header with the places of all sections, the document directory
+(doc_id, first token) and the levels. The body lies in pages of PAGE bytes whose checksums the header holds, so a reader
+takes only the pages that it needs from the store, and each is verified.
 
 Cases: a null text is an empty one and is the end id alone. Rows that repeat a doc_id follow each other, ordered by
-text. Null doc_ids come first. An empty table makes no file and no row. Other columns are ignored.
+text. Null doc_ids come first. Very long texts are encoded whole; they may make a file larger than others. An empty table
+makes no file and no row. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,10 +28,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import arrays, storage
-from tidemark.session import checkpointed, shared_dir, ship_package
+from tidemark.session import shared_dir, ship_package, written
 
-MAGIC = b"TMDAC1\0\0"
+MAGIC = b"TMDAC2\0\0"
 BLOCK = 512
+#: Bytes of a page, and pages that a reader remembers.
+PAGE, PAGES = 1 << 16, 64
 #: Tokens after which a writer closes its file and starts another.
 ROLL_TOKENS = 4 << 20
 #: Places for pieces that a worker remembers the ids of; half of them are used.
@@ -51,65 +57,97 @@ def split_levels(ids: np.ndarray, width: int = 8) -> list[tuple[np.ndarray, np.n
 
 def pack(ids: np.ndarray, doc_ids: np.ndarray, firsts: np.ndarray, width: int = 8) -> bytes:
     """A whole file."""
+    sections = [doc_ids.astype("<i8"), firsts.astype("<i8")]
     levels = split_levels(ids, width)
-    out = [MAGIC, struct.pack("<IIQQ", width, len(levels), len(ids), len(doc_ids)), doc_ids.astype("<i8").tobytes(), firsts.astype("<i8").tobytes()]
     for chunks, more in levels:
-        bits = np.packbits(more, bitorder="little")
         blocks = np.add.reduceat(more, np.arange(0, len(more), BLOCK), dtype=np.int64) if len(more) else np.zeros(0, np.int64)
         ranks = np.concatenate([[0], np.cumsum(blocks)]).astype("<i8")
-        out += [struct.pack("<QQ", len(chunks), len(ranks)), chunks.astype(chunks.dtype.newbyteorder("<")).tobytes(), bits.tobytes(), ranks.tobytes()]
-    body = b"".join(out)
-    return body + struct.pack("<I", zlib.crc32(body))
+        sections += [chunks.astype(chunks.dtype.newbyteorder("<")), np.packbits(more, bitorder="little"), ranks]
+    sizes = np.array([x.nbytes for x in sections])
+    body = b"".join(x.tobytes() for x in sections)
+    checks = [zlib.crc32(memoryview(body)[at : at + PAGE]) for at in range(0, len(body), PAGE)]
+    places = np.stack([np.cumsum(sizes) - sizes, sizes], 1).astype("<u8")
+    head = struct.pack("<IIQQQ", width, len(levels), len(ids), len(doc_ids), len(body)) + places.tobytes() + np.array(checks, "<u4").tobytes()
+    return MAGIC + struct.pack("<QI", len(head), zlib.crc32(head)) + head + body
 
 
 class DacFile:
-    """A file's bytes, opened; `token(i)` touches only the chunks of token i."""
-
-    def __init__(self, data: bytes):
-        if data[:8] != MAGIC or struct.unpack("<I", data[-4:])[0] != zlib.crc32(memoryview(data)[:-4]):
+    """A file in memory or a random-access one of pyarrow. Whatever is asked for, only the pages that hold it are read."""
+
+    def __init__(self, source):
+        self.source = pa.BufferReader(source) if isinstance(source, bytes) else source
+        start = self._take(0, len(MAGIC) + 12)
+        size, check = struct.unpack_from("<QI", start, len(MAGIC)) if start[: len(MAGIC)] == MAGIC and len(start) == len(MAGIC) + 12 else (0, 1)
+        head = self._take(len(start), size)
+        if zlib.crc32(head) != check:
             raise ValueError("not a token file, or damaged")
-        self.width, n_levels, self.n_tokens, n_docs = struct.unpack_from("<IIQQ", data, 8)
-        at = 32
-
-        def take(kind, n):
-            nonlocal at
-            out = np.frombuffer(data, kind, n, at)
-            at += out.nbytes
-            return out
-
-        self.doc_ids, self.firsts, self.levels = take("<i8", n_docs), take("<i8", n_docs), []
-        for _ in range(n_levels):
-            n, n_ranks = struct.unpack_from("<QQ", data, at)
-            at += 16
-            self.levels.append((take("u1" if self.width <= 8 else "<u2", n), take("u1", (n + 7) // 8), take("<i8", n_ranks)))
+        self.width, n_levels, self.n_tokens, self.n_docs, self.size = struct.unpack_from("<IIQQQ", head)
+        n = 2 + 3 * n_levels
+        self.sections = np.frombuffer(head, "<u8", 2 * n, 32).reshape(n, 2).astype(np.int64)
+        self.checks = np.frombuffer(head, "<u4", -1, 32 + 16 * n)
+        self.body, self.pages = len(start) + size, {}
+        self.kind = np.dtype("u1" if self.width <= 8 else "<u2")
+
+    def _take(self, at: int, size: int) -> bytes:
+        self.source.seek(at)
+        return self.source.read(size)
+
+    def _page(self, i: int) -> bytes:
+        if i not in self.pages:
+            page = self._take(self.body + i * PAGE, min(PAGE, self.size - i * PAGE))
+            if zlib.crc32(page) != self.checks[i]:
+                raise ValueError("damaged token file")
+            if len(self.pages) >= PAGES:
+                self.pages.pop(next(iter(self.pages)))
+            self.pages[i] = page
+        return self.pages[i]
+
+    def _items(self, section: int, kind: str | np.dtype, first: int, end: int) -> np.ndarray:
+        """Items first to end of a section."""
+        size = np.dtype(kind).itemsize
+        at, stop = (int(self.sections[section, 0]) + x * size for x in (first, end))
+        if at >= stop:
+            return np.zeros(0, kind)
+        pages = [self._page(i) for i in range(at // PAGE, (stop - 1) // PAGE + 1)]
+        return np.frombuffer(b"".join(pages), kind, end - first, at % PAGE)
+
+    def _bits(self, level: int, first: int, end: int) -> np.ndarray:
+        """Continuation flags first to end of a level."""
+        some = self._items(3 + 3 * level, "u1", first // 8, (end + 7) // 8)
+        return np.unpackbits(some, bitorder="little")[first % 8 : first % 8 + end - first].view(bool)
+
+    def _rank(self, level: int, i: int) -> int:
+        """Set flags of a level before i: the rank directory's, and those of the block."""
+        block = i // BLOCK
+        return int(self._items(4 + 3 * level, "<i8", block, block + 1)[0]) + int(self._bits(level, block * BLOCK, i).sum())
 
     def token(self, i: int) -> int:
         """The i-th token of the file."""
         if not 0 <= i < self.n_tokens:
             raise IndexError(i)
-        value = 0
-        for level, (chunks, bits, ranks) in enumerate(self.levels):
-            value |= int(chunks[i]) << (self.width * level)
-            if not bits[i >> 3] >> (i & 7) & 1:
+        return int(self.run(i, i + 1)[0])
+
+    def run(self, first: int, end: int) -> np.ndarray:
+        """Tokens first to end: at each level those that go on lie side by side, from the rank of the first."""
+        out, places = np.zeros(end - first, np.uint32), np.arange(end - first)
+        for level in range((len(self.sections) - 2) // 3):
+            out[places] |= self._items(2 + 3 * level, self.kind, first, end).astype(np.uint32) << np.uint32(self.width * level)
+            more = self._bits(level, first, end)
+            places = places[more]
+            if not len(places):
                 break
-            block = i // BLOCK
-            before = np.unpackbits(bits[block * BLOCK // 8 : (i >> 3) + 1], bitorder="little")[: i - block * BLOCK]
-            i = int(ranks[block]) + int(before.sum())
-        return value
+            first = self._rank(level, first)
+            end = first + len(places)
+        return out
 
     def tokens(self) -> np.ndarray:
-        """All tokens: the levels added up from the deepest one."""
-        rest = None
-        for chunks, bits, _ in reversed(self.levels):
-            ids = chunks.astype(np.uint32)
-            if rest is not None and len(rest):
-                ids[np.unpackbits(bits, count=len(chunks), bitorder="little").view(bool)] |= rest << np.uint32(self.width)
-            rest = ids
-        return rest
+        """All tokens."""
+        return self.run(0, self.n_tokens)
 
-    def ends(self) -> np.ndarray:
-        """One past the last token of each document."""
-        return np.append(self.firsts[1:], self.n_tokens)
+    def documents(self, first: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Doc_ids of documents first to end, and where each begins and the last one ends among the tokens."""
+        firsts = self._items(1, "<i8", first, min(end + 1, self.n_docs))
+        return self._items(0, "<i8", first, end), firsts if end < self.n_docs else np.append(firsts, self.n_tokens)
 
 
 LETTER, MARK, APOSTROPHE = 1, 2, 3
@@ -296,7 +334,7 @@ def write_tokens(documents: DataFrame, folder: str, vocabulary: str, end_id: int
 
     rows = documents.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     schema = "file string, part long, seq long, n_docs long, n_tokens long"
-    return checkpointed(rows.mapInArrow(arrays.tidied(write), schema), "dac-manifest")
+    return written(rows, arrays.tidied(write), schema, "dac-manifest")
 
 
 def with_starts(manifest: DataFrame) -> DataFrame:
@@ -318,15 +356,14 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for uri, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with storage.read_file(uri) as source:
-                    file = DacFile(source.read())
-                tokens, ends = file.tokens(), file.ends()
-                for at in range(0, len(ends), 500):
-                    firsts, stop = file.firsts[at : at + 500], ends[at : at + 500]
-                    keys = file.doc_ids[at : at + 500]
-                    yield pa.RecordBatch.from_pydict({
-                        "doc_id": pa.array(keys, pa.int64(), mask=keys == NULL_ID), "start": firsts + base, "n_tokens": stop - firsts,
-                        "ids": pa.array([tokens[a:b].astype("<u4").tobytes() for a, b in zip(firsts, stop, strict=True)], pa.binary()),
-                    })
+                    file = DacFile(source)
+                    for at in range(0, file.n_docs, 500):
+                        keys, firsts = file.documents(at, min(at + 500, file.n_docs))
+                        tokens = file.run(int(firsts[0]), int(firsts[-1]))
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(keys, pa.int64(), mask=keys == NULL_ID), pa.array(firsts[:-1] + base, pa.int64()), pa.array(np.diff(firsts), pa.int64()), arrays.binary_column(tokens.astype("<u4"), np.diff(firsts))],
+                            ["doc_id", "start", "n_tokens", "ids"],
+                        )
 
     return with_starts(manifest).select("file", "base").repartition(min(n, 4096)).mapInArrow(arrays.tidied(read), "doc_id long, start long, n_tokens long, ids binary")
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import storage
-from tidemark.session import checkpointed, shared_dir, ship_package
+from tidemark.session import shared_dir, ship_package, written
 
 VERSION = b"WARC/1.1"
 #: A file is closed after this many bytes of records.
@@ -163,7 +163,7 @@ def write_archives(pages: DataFrame, folder: str, min_revisit: int = 1000, level
             yield pa.RecordBatch.from_pydict({"file": [uri], "n_records": [done]})
 
     rows = with_revisits(pages, min_revisit).select("page_id", "url", "payload", "digest", "refers_to", "revisit")
-    return checkpointed(rows.mapInArrow(write, "file string, n_records long"), "warc-manifest")
+    return written(rows, write, "file string, n_records long", "warc-manifest")
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:
