@@ -1,16 +1,18 @@
 """Quality rules: exact repetition rules, and a calibrated n-gram classifier.
 
-Rules: counts of words, characters, symbols, repeated lines and words in repeated 5-word windows, all exact and
-over the whole text. Classifier: logistic regression on hashed word uni- and bigrams and byte trigrams and
-pentagrams (relative frequencies within each family), fitted on labelled rows, its logits calibrated by Platt
-scaling on rows held out of the fit, and applied in Arrow batches against a fixed probability.
-
-The fit uses at most `sample_rows` labelled rows, those with the smallest hashes of their doc_id. Scoring and rules
-cover every row.
-
-Cases: a null text has no words and fails the rules. Without labels of both classes there is no classifier and the
-rules decide alone. Several labels of one doc_id count as the lowest. Null labels are left out. Repeated doc_ids
-and further columns pass through.
+Rules: counts of words, characters, symbols, repeated lines and words in repeated 5-word windows, over the whole text;
+equal lines and windows of a text are told by 64-bit hashes. Classifier: logistic regression on hashed word uni- and
+bigrams and character trigrams and pentagrams (code points; relative frequencies within each family), fitted on labelled
+rows, its logits calibrated by Platt scaling on rows held out of the fit, and applied in Arrow batches against a fixed
+probability.
+
+The fit uses at most `sample_rows` labelled rows, those with the smallest hashes of their doc_id, and of them no more
+than the first SAMPLE_BYTES of whole texts, so what reaches the driver has a bound. Scoring and rules cover every row.
+
+Cases: a null or empty text has no words and fails the rules. Very long texts are worked on whole. Without labels of both
+classes there is no classifier and the rules decide alone. Several labels of one doc_id count as the lowest. Null labels
+are left out. Repeated doc_ids and further columns pass through, but columns of the documents that are named like a
+result give way to it. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -19,84 +21,108 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm import arrays
+from tidemark.llm.lines import line_offsets
 from tidemark.session import ship_package
 
 #: Labelled rows that the classifier is fitted on, at most.
 SAMPLE_ROWS = 2500
+#: Bytes of text that it is fitted on, at most, but for the text that crosses them.
+SAMPLE_BYTES = 8 << 20
 #: Documents are kept from this calibrated probability on.
 MIN_QUALITY = 0.5
+#: Words of a window that may be repeated.
+WINDOW = 5
 #: Hashed features of each family.
 BUCKETS = 1 << 14
 #: Feature values that a step of the fit holds at once.
 VALUES_AT_ONCE = 500_000
-FAMILIES = ("word", "word pair", "3 bytes", "5 bytes")
-WHITE = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
-RULES_SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
-
-
-def _ranks(x: np.ndarray) -> tuple[np.ndarray, int]:
-    values, ranks = np.unique(x, return_inverse=True)
-    return ranks, len(values)
-
-
-def repeated_words(words: list[bytes]) -> int:
-    """Words in 5-word windows that the list has twice or more, the first included. Exact: no hashes."""
-    n = len(words)
-    places = {w: i for i, w in enumerate(dict.fromkeys(words))}
-    if n < 6 or len(places) == n:
-        return 0
-    one = np.fromiter(map(places.__getitem__, words), np.int64, n)
-    two, size = _ranks(one[:-1] * len(places) + one[1:])
-    if size == len(two):
-        return 0
-    four, size = _ranks(two[:-2] * size + two[2:])
-    if size == len(four):
-        return 0
-    five = four[:-1] * len(places) + one[4:]
-    _, ranks, counts = np.unique(five, return_inverse=True, return_counts=True)
-    again = counts[ranks] > 1
-    inside = np.zeros(n, bool)
-    for i in range(5):
-        inside[i : n - 4 + i] |= again
-    return int(inside.sum())
-
-
-def rule_counts(text: str | None) -> tuple[int, int, int, int, int]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
-    if not text:
-        return 0, 0, 0, 0, 0
-    raw = text.encode()
-    words = raw.split()
-    lines = [line for line in raw.split(b"\n") if line and not line.isspace()]
-    return (
-        len(words), len(text) - sum(map(text.count, WHITE)), sum(map(text.count, SYMBOLS)),
-        len(lines) - len(set(lines)), repeated_words(words),
-    )
-
-
-def rules_failed(n_words: int, n_repeat_words: int) -> bool:
+FAMILIES = ("word", "word pair", "3 characters", "5 characters")
+SYMBOL = np.zeros(256, bool)
+SYMBOL[list(b"#*$%&|<>")] = True
+RULES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+RESULTS = (*RULES, "base_failed", "quality", "kept")
+
+
+def _sums(marks: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Marks between each two offsets."""
+    running = np.concatenate([[0], np.cumsum(marks)])
+    return running[offsets[1:]] - running[offsets[:-1]]
+
+
+def rules(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of each row of a slice."""
+    n = len(offsets) - 1
+    inside = ~arrays.SPACE[data]
+    starts, ends, words = arrays.word_spans(data, offsets, arrays.SPACE)
+    hashes = arrays.span_hashes(data, starts, ends)
+    # lines with a word, without their line ends
+    lines, before = line_offsets(data, offsets)
+    row = np.repeat(np.arange(n), np.diff(before))
+    end = lines[1:] - 1
+    end[before[1:] - 1] += 1
+    filled = np.flatnonzero(_sums(inside, lines))
+    distinct, _ = arrays.distinct_in_rows(row[filled], arrays.span_hashes(data, lines[filled], end[filled]))
+    n_dup = np.bincount(row[filled], minlength=n) - np.bincount(distinct, minlength=n)
+    # words in windows that their row has more than once
+    row = np.repeat(np.arange(n), np.diff(words))
+    windows = arrays.joined_hashes(hashes, WINDOW)
+    at = np.flatnonzero(row[: len(windows)] == row[WINDOW - 1 :]) if len(windows) else np.zeros(0, np.int64)
+    keys = arrays.mix(windows[at] ^ arrays.mix(row[at].astype(np.uint64)))
+    order = np.argsort(keys)
+    same = keys[order][1:] == keys[order][:-1]
+    again = np.zeros(len(keys), bool)
+    again[order[1:]] |= same
+    again[order[:-1]] |= same
+    covered = np.zeros(len(hashes), bool)
+    for i in range(WINDOW):
+        covered[at[again] + i] = True
+    return np.diff(words), _sums(inside & ((data & 0xC0) != 0x80), offsets), _sums(SYMBOL[data], offsets), n_dup, _sums(covered, words)
+
+
+def rule_counts(text: str | None) -> tuple[int, ...]:
+    """The rules' counts of one text."""
+    data = np.frombuffer((text or "").encode(), np.uint8)
+    return tuple(int(x[0]) for x in rules(data, np.array([0, len(data)])))
+
+
+def rules_failed(n_words: np.ndarray, n_repeat_words: np.ndarray) -> np.ndarray:
     """Too few words, or too many of them repeated."""
-    return n_words < 10 or 100 * n_repeat_words > 20 * n_words
+    return (n_words < 10) | (100 * n_repeat_words > 20 * n_words)
+
+
+def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each character (its bytes in UTF-8, one after another), and characters before each row."""
+    lead = (data & 0xC0) != 0x80
+    if lead.all():
+        return data.astype(np.uint32), offsets
+    starts = np.flatnonzero(lead)
+    size = np.diff(starts, append=len(data))
+    values = data[starts].astype(np.uint32)
+    for i in range(1, 4):
+        more = np.flatnonzero(size > i)
+        values[more] = values[more] << np.uint32(8) | data[starts[more] + i]
+    return values, np.searchsorted(starts, offsets)
 
 
 def gram_buckets(data: np.ndarray, offsets: np.ndarray):
-    """For each family: the bucket of each gram in the bytes, and the first and end gram of each row."""
+    """For each family: the bucket of each gram, and the first and end gram of each row."""
     data = arrays.lowered(data)
     starts, ends, words = arrays.word_spans(data, offsets, arrays.SPACE)
     hashes = arrays.span_hashes(data, starts, ends)
     shift = np.uint64(64 - BUCKETS.bit_length() + 1)
     yield (hashes >> shift).astype(np.int32), words[:-1], words[1:]
     yield (arrays.joined_hashes(hashes, 2) >> shift).astype(np.int32), words[:-1], np.maximum(words[1:] - 1, words[:-1])
+    data, offsets = code_points(data, offsets)
     for k, factors in ((3, (7919, 104729, 1299709)), (5, (7919, 104729, 1299709, 15485863, 179424673))):
         n = max(0, len(data) - k + 1)
         sums = np.zeros(n, np.uint32)
         for i, factor in enumerate(factors):
-            sums += data[i : i + n].astype(np.uint32) * np.uint32(factor)
+            sums += data[i : i + n] * np.uint32(factor)
         buckets = ((sums * np.uint32(2654435769)) >> np.uint32(32 - BUCKETS.bit_length() + 1)).astype(np.int32)
         yield buckets, np.minimum(offsets[:-1], n), np.minimum(np.maximum(offsets[1:] - k + 1, offsets[:-1]), n)
 
@@ -210,6 +236,8 @@ def train(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
 
     # no more rows than the sample has doc_ids: of rows that repeat one, the first by text stays
     texts = texts.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    before = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").rowsBetween(Window.unboundedPreceding, -1))
+    texts = texts.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < SAMPLE_BYTES).drop("before").repartition(8)
     rows = texts.mapInArrow(arrays.tidied(run), "doc_id long, quality int, features binary, parts binary").toArrow().sort_by("doc_id")
     if not rows.num_rows:
         return None
@@ -224,23 +252,22 @@ def judge(documents: DataFrame, classifier: Classifier | None, min_quality: floa
     spark = documents.sparkSession
     ship_package(spark)
     shared = spark.sparkContext.broadcast(classifier)
-    own = [c for c in documents.columns if c not in {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "quality", "kept"}]
-    documents = documents.select(*own)
+    own = [c for c in documents.columns if c not in RESULTS]
+    documents = documents.select(*[F.col(f"`{c}`") for c in own])
     at = own.index("text")
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in documents.schema)}, {RULES_SCHEMA}, base_failed boolean, quality double, kept boolean"
+    kinds = [*[T.LongType()] * len(RULES), T.BooleanType(), T.DoubleType(), T.BooleanType()]
+    schema = T.StructType([*documents.schema, *map(T.StructField, RESULTS, kinds)])
 
     def run(batches):
         model = shared.value
         for whole in batches:
             for first, end, data, offsets in arrays.text_slices(whole.column(at)):
-                batch = whole.slice(first, end - first)
-                counts = list(zip(*map(rule_counts, batch.column(at).to_pylist()), strict=True))
-                failed = np.array([rules_failed(a, b) for a, b in zip(counts[0], counts[4], strict=True)], bool)
+                counts = rules(data, offsets)
+                failed = rules_failed(counts[0], counts[4])
                 quality = None if model is None else model.probabilities(model.logits(data, offsets))
                 kept = ~failed if model is None else ~failed & (quality >= min_quality)
                 scores = pa.nulls(len(failed), pa.float64()) if quality is None else pa.array(quality, pa.float64())
-                columns = [*batch.columns, *(pa.array(c, pa.int64()) for c in counts), pa.array(failed), scores, pa.array(kept)]
-                names = [*own, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "quality", "kept"]
-                yield pa.RecordBatch.from_arrays(columns, names)
+                columns = [*whole.slice(first, end - first).columns, *(pa.array(c, pa.int64()) for c in counts), pa.array(failed), scores, pa.array(kept)]
+                yield pa.RecordBatch.from_arrays(columns, [*own, *RESULTS])
 
     return documents.mapInArrow(arrays.tidied(run), schema)
