@@ -56,11 +56,39 @@ def test_crowded_buckets(spark, monkeypatch):
     r = random.Random(8)
     base = document(r, 8)
     texts = {i: edited(r, base, r.randint(0, 3)) for i in range(140)}
-    for name, value in (("BLOCK", 32), ("FEW", 2), ("MEMBERS", 5)):
+    for name, value in (("BLOCK", 32), ("FEW", 2), ("MEMBERS", 5), ("SHINGLES", 4000)):
         monkeypatch.setattr(minhash, name, value)
     check_components(minhash.near_duplicates(spark.createDataFrame([(i, t, "", "", 0) for i, t in texts.items()], SCHEMA)), texts)
 
 
+def test_repeated_ids_join_their_texts(spark, monkeypatch):
+    """Texts of one doc_id are one node, whatever the order of rows; rows of their own keep or lose each text."""
+    r = random.Random(21)
+    a, b = document(r, 8), document(r, 8)
+    rows = [(1, a), (1, b), (2, edited(r, a, 1)), (3, edited(r, b, 1))]
+    for order in (rows, rows[::-1], [rows[i] for i in (1, 3, 0, 2)]):
+        got = minhash.near_duplicates(spark.createDataFrame(order, "doc_id long, text string").repartition(2)).collect()
+        assert {(x.doc_id, x.component_id, x.kept) for x in got} == {(1, 1, True), (2, 1, False), (3, 1, False)} and len(got) == 4
+        assert sum(x.text_kept for x in got) == 2 and all(x.text_kept == (x.doc_id == 1) for x in got)
+    bases = [document(r, 6) for _ in range(12)]
+    many = [(r.randrange(25), edited(r, r.choice(bases), r.randint(0, 4))) for _ in range(70)]
+    root = {i: i for i, _ in many}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    sets = [(i, shingles(t)) for i, t in many]
+    for i, x in sets:
+        for j, y in sets:
+            if 100 * len(x & y) >= 85 * len(x | y):
+                p, q = find(i), find(j)
+                root[max(p, q)] = min(p, q)
+    got = minhash.near_duplicates(spark.createDataFrame(many, "doc_id long, text string")).collect()
+    assert len(got) == len(many) and all((x.component_id, x.kept) == (find(x.doc_id), find(x.doc_id) == x.doc_id) for x in got)
+
+
 def test_estimates_are_corrected():
     r = np.random.default_rng(3)
     for n in (200, 5000):

@@ -10,18 +10,23 @@ and there is always one, whatever the text. Neighbouring windows mostly share it
 Parse: a text becomes the sequence of its triggers. A phrase is a trigger with all bytes that its windows can touch;
 phrases overlap, none is a proper prefix of another, and each is known by its trigger's hash and its own.
 
-1. The parse of the corpus is put in order of (trigger, phrase, place). Of equal phrases, the windows of all but the
-   first are repeats. A phrase whose trigger no other phrase has, has no repeats. Repetitive text ends here.
-2. The dictionary's other phrases - the first of each that share a trigger with different ones - send their windows in
-   segments, keyed by the bytes that all windows of a segment have, and the windows (the phrases' suffixes, cut at
-   LENGTH) are put in order of content and place. Of equal ones, all but the first are repeats.
-
-Order of content is that of 64-bit hashes (128 and more bits together); only equality is needed. A key with more than
-`hot` rows gives its windows, one by one, to a last exchange by content, so no group is gathered in one task.
+1. Array of the parse: its suffixes in order of (trigger, phrase, place). A phrase holds its windows whole, so a
+   suffix of the parse is never looked at beyond its first phrase. Of equal phrases, the windows of all but the first
+   are repeats. A phrase whose trigger no other phrase has, has no repeats. Repetitive text ends here.
+2. Array of the dictionary: the other phrases - the first of each that share a trigger with different ones - send their
+   windows (the phrases' suffixes, cut at LENGTH) in segments, keyed by the bytes that all windows of a segment have.
+   Those of one key are put in order of their letters, eight a round; a suffix that stands alone drops out. Of equal
+   ones, all but the first in the corpus are repeats.
+
+Both arrays lie in parts, by hashes of triggers and of keys: which part comes first is no matter, as only equality and
+the order of places within it are needed. Triggers are counted by cell before anything is shuffled. Those of cells with
+more than `hot` are dealt by phrase, not by trigger, and their windows go one by one to an exchange by content with
+partial aggregation, so no group is gathered in one task.
 
 Cases: a null text is empty; one shorter than LENGTH keeps all. Rows that repeat doc_id and text are at the same places,
 so neither makes the other a repeat; rows of one doc_id with other texts are ordered by a hash of the text. Null
-doc_ids come first. Runs of one character have a trigger at each byte and cost as much more. Other columns are ignored.
+doc_ids come first. Very long texts are worked on whole. Runs of one character have a trigger at each byte and cost as
+much more. Other columns are ignored. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -33,15 +38,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm import arrays
-from tidemark.session import checkpointed, ship_package
+from tidemark.llm import arrays, packed
+from tidemark.session import ship_package, written
 
 LENGTH, WORD = 100, 32
 REACH = LENGTH - WORD
 SEGMENT = 24
-#: Rows of a key that are ordered in one task; and rows taken together when keys have few.
-HOT, TOGETHER = 40_000, 20_000
+#: Triggers of a cell from which it is hot; segments ordered together; records of a task of the parse.
+HOT, TOGETHER, RECORDS = 40_000, 20_000, 150_000
+#: Bits of the number of cells that triggers are counted in: the least and the most.
+LEAST_BITS, MOST_BITS = 20, 24
+#: A trigger of the parse; flag: HOT_WORD if its cell is hot, KNOWN if the slice has an equal phrase before it.
+PARSE = np.dtype([("word", "<u8"), ("phrase", "<u8"), ("doc", "<i8"), ("mark", "<i8"), ("x", "<i4"), ("lo", "<i4"), ("hi", "<i4"), ("flag", "<i4")])
+HOT_WORD, KNOWN = 1, 2
 NULL_ID = -(1 << 63)
+#: Windows of hot triggers that are made together.
+WINDOWS = 200_000
 
 
 def running_sums(data: np.ndarray) -> np.ndarray:
@@ -95,83 +107,104 @@ def _source(documents: DataFrame) -> DataFrame:
     return documents.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
 
 
-def parse(documents: DataFrame) -> DataFrame:
-    """The corpus's parse: word, phrase, doc_id, mark, x, lo, hi; x < 0 marks windows known as repeats.
+def _slices(batches):
+    """PARSE records of each slice of (doc_id, mark, text), by trigger, phrase and place, with flag KNOWN."""
+    for batch in batches:
+        doc_id, mark = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        for begin, _, data, offsets in arrays.text_slices(batch.column(2)):
+            place, row, lo, hi, word, phrase = triggers(data, offsets)
+            records, base = np.zeros(len(place), PARSE), offsets[row]
+            for name, values in (("word", word), ("phrase", phrase), ("doc", doc_id[begin + row]), ("mark", mark[begin + row]), ("x", place - base), ("lo", lo - base), ("hi", hi - base)):
+                records[name] = values
+            records = records[np.lexsort((records["x"], records["mark"], records["doc"], records["phrase"], records["word"]))]
+            new, head = _heads(records)
+            records["flag"] = np.where(~new & _elsewhere(records, head), KNOWN, 0)
+            yield records
 
-    Of equal phrases a slice sends the first alone; the windows of the others are repeats whatever comes before.
-    """
 
-    def run(batches):
-        for batch in batches:
-            doc_id, mark = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for begin, _, data, offsets in arrays.text_slices(batch.column(2)):
-                place, row, lo, hi, word, phrase = triggers(data, offsets)
-                doc, of = doc_id[begin + row], mark[begin + row]
-                base = offsets[row]
-                order = np.lexsort((place - base, of, doc, phrase, word))
-                word, phrase, doc, of = word[order], phrase[order], doc[order], of[order]
-                x, lo, hi = ((a - base)[order].astype(np.int32) for a in (place, lo, hi))
-                new = np.ones(len(x), bool)
-                new[1:] = (word[1:] != word[:-1]) | (phrase[1:] != phrase[:-1])
-                head = np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))
-                again = (doc != doc[head]) | (of != of[head]) | (x != x[head])
-                spread = arrays.mix(word + x.astype(np.uint64) + doc.view(np.uint64))
-                word, x = np.where(again, spread, word), np.where(again, np.int32(-1), x)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(word.view(np.int64)), pa.array(phrase.view(np.int64)), pa.array(doc), pa.array(of), pa.array(x), pa.array(lo), pa.array(hi)],
-                    ["word", "phrase", "doc_id", "mark", "x", "lo", "hi"],
-                )
-
-    return _source(documents).where("text IS NOT NULL").mapInArrow(arrays.tidied(run), "word long, phrase long, doc_id long, mark long, x int, lo int, hi int")
-
-
-def order_parse(entries: DataFrame) -> DataFrame:
-    """doc_id, mark, x, lo, hi: repeats (x < 0, windows lo to hi) and phrases that need a look at their windows."""
+def _heads(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of ordered records: whether each begins a phrase, and the first record of its phrase."""
+    new = np.ones(len(records), bool)
+    new[1:] = (records["word"][1:] != records["word"][:-1]) | (records["phrase"][1:] != records["phrase"][:-1])
+    return new, np.maximum.accumulate(np.where(new, np.arange(len(records)), 0))
+
+
+def _elsewhere(records: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """Whether the records are at other places than those."""
+    return (records["doc"] != records["doc"][head]) | (records["mark"] != records["mark"][head]) | (records["x"] != records["x"][head])
+
+
+def _cells(words: np.ndarray, n: int) -> np.ndarray:
+    return (words >> np.uint64(65 - n.bit_length())).astype(np.int64)
+
+
+def trigger_counts(documents: DataFrame) -> np.ndarray:
+    """Triggers in each cell of their hash that the parse will send; their number of cells grows with the corpus, within bounds."""
+    size = documents.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = 1 << min(max((size // 35).bit_length() - 4, LEAST_BITS), MOST_BITS)
 
     def run(batches):
-        last, pending = None, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            word, phrase, doc, mark, x = (batch.column(i).to_numpy() for i in (0, 1, 2, 3, 4))
-            entry = x >= 0
-            out_rows = [batch.select([2, 3, 4, 5, 6]).filter(pa.array(~entry))] if not entry.all() else []
-            some = batch.filter(pa.array(entry)) if not entry.all() else batch
-            if some.num_rows:
-                word, phrase, doc, mark, x = (some.column(i).to_numpy() for i in (0, 1, 2, 3, 4))
-                new_word, new_phrase = np.ones(len(x), bool), np.ones(len(x), bool)
-                new_word[1:] = word[1:] != word[:-1]
-                new_phrase[1:] = new_word[1:] | (phrase[1:] != phrase[:-1])
-                if last is not None:
-                    new_word[0] = word[0] != last[0]
-                    new_phrase[0] = new_word[0] or phrase[0] != last[1]
-                head = np.maximum.accumulate(np.where(new_phrase, np.arange(len(x)), -1))
-                h_doc, h_mark, h_x = (np.where(head >= 0, a[head], 0 if last is None else last[k]) for k, a in ((2, doc), (3, mark), (4, x)))
-                repeat = ~new_phrase & ((doc != h_doc) | (mark != h_mark) | (x != h_x))
-                heads = np.flatnonzero(new_phrase)
-                unsure = ~new_word[heads]
-                if len(heads):
-                    unsure[:-1] |= ~new_word[heads[1:]]
-                    if pending is not None and not new_word[heads[0]]:
-                        out_rows.append(pending)
-                    pending = None if unsure[-1] else some.select([2, 3, 4, 5, 6]).slice(heads[-1], 1)
-                    i = heads[-1]
-                    last = (word[i], phrase[i], doc[i], mark[i], x[i])
-                taken = np.union1d(np.flatnonzero(repeat), heads[unsure])
-                if len(taken):
-                    rows = some.select([2, 3, 4, 5, 6]).take(pa.array(taken))
-                    out_rows.append(rows.set_column(2, "x", pa.array(np.where(repeat[taken], np.int32(-1), x[taken]).astype(np.int32))))
-            for rows in out_rows:
-                if rows.num_rows:
-                    yield rows
-
-    dealt = entries.repartition("word").sortWithinPartitions("word", "phrase", "doc_id", "mark", "x")
-    return dealt.mapInArrow(arrays.tidied(run), "doc_id long, mark long, x int, lo int, hi int")
+        seen = np.zeros(n, np.int64)
+        for records in _slices(batches):
+            np.add.at(seen, _cells(records["word"][records["flag"] == 0], n), 1)
+        yield from packed.count_rows(seen)
+
+    return packed.totals(_source(documents).where("text IS NOT NULL").mapInArrow(arrays.tidied(run), packed.SCHEMA), n)
+
+
+def parse(documents: DataFrame, hot: int) -> DataFrame:
+    """The array of the corpus's parse, as a written table: doc_id, mark, x, lo, hi, hot.
+
+    x < 0 marks windows (lo to hi) that are repeats; the other rows are phrases that need a look at their windows. Of equal
+    phrases a slice sends the first alone; the windows of the others are repeats whatever comes before.
+    """
+    counts = trigger_counts(documents)
+    n_buckets = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(counts.sum()) // RECORDS))
+    some = counts[counts > 0]
+    crowded = counts > max(hot, 4 * some.mean() if len(some) else 0)
+    shared = documents.sparkSession.sparkContext.broadcast(crowded)
+
+    def send(batches):
+        out = packed.Outbox()
+        for records in _slices(batches):
+            is_hot = shared.value[_cells(records["word"], len(shared.value))]
+            records["flag"] |= np.where(is_hot, HOT_WORD, 0).astype(np.int32)
+            route = np.where(is_hot, records["phrase"], records["word"])
+            route = np.where(records["flag"] >= KNOWN, arrays.mix(records["doc"].view(np.uint64) ^ records["x"].astype(np.uint64)), route)
+            out.add(packed.bucket_of(route, n_buckets), records)
+            yield from out.rows()
+        yield from out.rows(True)
+
+    def order(batches):
+        records, _ = packed.whole(batches, PARSE)
+        known = records[records["flag"] >= KNOWN]
+        records = records[records["flag"] < KNOWN]
+        records = records[np.lexsort((records["x"], records["mark"], records["doc"], records["phrase"], records["word"]))]
+        new, head = _heads(records)
+        repeats = records[~new & _elsewhere(records, head)]
+        first = records[new]
+        alone = np.ones(len(first), bool)
+        alone[1:] &= first["word"][1:] != first["word"][:-1]
+        alone[:-1] &= first["word"][1:] != first["word"][:-1]
+        first = first[~alone | (first["flag"] == HOT_WORD)]
+        rows = np.concatenate([known, repeats, first])
+        rows["x"][: len(known) + len(repeats)] = -1
+        for at in range(0, len(rows), 50_000):
+            part = rows[at : at + 50_000]
+            columns = [pa.array(np.ascontiguousarray(part[name])) for name in ("doc", "mark", "x", "lo", "hi")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(part["flag"] & HOT_WORD == HOT_WORD)], ["doc_id", "mark", "x", "lo", "hi", "hot"])
+
+    rows = packed.dealt(_source(documents).where("text IS NOT NULL").mapInArrow(arrays.tidied(send), packed.SCHEMA), n_buckets)
+    return written(rows, arrays.tidied(order), "doc_id long, mark long, x int, lo int, hi int, hot boolean", "repeats-parse")
 
 
 def segments(documents: DataFrame, unsure: DataFrame) -> DataFrame:
-    """key, doc_id, mark, start, bytes: runs of windows of the phrases in question."""
-    lists = unsure.groupBy(F.col("doc_id").alias("of"), F.col("mark").alias("of_mark")).agg(F.collect_list(F.struct("x", "lo", "hi")).alias("phrases"))
+    """route, key, doc_id, mark, start, bytes: runs of windows of the phrases in question.
+
+    Windows of hot triggers come one by one, without bytes: their key is a hash of their content. They need no key of theirs
+    in one place, and so take a route by place.
+    """
+    lists = unsure.groupBy(F.col("doc_id").alias("of"), F.col("mark").alias("of_mark")).agg(F.collect_list(F.struct("x", "lo", "hi", "hot")).alias("phrases"))
     rows = _source(documents).join(lists, (F.col("doc_id") == F.col("of")) & (F.col("mark") == F.col("of_mark"))).select("doc_id", "mark", "text", "phrases")
     rows = rows.dropDuplicates(["doc_id", "mark"])
 
@@ -185,54 +218,74 @@ def segments(documents: DataFrame, unsure: DataFrame) -> DataFrame:
                     counts = np.diff(lists.offsets.to_numpy())
                     row = np.repeat(np.arange(end - begin), counts)
                     x, lo, hi = (flat.field(i).to_numpy().astype(np.int64) + offsets[row] for i in range(3))
+                    is_hot = flat.field(3).to_numpy(zero_copy_only=False)
                     sums = running_sums(data)
                     pieces = []
                     for s in range(0, REACH // SEGMENT + 1):
                         # windows that start s * SEGMENT up to the next multiple before the trigger
                         first, last = np.maximum(lo, x - (s + 1) * SEGMENT + 1), np.minimum(hi, x - s * SEGMENT)
-                        some = np.flatnonzero(first <= last)
+                        some = np.flatnonzero((first <= last) & ~is_hot)
                         if len(some):
                             core = span_hash(sums, x[some] - s * SEGMENT, x[some] - (s + 1) * SEGMENT + 1 + LENGTH)
                             pieces.append((arrays.mix(core + np.uint64(s)), row[some], first[some], last[some]))
+                    for one in np.array_split(np.flatnonzero(is_hot), 1 + int((hi - lo)[is_hot].sum()) // WINDOWS):
+                        count = hi[one] - lo[one] + 1
+                        at_row, start = np.repeat(row[one], count), np.repeat(lo[one], count) + packed.ramp(count)
+                        content = span_hash(sums, start, start + LENGTH)
+                        if len(start):
+                            yield piece(part, begin, content, at_row, start - offsets[at_row], pa.nulls(len(start), pa.binary()), arrays.mix(content ^ arrays.mix(start.astype(np.uint64))))
                     if not pieces:
                         continue
                     key, row, first, last = (np.concatenate(p) for p in zip(*pieces, strict=True))
                     size = last - first + LENGTH
-                    blob = data[np.repeat(first, size) + _ramp(size)]
-                    of = pa.array(row + begin)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(key.view(np.int64)), part.column(0).take(of), part.column(1).take(of), pa.array((first - offsets[row]).astype(np.int32)), arrays.binary_column(blob, size)],
-                        ["key", "doc_id", "mark", "start", "bytes"],
-                    )
-
-    return rows.mapInArrow(arrays.tidied(run), "key long, doc_id long, mark long, start int, bytes binary")
-
-
-def _ramp(counts: np.ndarray) -> np.ndarray:
-    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-
-
-def _windows(table: pa.Table):
-    """(content, doc_id, mark, start) of every window of some segments."""
-    key, doc, mark, start = (table.column(i).to_numpy() for i in range(4))
-    parts = table.column(4).to_pylist()
-    data = np.frombuffer(b"".join(parts), np.uint8)
-    size = np.array([len(p) for p in parts])
-    base = np.cumsum(size) - size
-    count = size - LENGTH + 1
-    row = np.repeat(np.arange(len(parts)), count)
-    at = base[row] + _ramp(count)
-    content = arrays.mix(span_hash(running_sums(data), at, at + LENGTH) ^ key.view(np.uint64)[row])
-    return content, doc[row], mark[row], start[row] + _ramp(count)
-
-
-def _repeats(content, doc, mark, start):
-    """Order the windows by content and place; runs (doc_id, mark, lo, hi) of windows that equal an earlier one."""
-    order = np.lexsort((start, mark, doc, content))
-    content, doc, mark, start = content[order], doc[order], mark[order], start[order]
-    new = np.ones(len(content), bool)
-    new[1:] = content[1:] != content[:-1]
-    head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+                    blob = data[np.repeat(first, size) + packed.ramp(size)]
+                    yield piece(part, begin, key, row, first - offsets[row], arrays.binary_column(blob, size), key)
+
+    def piece(part, begin, key, row, start, blob, route):
+        of = pa.array(row + begin)
+        columns = [pa.array(route.view(np.int64)), pa.array(key.view(np.int64)), part.column(0).take(of), part.column(1).take(of), pa.array(start.astype(np.int32)), blob]
+        return pa.RecordBatch.from_arrays(columns, ["route", "key", "doc_id", "mark", "start", "bytes"])
+
+    return rows.mapInArrow(arrays.tidied(run), "route long, key long, doc_id long, mark long, start int, bytes binary")
+
+
+def suffix_array(data: np.ndarray, at: np.ndarray, order: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes of `data` at `at`, cut at LENGTH, in order of letters within groups; and whether each differs from the one before.
+
+    `order` has the groups one after another, and `begins` says where one begins. Eight letters are a number, and each
+    round sorts by the next; groups of one drop out. Equal suffixes keep the order that they had.
+    """
+    letters = np.ndarray(len(data) + 1, ">u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    order, begins = order.copy(), begins.copy()
+    for step in (*range(0, LENGTH - 8, 8), LENGTH - 8):
+        size = np.diff(np.flatnonzero(begins), append=len(order))
+        some = np.flatnonzero(np.repeat(size > 1, size))
+        if not len(some):
+            break
+        group, own = np.cumsum(begins)[some], order[some]
+        number = letters[at[own] + step].astype(np.uint64)
+        again = np.lexsort((number, group))
+        order[some], number = own[again], number[again]
+        begins[some[1:]] |= (number[1:] != number[:-1]) | (group[1:] != group[:-1])
+    return order, begins
+
+
+def repeated_windows(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """Runs (doc_id, mark, lo, hi) of windows of some segments that equal an earlier one; keys are whole."""
+    key, doc, mark, start = (table[c].to_numpy() for c in ("key", "doc_id", "mark", "start"))
+    blobs = table["bytes"].combine_chunks()
+    blobs = blobs.chunk(0) if isinstance(blobs, pa.ChunkedArray) else blobs
+    data, size = packed.joined(blobs, np.uint8), packed.lengths(blobs, np.uint8)
+    base, count = np.cumsum(size) - size, size - LENGTH + 1
+    row = np.repeat(np.arange(len(size)), count)
+    at = base[row] + packed.ramp(count)
+    key, doc, mark, start = key[row], doc[row], mark[row], start[row] + packed.ramp(count)
+    order = np.lexsort((start, mark, doc, key))
+    begins = np.ones(len(order), bool)
+    begins[1:] = key[order][1:] != key[order][:-1]
+    order, begins = suffix_array(data, at, order, begins)
+    doc, mark, start = doc[order], mark[order], start[order]
+    head = np.maximum.accumulate(np.where(begins, np.arange(len(begins)), 0))
     again = (doc != doc[head]) | (mark != mark[head]) | (start != start[head])
     doc, mark, start = doc[again], mark[again], start[again]
     order = np.lexsort((start, mark, doc))
@@ -247,60 +300,38 @@ def _repeats(content, doc, mark, start):
 RUNS = ["content", "doc_id", "mark", "lo", "hi"]
 
 
-def order_windows(rows: DataFrame, hot: int = HOT) -> DataFrame:
-    """content, doc_id, mark, lo, hi: runs of repeated windows (content null), or single windows of hot keys."""
+def order_windows(rows: DataFrame) -> DataFrame:
+    """The arrays of the dictionary, as a written table content, doc_id, mark, lo, hi: runs of repeated windows (content null), and single windows of hot triggers."""
 
     def decided(tables):
-        doc, mark, lo, hi = _repeats(*_windows(pa.concat_tables(tables)))
+        doc, mark, lo, hi = repeated_windows(pa.concat_tables(tables))
         return pa.RecordBatch.from_arrays([pa.nulls(len(doc), pa.int64()), *map(pa.array, (doc, mark, lo, hi))], RUNS)
 
-    def deferred(table):
-        content, doc, mark, start = _windows(table)
-        start = pa.array(start.astype(np.int32))
-        return pa.RecordBatch.from_arrays([pa.array(content.view(np.int64)), pa.array(doc), pa.array(mark), start, start], RUNS)
-
     def run(batches):
-        # whole keys wait in `ready`; the rows of the key that may go on wait in `open_rows`
-        ready, n_ready, open_rows, n_open, last = [], 0, [], 0, None
+        held, size = [], 0
         for batch in batches:
+            single = batch.column(5).is_null().to_numpy(zero_copy_only=False)
+            if single.any():
+                hot = batch.filter(pa.array(single))
+                yield pa.RecordBatch.from_arrays([hot.column(i) for i in (1, 2, 3, 4, 4)], RUNS)
+                batch = batch.filter(pa.array(~single))
             if not batch.num_rows:
                 continue
-            key = batch.column(0).to_numpy()
-            final = int(np.searchsorted(key, key[-1])) if len(key) > 1 else 0
-            same = int(np.searchsorted(key, key[0], "right")) if last == key[0] else 0
-            table = pa.Table.from_batches([batch])
-            if same:
-                open_rows.append(table.slice(0, same))
-                n_open += same
-            if same < len(key):
-                if n_open > hot:
-                    for one in open_rows:
-                        yield deferred(one)
-                elif open_rows:
-                    ready += open_rows
-                    n_ready += n_open
-                final = max(final, same)
-                if final > same:
-                    # no key within a batch has more rows than the batch
-                    ready.append(table.slice(same, final - same))
-                    n_ready += final - same
-                open_rows, n_open = [table.slice(final)], len(key) - final
-            while n_open > hot and len(open_rows) > 1:
-                yield deferred(open_rows.pop(0))  # its count stays: the whole key is hot
-            last = key[-1]
-            if n_ready >= TOGETHER:
-                yield decided(ready)
-                ready, n_ready = [], 0
-        if n_open > hot:
-            for one in open_rows:
-                yield deferred(one)
-        elif open_rows:
-            ready += open_rows
-        if ready:
-            yield decided(ready)
-
-    dealt = rows.repartition("key").sortWithinPartitions("key", "doc_id", "mark", "start")
-    return dealt.mapInArrow(arrays.tidied(run), "content long, doc_id long, mark long, lo int, hi int")
+            held.append(pa.Table.from_batches([batch]))
+            size += batch.num_rows
+            if size >= TOGETHER:
+                # all but the last key are whole
+                table = pa.concat_tables(held)
+                key = table["key"].to_numpy()
+                whole = int(np.searchsorted(key, key[-1]))
+                if whole:
+                    yield decided([table.slice(0, whole)])
+                held, size = [table.slice(whole)], len(key) - whole
+        if size:
+            yield decided(held)
+
+    dealt = rows.repartition("route").sortWithinPartitions("key", "doc_id", "mark", "start")
+    return written(dealt, arrays.tidied(run), "content long, doc_id long, mark long, lo int, hi int", "repeats-windows")
 
 
 def order_contents(rows: DataFrame) -> DataFrame:
@@ -313,8 +344,8 @@ def order_contents(rows: DataFrame) -> DataFrame:
 def repeated_runs(documents: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, mark, lo, hi: windows lo to hi of a document also start earlier; null doc_ids as NULL_ID."""
     ship_package(documents.sparkSession)
-    parsed = checkpointed(order_parse(parse(documents)), "repeats-parse")
-    windows = checkpointed(order_windows(segments(documents, parsed.where("x >= 0")), hot), "repeats-windows")
+    parsed = parse(documents, hot)
+    windows = order_windows(segments(documents, parsed.where("x >= 0")))
     runs = parsed.where("x < 0").select("doc_id", "mark", "lo", "hi")
     runs = runs.unionByName(windows.where("content IS NULL").select("doc_id", "mark", "lo", "hi"))
     return runs.unionByName(order_contents(windows.where("content IS NOT NULL")))
