@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
@@ -46,9 +47,24 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
         spark.sparkContext.setCheckpointDir(root)
     path = f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
     atexit.register(_drop, spark, path)
+    _FOLDERS.append(path)
     return path
 
 
+#: Folders named so far, in order.
+_FOLDERS: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Drops the folders that are made inside, but for the last one, which is the result."""
+    first = len(_FOLDERS)
+    yield
+    for path in _FOLDERS[first:-1]:
+        _drop(spark, path)
+    del _FOLDERS[first:-1]
+
+
 def _drop(spark: SparkSession, path: str) -> None:
     try:
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
