@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.ranking import dense_number, running_sum
 
 
-def ranking_quality(rows: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
-    """auroc, auprc, brier, n and positives of each group; tied scores count as one threshold.
+def ranking_quality(rows: DataFrame, score: str, label: str, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    """auroc, auprc, brier, n and positives of each group; tied scores count as one threshold. Rows count `weight` times.
 
     Rows are first added up by score, then two running sums over the distinct scores give all there is to know. One
     class alone has no auroc, no positives no auprc.
@@ -19,8 +19,8 @@ def ranking_quality(rows: DataFrame, score: str, label: str, by: Sequence[str] =
     by = list(by) or ["_all"]
     rows = rows.withColumn("_all", F.lit(1)) if by == ["_all"] else rows
     known = rows.where(F.col(label).isNotNull() & F.col(score).isNotNull())
-    one = F.col(label).cast("double")
-    steps = known.groupBy(*by, score).agg(F.sum(one).alias("pos"), F.sum(1 - one).alias("neg"), F.sum((F.col(score) - one) ** 2).alias("error"))
+    one, times = F.col(label).cast("double"), F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    steps = known.groupBy(*by, score).agg(F.sum(times * one).alias("pos"), F.sum(times * (1 - one)).alias("neg"), F.sum(times * (F.col(score) - one) ** 2).alias("error"))
     steps = running_sum(steps, [F.desc(score)], by, ["pos", "neg"])
     precision = F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
     sums = steps.groupBy(*by).agg(
@@ -54,9 +54,32 @@ def calibration(rows: DataFrame, score: str, label: str, tie: str, bins: int = 1
     return out.groupBy("bin").agg(F.avg(score).alias("mean_score"), F.avg(label).alias("mean_label"), F.count("*").alias("n"))
 
 
+def quantiles(rows: DataFrame, value: str, shares: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """The `by` columns and `quantiles`: an array of exact quantiles of the values there are, interpolated linearly.
+
+    Values are counted and their counts summed up in order, over ranges, so no task holds all values of a group.
+    """
+    keys = list(by) or ["_all"]
+    rows = rows.withColumn("_all", F.lit(1)) if keys == ["_all"] else rows
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_value")).agg(F.count("*").alias("_n"))
+    steps = running_sum(counts, [F.col("_value")], keys, ["_n"])
+    totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
+    places = [F.lit(float(s)) * (F.col("_total") - 1) for s in shares]
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((F.col("cum__n") - F.col("_n") <= place) & (place < F.col("cum__n")), F.col("_value")))
+
+    found = steps.join(totals, keys).groupBy(*keys).agg(
+        *[at(F.floor(p)).alias(f"_low{i}") for i, p in enumerate(places)], *[at(F.ceil(p)).alias(f"_high{i}") for i, p in enumerate(places)],
+        *[F.max(p - F.floor(p)).alias(f"_rest{i}") for i, p in enumerate(places)],
+    )
+    each = [F.col(f"_low{i}") + (F.col(f"_high{i}") - F.col(f"_low{i}")) * F.col(f"_rest{i}") for i in range(len(shares))]
+    return found.select(*by, F.array(*each).alias("quantiles"))
+
+
 def quantile(rows: DataFrame, score: str, share: float) -> DataFrame:
     """One row: the exact quantile, interpolated linearly."""
-    return rows.agg(F.percentile(score, F.lit(share)).alias("threshold"))
+    return quantiles(rows, score, [share]).select(F.col("quantiles")[0].alias("threshold"))
 
 
 #: Bins' shares are at least this before they are made to add up again; with fewer values there is no distance.
@@ -71,8 +94,7 @@ def distances(baseline: DataFrame, current: DataFrame, value: str, by: Sequence[
     by = list(by) or ["_all"]
     if by == ["_all"]:
         baseline, current = (x.withColumn("_all", F.lit(1)) for x in (baseline, current))
-    deciles = F.array(*[F.lit(i / 10) for i in range(1, 10)])
-    edges = baseline.groupBy(*by).agg(F.array_distinct(F.percentile(value, deciles)).alias("edges"))
+    edges = quantiles(baseline, value, [i / 10 for i in range(1, 10)], by).select(*by, F.array_distinct("quantiles").alias("edges"))
 
     def shares(rows: DataFrame, name: str) -> DataFrame:
         rows = rows.where(F.col(value).isNotNull()).join(edges, by)
@@ -119,18 +141,25 @@ def level(signal: Column, value: Column) -> Column:
 
 
 def worst_first(signals: DataFrame) -> DataFrame:
-    """The signals, those that ask for action first, then by value."""
+    """The signals with their `place`: those that ask for action first, then by value, then by their other columns."""
     rank = F.array_position(F.array(*map(F.lit, LEVELS)), F.col("level"))
-    return signals.orderBy(rank, F.desc("value"))
+    rest = [F.asc_nulls_last(c) for c in signals.columns if c not in {"level", "value"}]
+    return dense_number(signals.withColumn("_rank", rank), [F.col("_rank"), F.desc_nulls_last("value"), *rest], "place").drop("_rank")
+
+
+#: exp(-1): the share of stays that a replicate does not draw.
+POISSON = 0.36787944117144233
 
 
 def resampled(stays: DataFrame, stay: str, replicates: int, seed: int = 1) -> DataFrame:
     """Each stay with its weight in each replicate: Poisson(1) from hashes, so whole stays are drawn, with no exchange.
 
-    An approximation of drawing as many stays as there are, with replacement; weights are the same at each run.
+    An approximation of drawing as many stays as there are, with replacement; weights are the same at each run, and any
+    engine with MD5 gives the same.
     """
-    u = F.pmod(F.xxhash64(stay, "replicate", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-    weight, total, term = F.lit(0), 0.0, 2.718281828459045**-1
+    name = F.concat_ws(":", F.col(stay).cast("string"), F.col("replicate").cast("string"), F.lit(str(seed)))
+    u = F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    weight, total, term = F.lit(0), 0.0, POISSON
     for k in range(1, 9):
         total += term
         weight = weight + F.when(u >= total, 1).otherwise(0)
@@ -142,3 +171,10 @@ def interval(rows: DataFrame, by: Sequence[str], value: str, coverage: float = 0
     """lo and hi: percentiles of the value over replicates."""
     edge = (1 - coverage) / 2
     return rows.groupBy(*by).agg(F.percentile(value, F.lit(edge)).alias("lo"), F.percentile(value, F.lit(1 - edge)).alias("hi"))
+
+
+def paired_difference(rows: DataFrame, by: Sequence[str], value: str, other: str) -> DataFrame:
+    """Of two values measured on the same replicates: the interval of their difference, and the share in which the first is larger."""
+    change = rows.withColumn("_change", F.col(value) - F.col(other))
+    better = change.groupBy(*by).agg(F.avg("_change").alias("mean"), F.avg((F.col("_change") > 0).cast("double")).alias("share_better"))
+    return interval(change, by, "_change").join(better, list(by))

@@ -12,6 +12,8 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import bands
+
 #: Fixed value: how much the raw score breaks ties of the calibrated one.
 TIE_BREAK = 1e-6
 
@@ -120,15 +122,46 @@ def group_of(feature: Column, groups: Mapping[str, str], default: Column) -> Col
     return out
 
 
-def what_if(row: DataFrame, vital: str, value: float) -> DataFrame:
-    """The row as if the last hour's vital had been `value`: its hour's figures become it, longer means move by their
-    share of the change, the trend by all of it. A vital that the row lacks is an error."""
-    if f"{vital}_mean_1h" not in row.columns:
-        raise ValueError(f"no vital {vital}")
-    change = F.lit(float(value)) - F.col(f"{vital}_mean_1h")
-    new = {f"{vital}_{s}_1h": F.lit(float(value)) for s in ("mean", "median", "min", "max")}
-    new |= {f"{vital}_mean_3h": F.col(f"{vital}_mean_3h") + change / 3, f"{vital}_mean_6h": F.col(f"{vital}_mean_6h") + change / 6, f"{vital}_trend_3h": F.col(f"{vital}_trend_3h") + change}
-    return row.withColumns({n: c for n, c in new.items() if n in row.columns})
+#: Levels of alertness, and the first step of oxygen in litres a minute.
+ALERTNESS, FIRST_STEP = ("A", "C", "V", "P", "U"), 2.0
+SCORED = ("resp_rate", "spo2", "sbp", "heart_rate", "temp_c")
+
+
+def what_if(row: DataFrame, changes: Mapping[str, object], score: str = "news2") -> DataFrame:
+    """The rows as if the last hour had been other: vitals by name, `on_oxygen`, `acvpu`.
+
+    A vital's figures of the hour become the new value, longer means move by their share of the change (or become the
+    value, where there were none), the trend by all of it. Oxygen that is taken off flows no more, oxygen that is put on
+    flows at the first step. Where the rows have the medians of all scored vitals, the parts of the early-warning score and
+    its total (columns <score>_...) are made again. What the rows lack is an error.
+    """
+    flags = {"on_oxygen", "acvpu"}
+    odd = sorted(c for c in changes if c not in flags and f"{c}_mean_1h" not in row.columns)
+    if odd:
+        raise ValueError(f"no vital {', '.join(odd)}")
+    if changes.get("acvpu", "A") not in ALERTNESS:
+        raise ValueError(f"acvpu is one of {', '.join(ALERTNESS)}")
+    new: dict[str, Column] = {}
+    for vital, value in changes.items():
+        if vital in flags:
+            continue
+        value, old = F.lit(float(value)), F.col(f"{vital}_mean_1h")
+        change = F.coalesce(value - old, F.lit(0.0))
+        new |= {f"{vital}_{s}_1h": value for s in ("mean", "median", "min", "max")}
+        new |= {f"{vital}_mean_{h}h": F.coalesce(F.col(f"{vital}_mean_{h}h") + change / h, value) for h in (3, 6)}
+        new[f"{vital}_trend_3h"] = F.col(f"{vital}_trend_3h") + change
+    if "on_oxygen" in changes:
+        on = bool(changes["on_oxygen"])
+        flow = F.coalesce("o2_flow_lpm", F.lit(0.0))
+        new |= {"on_oxygen": F.lit(on), "o2_flow_lpm": F.when(flow == 0, FIRST_STEP).otherwise(flow) if on else F.lit(0.0)}
+    if "acvpu" in changes:
+        new |= {"acvpu": F.lit(changes["acvpu"]), "new_confusion": F.lit(changes["acvpu"] != "A")}
+    out = row.withColumns({n: c for n, c in new.items() if n in row.columns})
+    if all(f"{v}_median_1h" in row.columns for v in SCORED):
+        has = lambda name, other: F.col(name) if name in out.columns else F.lit(other)
+        parts = bands.early_warning(**{v: F.col(f"{v}_median_1h") for v in SCORED}, on_oxygen=has("on_oxygen", False), alertness=has("acvpu", "A"), scale_2=has("copd", False))
+        out = out.withColumns({f"{score}_{n}": c for n, c in parts.items()})
+    return out
 
 
 def unscored(grid: DataFrame, log: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -7,19 +7,35 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import checkpointed
+
+
+#: monotonically_increasing_id() is the partition shifted by so many bits, and the row in it.
+ROW_BITS = 33
+
+
+def in_ranges(rows: DataFrame, order: Sequence[str | Column]) -> DataFrame:
+    """The rows in ranges of the order, as a written table with _part (the range) and _own (the place in it, from 1).
+
+    The table is written once, since two plans of the same range partitioning need not have the same bounds: each samples
+    the columns that it still has.
+    """
+    sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    part, own = F.shiftright("_id", ROW_BITS).alias("_part"), (F.col("_id").bitwiseAND((1 << ROW_BITS) - 1) + 1).alias("_own")
+    return checkpointed(sorted_rows.select(*rows.columns, part, own), "ranges")
+
 
 def dense_number(rows: DataFrame, order: Sequence[str | Column], alias: str) -> DataFrame:
     """Adds 1, 2, ... in the given order.
 
     Rows are range-partitioned and numbered within their partition; what stands before each partition is a sum over
-    as many rows as there are partitions.
+    as many rows as there are partitions, which are broadcast.
     """
-    dealt = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    dealt = dealt.withColumn("_own", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    dealt = in_ranges(rows, order)
     sizes = dealt.groupBy("_part").agg(F.count("*").alias("_size"))
     before = F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes = sizes.select("_part", before.alias("_before"))
-    return dealt.join(sizes, "_part").withColumn(alias, F.col("_before") + F.col("_own")).drop("_part", "_own", "_before")
+    return dealt.join(F.broadcast(sizes), "_part").withColumn(alias, F.col("_before") + F.col("_own")).drop("_part", "_own", "_before")
 
 
 def rank_slice(array: str | Column, k: int, by) -> Column:
@@ -36,8 +52,13 @@ def top_k_per_key(rows: DataFrame, key: str, order: Sequence[Column], k: int, al
 
 
 def hashed_sample(rows: DataFrame, key: str, seed: int, n: int) -> DataFrame:
-    """n rows, the same at each run: those whose keys hash lowest."""
-    return rows.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    """n rows, the same at each run and in any engine: those whose keys hash (MD5) lowest."""
+    return rows.orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))).cast("binary")), key).limit(n)
+
+
+def numbered(rows: DataFrame, key: str, order: Sequence[str | Column], alias: str) -> DataFrame:
+    """Adds 0, 1, ... within each key."""
+    return rows.withColumn(alias, (F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1).cast("long"))
 
 
 def running_sum(rows: DataFrame, order: Sequence[Column], by: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -46,12 +67,15 @@ def running_sum(rows: DataFrame, order: Sequence[Column], by: Sequence[str], col
     Like `dense_number`: no task sees more than its own range of rows, whatever the size of a group. The order must
     tell rows of a group apart.
     """
-    keys = [F.col(b) for b in by]
-    dealt = rows.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id())
-    within = Window.partitionBy("_part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    dealt = in_ranges(rows, [*[F.col(b) for b in by], *order])
+    within = Window.partitionBy("_part", *by).orderBy("_own").rowsBetween(Window.unboundedPreceding, 0)
     dealt = dealt.withColumns({f"_own_{c}": F.sum(c).over(within) for c in columns})
     sizes = dealt.groupBy("_part", *by).agg(*[F.sum(c).alias(f"_sum_{c}") for c in columns])
     before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("_part", *by, *[F.coalesce(F.sum(f"_sum_{c}").over(before), F.lit(0)).alias(f"_before_{c}") for c in columns])
-    joined = dealt.join(sizes, ["_part", *by]).withColumns({f"cum_{c}": F.col(f"_before_{c}") + F.col(f"_own_{c}") for c in columns})
-    return joined.drop("_part", *[f"_{k}_{c}" for k in ("own", "before") for c in columns])
+    on = (F.col("d._part") == F.col("s._part")) & F.lit(True)
+    for b in by:
+        on &= F.col(f"d.{b}").eqNullSafe(F.col(f"s.{b}"))
+    joined = dealt.alias("d").join(sizes.alias("s"), on).select("d.*", *[f"s._before_{c}" for c in columns])
+    joined = joined.withColumns({f"cum_{c}": F.col(f"_before_{c}") + F.col(f"_own_{c}") for c in columns})
+    return joined.drop("_part", "_own", *[f"_{k}_{c}" for k in ("own", "before") for c in columns])

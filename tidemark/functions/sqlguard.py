@@ -20,8 +20,8 @@ PLAIN = {
 }
 
 
-class SqlRejected(ValueError):
-    """The text may not run; the message says why."""
+class Refused(ValueError):
+    """A text that is not run, and why."""
 
 
 def _children(node) -> list:
@@ -49,17 +49,22 @@ def _inner_plans(node) -> list:
     return []
 
 
-def check_sql(spark: SparkSession, sql: str, allowed: Collection[str], schema: str | None = None) -> str:
-    """The query, wrapped in a row cap. Raises SqlRejected unless it is one SELECT over allowed tables."""
-    sql = sql.strip().rstrip(";").strip()
-    if not sql:
-        raise SqlRejected("empty query")
+def _parsed(spark: SparkSession, text: str):
+    """Spark's syntax tree of one statement."""
+    if not text:
+        raise Refused("there is nothing to run")
     try:
-        root = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+        return spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
     except Exception as e:
-        raise SqlRejected(f"not a query: {str(e).splitlines()[0][:200]}") from None
-    names = {t.lower() for t in allowed}
-    full = names | ({f"{schema}.{t}".lower() for t in names} if schema else set())
+        raise Refused(f"this does not parse: {str(e).splitlines()[0][:200]}") from None
+
+
+def vet(spark: SparkSession, text: str, tables: Collection[str], schema: str | None = None) -> str:
+    """The text without its end mark, if it is one plain query over these tables; otherwise Refused is raised."""
+    text = text.strip().removesuffix(";").rstrip()
+    root = _parsed(spark, text)
+    known = {t.lower() for t in tables}
+    known |= {f"{schema}.{t}".lower() for t in known} if schema else set()
     nodes, todo, ctes = [], [root], set()
     while todo:
         node = todo.pop()
@@ -75,21 +80,21 @@ def check_sql(spark: SparkSession, sql: str, allowed: Collection[str], schema: s
         if kind == "UnresolvedRelation":
             parts = node.multipartIdentifier()
             table = ".".join(parts.apply(i) for i in range(parts.size())).lower()
-            if table not in full and not (parts.size() == 1 and table in ctes):
-                raise SqlRejected(f"table {table} is not available")
+            if table not in known and not (parts.size() == 1 and table in ctes):
+                raise Refused(f"no table {table} here")
         elif kind == "UnresolvedFunction":
             parts = node.nameParts()
             name = parts.apply(parts.size() - 1).lower()
             if parts.size() > 1 or DENIED.match(name):
-                raise SqlRejected(f"function {name} is not allowed")
+                raise Refused(f"{name}() can't be called here")
         elif logical.isInstance(node) and kind not in PLAIN:
-            raise SqlRejected(f"{kind} is not allowed in a query")
-    return f"SELECT * FROM (\n{sql}\n) LIMIT {MAX_ROWS}"
+            raise Refused(f"{kind} is no part of a plain query")
+    return text
 
 
-def run_guarded(spark: SparkSession, sql: str, allowed: Collection[str], schema: str | None = None, seconds: float = 5.0) -> list[Row]:
-    """Rows of a checked query; its jobs are cancelled when the time is over."""
-    frame: DataFrame = spark.sql(check_sql(spark, sql, allowed, schema))
+def answer(spark: SparkSession, text: str, tables: Collection[str], schema: str | None = None, seconds: float = 5.0) -> list[Row]:
+    """The first MAX_ROWS rows of a query that was vetted; its jobs are cancelled when the time is over."""
+    frame: DataFrame = spark.sql(vet(spark, text, tables, schema)).limit(MAX_ROWS)
     tag = f"guarded-{uuid.uuid4().hex}"
     late = threading.Event()
 
@@ -103,7 +108,7 @@ def run_guarded(spark: SparkSession, sql: str, allowed: Collection[str], schema:
     try:
         return frame.collect()
     except Exception as e:
-        raise TimeoutError(f"the query took more than {seconds} s") from e if late.is_set() else e
+        raise TimeoutError(f"no answer within {seconds} s") from e if late.is_set() else e
     finally:
         timer.cancel()
         spark.sparkContext.removeJobTag(tag)

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import metrics
 from tidemark.operators import joins, timegrid
 
 
@@ -72,11 +73,22 @@ def episodes(log: DataFrame, label: str, step_seconds: int) -> DataFrame:
     return sums.select("stay", "island", "first_at", "last_at", F.col("first_high").isNotNull().alias("caught"), lead.alias("lead_hours"))
 
 
-def alert_metrics(log: DataFrame, onset_rows: DataFrame, label: str, patients_per_nurse: int = 5, shift_hours: int = 12) -> DataFrame:
-    """One row: alerts, alerts a nurse and shift, precision at the alerts, share of high steps."""
+def alert_metrics(log: DataFrame, onset_rows: DataFrame, label: str, patients_per_nurse: int = 5, shift_hours: int = 12, step_seconds: int = 3600) -> DataFrame:
+    """One row: alerts, alerts a nurse and shift, precision at the alerts, share of high steps, runs of positive steps,
+    the share of them that were flagged, and the median hours of warning."""
     steps = log.agg(F.count("*").alias("n"), F.avg(F.col("high").cast("double")).alias("share_high"))
     fired = onset_rows.agg(F.count("*").alias("alerts"), F.avg(F.col(label).cast("double")).alias("precision"))
-    return steps.crossJoin(fired).select("alerts", F.try_divide(F.col("alerts") * patients_per_nurse * shift_hours, "n").alias("per_nurse_shift"), "precision", "share_high")
+    runs = episodes(log, label, step_seconds).agg(F.count("*").alias("escalations"), F.avg(F.col("caught").cast("double")).alias("flagged"), F.median("lead_hours").alias("median_lead"))
+    row = steps.crossJoin(fired).crossJoin(runs)  # one row each
+    load = F.try_divide(F.col("alerts") * patients_per_nurse * shift_hours, "n").alias("per_nurse_shift")
+    return row.select("alerts", load, "precision", "share_high", "escalations", "flagged", "median_lead")
+
+
+def candidate_thresholds(log: DataFrame, risk: str = "risk", grid: int = 300, low: float = 0.5, high: float = 0.9999) -> list[float]:
+    """Distinct quantiles of the scores from `low` to `high`, largest first: as many as the grid has at most."""
+    shares = [low + (high - low) * i / (grid - 1) for i in range(grid)]
+    row = metrics.quantiles(log, risk, shares).first()
+    return sorted(set(row.quantiles), reverse=True) if row else []
 
 
 def budget_threshold(log: DataFrame, candidates: list[float], budget: float, step_seconds: int, quiet_hours: float) -> float | None:
@@ -86,14 +98,15 @@ def budget_threshold(log: DataFrame, candidates: list[float], budget: float, ste
     """
     each = F.explode(F.array(*[F.lit(c) for c in candidates]))
     key = F.concat_ws("/", F.col("stay").cast("string"), F.col("threshold").cast("string"))
-    rows = log.withColumn("threshold", each).withColumn("high", F.col("risk") >= F.col("threshold")).withColumn("stay", key)
+    rows = log.withColumn("threshold", each).where(F.col("risk") >= F.col("threshold")).withColumn("high", F.lit(True)).withColumn("stay", key)
+    # steps that are not high only part runs of those that are, which the steps' times do as well
     counts = {r.threshold: r["count"] for r in onsets(rows, step_seconds, quiet_hours).groupBy("threshold").count().collect()}
     steps, best = log.count(), None
     for c in sorted(candidates, reverse=True):
         if counts.get(c, 0) > budget * steps:
             break
         best = c
-    return best
+    return max(candidates) if best is None and candidates else best
 
 
 def labels(grid: DataFrame, outcomes: DataFrame, as_of: str, horizon_hours: int = 6, delay_hours: int = 6) -> DataFrame:
@@ -109,6 +122,17 @@ def labels(grid: DataFrame, outcomes: DataFrame, as_of: str, horizon_hours: int
     return rows.select("stay", "at", label.alias("label"), F.coalesce("recorded_at", closed).alias("known_at")).where("label IS NOT NULL")
 
 
+def reference_labels(grid: DataFrame, outcomes: DataFrame, as_of: str, horizon_hours: int = 6) -> DataFrame:
+    """Labels by all events up to `as_of`, without delay: 1 if one lies in (at, at + horizon], null while the horizon is open, else 0."""
+    now = F.lit(as_of).cast("timestamp")
+    g, o = grid.alias("g"), outcomes.where(F.col("event_at") <= now).alias("o")
+    end = F.col("g.at") + _hours(horizon_hours)
+    inside = (F.col("o.event_at") > F.col("g.at")) & (F.col("o.event_at") <= end)
+    rows = g.join(o, (F.col("g.stay") == F.col("o.stay")) & inside, "left").groupBy("g.stay", "g.at").agg(F.count("o.event_at").alias("n"))
+    closed = F.col("at") + _hours(horizon_hours)
+    return rows.select("stay", "at", F.when(F.col("n") > 0, 1).when(closed <= now, 0).alias("label"), closed.alias("known_at"))
+
+
 def device_health(readings: DataFrame, expected: DataFrame, key: str, ts: str, value: str, gap_minutes: int, run_length: int) -> DataFrame:
     """key, day: messages received and expected, uptime (at most 100, null if none expected), outages, stuck minutes, kinds of messages."""
     rows = timegrid.equal_runs(timegrid.gaps(readings, key, ts, gap_minutes), key, ts, value, run_length)

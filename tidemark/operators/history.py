@@ -66,6 +66,20 @@ def difference(old: DataFrame, new: DataFrame, keys: Sequence[str], compared: Se
     return a.join(b, list(keys), "full").select(*keys, kind.alias("change")).where("change IS NOT NULL")
 
 
+def vanished(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys that the new state no longer has: none, as sources never delete."""
+    return old.join(new, list(keys), "left_anti").select(*keys)
+
+
+def change_set(old: DataFrame, new: DataFrame, keys: Sequence[str], compared: Sequence[str]) -> DataFrame:
+    """Rows of the new state to insert or to update, with change_op. A row that has vanished is an error."""
+    lost = vanished(old, new, keys).limit(3).collect()
+    if lost:
+        raise ValueError(f"rows have vanished, such as {lost[0].asDict()}")
+    kind = F.when(F.col("change") == "added", INSERT).otherwise(UPDATE).alias("change_op")
+    return new.join(difference(old, new, keys, compared).select(*keys, kind), list(keys))
+
+
 def changes_between(log: DataFrame, state: DataFrame, keys: Sequence[str], version: str, after: int, upto: int) -> DataFrame:
     """Changes with after < version <= upto, each with the present row of its key; a deleted row's columns are null."""
     some = log.where((F.col(version) > after) & (F.col(version) <= upto)).select(*keys, version, "change_op")

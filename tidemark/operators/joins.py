@@ -44,9 +44,12 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_t
 
     Both sides are merged by time and the last right row is carried forward: one shuffle, one sort, no pairs. Equal
     right times are decided by the largest `tie`. With `fallback`, rows before every right row take the earliest.
+    A null key equals none and a null time is at no moment: such right rows are not found, such left rows find nothing.
     """
     payload = F.struct(*values)
-    a = left.select(F.col(key).alias("k"), F.col(left_ts).alias("t"), F.lit(0 if strict else 1).alias("side"), F.lit(None).alias("tie"), F.struct(*left.columns).alias("row"), F.lit(None).alias("value"))
+    known = F.col(key).isNotNull() & F.col(left_ts).isNotNull()
+    right = right.where(F.col(key).isNotNull() & F.col(right_ts).isNotNull())
+    a = left.where(known).select(F.col(key).alias("k"), F.col(left_ts).alias("t"), F.lit(0 if strict else 1).alias("side"), F.lit(None).alias("tie"), F.struct(*left.columns).alias("row"), F.lit(None).alias("value"))
     b = right.select(F.col(key).alias("k"), F.col(right_ts).alias("t"), F.lit(1 if strict else 0).alias("side"), (F.col(tie) if tie else F.lit(None)).alias("tie"), F.lit(None).alias("row"), payload.alias("value"))
     both = a.unionByName(b)
     order = Window.partitionBy("k").orderBy("t", "side", "tie")
@@ -54,7 +57,10 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_t
     if fallback:
         found = F.coalesce(found, F.first("value", ignorenulls=True).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
     rows = both.withColumn("found", found).where("row IS NOT NULL")
-    return rows.select("row.*", *[F.col(f"found.{v}").alias(v) for v in values])
+    rows = rows.select("row.*", *[F.col(f"found.{v}").alias(v) for v in values])
+    # rows without a key stay out of the exchange, where they would all meet in one task
+    nothing = [F.lit(None).cast(right.schema[v].dataType).alias(v) for v in values]
+    return rows.unionAll(left.where(~known).select("*", *nothing))
 
 
 def range_before(grid: DataFrame, facts: DataFrame, key: str, at: str, ts: str, hours: int) -> DataFrame:

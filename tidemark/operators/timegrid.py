@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,24 +99,35 @@ def entries(rows: DataFrame, key: str, ts: str, high: str, step_seconds: int = 3
 def suppressed(rows: DataFrame, key: str, ts: str, hours: float, tie: str | None = None) -> DataFrame:
     """Rows that fire: those at least `hours` after the last row of the key that fired, greedily from the first.
 
-    Sequential by nature. The sorted rows stream through each task with one time per key in memory, so a long history
-    is never collected.
+    Sequential by nature, so the sorted rows stream through each task with one time per key in memory, and a long
+    history is never collected. From one firing the next is found by a search. Rows without a time do not fire.
     """
     ship_package(rows.sparkSession)
     names = rows.columns
     k, t = names.index(key), names.index(ts)
-    width = timedelta(hours=hours)
+    width = int(hours * 3_600_000_000)
 
     def run(batches):
         last_key, fired = object(), None
         for batch in batches:
-            keys, times = batch.column(k).to_pylist(), batch.column(t).to_pylist()
-            keep = np.zeros(batch.num_rows, bool)
-            for i, (a, b) in enumerate(zip(keys, times, strict=True)):
-                if a != last_key:
-                    last_key, fired = a, None
-                if fired is None or b - fired >= width:
-                    keep[i], fired = True, b
+            n = batch.num_rows
+            if not n:
+                continue
+            keys, times = batch.column(k), batch.column(t).cast(pa.int64())
+            begins = np.ones(n, bool)
+            both_null = pc.and_(keys[1:].is_null(), keys[:-1].is_null())
+            begins[1:] = pc.and_(pc.fill_null(pc.not_equal(keys[1:], keys[:-1]), True), pc.invert(both_null)).to_numpy(zero_copy_only=False)
+            known, micros = times.is_valid().to_numpy(zero_copy_only=False), times.fill_null(0).to_numpy()
+            keep = np.zeros(n, bool)
+            starts = np.flatnonzero(begins)
+            for first, end in zip(starts, np.append(starts[1:], n), strict=True):
+                if (name := keys[first].as_py()) != last_key:
+                    last_key, fired = name, None
+                first += int((~known[first:end]).sum())  # nulls come first
+                at = first if fired is None else first + int(np.searchsorted(micros[first:end], fired + width))
+                while at < end:
+                    keep[at], fired = True, int(micros[at])
+                    at += 1 + int(np.searchsorted(micros[at + 1 : end], fired + width))
             yield batch.filter(pa.array(keep))
 
     order = [key, ts, *([tie] if tie else [])]

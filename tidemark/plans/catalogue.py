@@ -22,3 +22,4 @@ def register(name: str, sql: str | None = None):
 
 from tidemark.plans import records, search, signals, timeline  # noqa: E402, F401, I001
 from tidemark.plans import named, pipelines, summaries  # noqa: E402, F401
+from tidemark.plans import checks, semantic  # noqa: E402, F401

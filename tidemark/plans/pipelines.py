@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import model
 from tidemark.plans import records, signals
-from tidemark.plans.catalogue import register
+from tidemark.plans.catalogue import ORACLES, register
 from tidemark.sources import ingest
 from tidemark.sources.tables import table
 from tidemark.session import shared_dir
@@ -55,12 +55,13 @@ def recent_rows(spark, sf_dir):
     return ingest.recent(table(spark, sf_dir, "events"), "ts", "2024-01-15", 3).select("event_id")
 
 
-@register("snapshot_round_trip", "SELECT 'nation' AS \"table\", CAST(count(*) AS BIGINT) AS n FROM nation UNION ALL SELECT 'region', CAST(count(*) AS BIGINT) FROM region")
+@register("snapshot_round_trip", "SELECT c_custkey AS key, c_name AS name, c_acctbal AS balance FROM customer UNION ALL SELECT s_suppkey, s_name, s_acctbal FROM supplier")
 def snapshot_round_trip(spark, sf_dir):
-    folder = shared_dir(spark, "snapshot")
-    expected = ingest.write_snapshot(spark, {n: table(spark, sf_dir, n) for n in ("nation", "region")}, folder)
-    ingest.verify_snapshot(spark, folder, expected)
-    parts = [spark.read.parquet(f"{folder}/{n}").agg(F.lit(n).alias("table"), F.count("*").alias("n")) for n in ("nation", "region")]
+    """Two whole tables, published under the digest of their files, and fetched again."""
+    root = shared_dir(spark, "snapshot")
+    ingest.publish_snapshot(spark, {n: table(spark, sf_dir, n) for n in ("customer", "supplier")}, root, "1")
+    found = ingest.fetch_snapshot(spark, root)
+    parts = [found[n].select(F.col(f"{p}_{k}").alias("key"), F.col(f"{p}_name").alias("name"), F.col(f"{p}_acctbal").alias("balance")) for n, p, k in (("customer", "c", "custkey"), ("supplier", "s", "suppkey"))]
     return parts[0].unionByName(parts[1])
 
 
@@ -100,6 +101,17 @@ def stream_scd1(spark, sf_dir):
     return streams.latest_state(spark, f"{work}/out").select("user_id", "event_id")
 
 
+@register("stream_scd2", ORACLES["scd2_history"])
+def stream_scd2(spark, sf_dir):
+    """A change log that comes as files, a few in a batch, and the history that it makes."""
+    landed, work = shared_dir(spark, "changes"), shared_dir(spark, "scd2")
+    log = records.change_log(spark, sf_dir)
+    log.repartition(4, "key").write.parquet(landed)
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 2).parquet(landed)
+    versions = streams.drain_scd2(stream, ["key"], ["changed_at", "version"], ["status"], f"{work}/out", f"{work}/checkpoint")
+    return versions.select("key", "status", "version", "start_at", "end_at")
+
+
 @register(
     "time_split",
     """
@@ -143,12 +155,30 @@ def top_factors(spark, sf_dir):
     return rows.where(size[0] - size[1] > 1e-6).select("l_orderkey", "l_linenumber", F.col("f")[0]["group"].alias("first_group"), F.round(size[0], 4).alias("size"))
 
 
-@register("what_if_vital", "SELECT l_orderkey, l_linenumber, round(l_quantity + (40 - l_quantity) / 3, 6) AS mean_3h, round(l_quantity + (40 - l_quantity) / 6, 6) AS mean_6h FROM lineitem")
+WHAT_IF = {"resp_rate": "l_quantity * 0.7", "spo2": "82 + l_linenumber * 2.5", "sbp": "80 + l_extendedprice / 400", "temp_c": "34.5 + l_discount * 50"}
+
+
+@register(
+    "what_if_vital",
+    f"""
+    SELECT l_orderkey, l_linenumber, 131.0 AS median_1h, round(q + (131 - q) / 3, 6) AS mean_3h, round(q + (131 - q) / 6, 6) AS mean_6h, round(-q + 131 - q, 6) AS trend_3h,
+           CASE WHEN l_linestatus = 'O' THEN l_tax * 100 + 1 ELSE 2.0 END AS flow, resp_rate + spo2 + sbp + 3 + temp_c + 2 + 3 AS total FROM (
+        SELECT *, l_quantity * 2.1 AS q, {signals._duck_band(f"round_even({WHAT_IF['resp_rate']}, 0)", 'resp_rate')} AS resp_rate, {signals._duck_band(f"round_even({WHAT_IF['spo2']}, 0)", 'spo2_scale_1')} AS spo2,
+               {signals._duck_band(f"round_even({WHAT_IF['sbp']}, 0)", 'sbp')} AS sbp, {signals._duck_band(f"round_even({WHAT_IF['temp_c']}, 1)", 'temp_c')} AS temp_c FROM lineitem)
+    """,
+)
 def what_if_vital(spark, sf_dir):
-    q = F.col("l_quantity")
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", q.alias("hr_mean_1h"), q.alias("hr_mean_3h"), q.alias("hr_mean_6h"), q.alias("hr_trend_3h"))
-    changed = model.what_if(rows, "hr", 40)
-    return changed.select("l_orderkey", "l_linenumber", F.round("hr_mean_3h", 6).alias("mean_3h"), F.round("hr_mean_6h", 6).alias("mean_6h"))
+    """Another heart rate, oxygen put on, and confusion: the hour's figures, the means, and the score made again."""
+    q = F.expr("l_quantity * 2.1")
+    rate = {f"heart_rate_{s}": q for s in ("mean_1h", "median_1h", "min_1h", "max_1h", "mean_3h", "mean_6h")} | {"heart_rate_trend_3h": -q}
+    medians = {f"{n}_median_1h": F.expr(sql) for n, sql in WHAT_IF.items()}
+    flow = F.when(F.col("l_linestatus") == "O", F.col("l_tax") * 100 + 1).otherwise(0.0)
+    rows = table(spark, sf_dir, "lineitem").withColumns({**rate, **medians, "on_oxygen": F.col("l_linestatus") == "O", "o2_flow_lpm": flow, "acvpu": F.lit("A")})
+    changed = model.what_if(rows, {"heart_rate": 131, "on_oxygen": True, "acvpu": "V"})
+    return changed.select(
+        "l_orderkey", "l_linenumber", F.col("heart_rate_median_1h").alias("median_1h"), *[F.round(f"heart_rate_{s}", 6).alias(s) for s in ("mean_3h", "mean_6h", "trend_3h")],
+        F.col("o2_flow_lpm").alias("flow"), F.col("news2_total").alias("total"),
+    )
 
 
 @register("model_scores")

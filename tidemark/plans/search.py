@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import retrieval
+from tidemark.functions.ranking import top_k_per_key
 from tidemark.plans.catalogue import register
 from tidemark.sources.tables import table
 
@@ -18,21 +19,24 @@ def term_lists(spark, sf_dir):
     return rows.select("item_id", F.size("terms").cast("long").alias("n"), F.array_join("terms", " ").alias("joined"))
 
 
-BM25 = f"""{ITEMS},
-    docs AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '{retrieval.TERM}'), lambda t: NOT list_contains({STOP}, t)) AS terms FROM documents),
-    total AS (SELECT count(*) AS n, avg(len(terms)) AS mean_length FROM docs),
-    flat AS (SELECT doc_id, len(terms) AS length, unnest(terms) AS term FROM docs), tf AS (SELECT doc_id, length, term, count(*) AS tf FROM flat GROUP BY 1, 2, 3),
-    df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), asked AS (SELECT item_id, unnest(list_distinct(terms)) AS term FROM items),
-    scored AS (
-        SELECT item_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean_length))) AS score
-        FROM asked JOIN tf USING (term) JOIN df USING (term), total GROUP BY 1, 2
-    )"""
+def bm25_ctes(k: int, source: str = "documents", name: str = "", b: float = 0.75, k1: float = 1.5) -> str:
+    """CTEs down to scored{name}: the k best documents of the source for each item."""
+    return f"""
+    docs{name} AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '{retrieval.TERM}'), lambda t: NOT list_contains({STOP}, t)) AS terms FROM {source}),
+    total{name} AS (SELECT count(*) AS n, avg(len(terms)) AS mean_length FROM docs{name}),
+    flat{name} AS (SELECT doc_id, len(terms) AS length, unnest(terms) AS term FROM docs{name}), tf{name} AS (SELECT doc_id, length, term, count(*) AS tf FROM flat{name} GROUP BY 1, 2, 3),
+    df{name} AS (SELECT term, count(*) AS df FROM tf{name} GROUP BY 1), asked{name} AS (SELECT item_id, unnest(list_distinct(terms)) AS term FROM items),
+    every{name} AS (
+        SELECT item_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * ({k1} + 1) / (tf + {k1} * (1 - {b} + {b} * length / mean_length))) AS score
+        FROM asked{name} JOIN tf{name} USING (term) JOIN df{name} USING (term), total{name} GROUP BY 1, 2
+    ), ranked{name} AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS place FROM every{name}),
+    scored{name} AS (SELECT * FROM ranked{name} WHERE place <= {k})"""
 
 
-@register("bm25_scores", f"WITH {BM25} SELECT item_id, doc_id, round(score, 5) AS score FROM scored")
+@register("bm25_scores", f"WITH {ITEMS}, {bm25_ctes(10)} SELECT item_id, doc_id, round(score, 5) AS score, CAST(place AS INT) AS place FROM scored")
 def bm25_scores(spark, sf_dir):
-    rows = retrieval.bm25(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id", "text")
-    return rows.select("item_id", "doc_id", F.round("score", 5).alias("score"))
+    rows = retrieval.bm25(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id", "text", 10)
+    return rows.select("item_id", "doc_id", F.round("score", 5).alias("score"), "place")
 
 
 NEAREST = """v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT * FROM v WHERE vec_id % 20 = 0),
@@ -59,40 +63,69 @@ def answerable_queries(spark, sf_dir):
 @register(
     "rank_fusion",
     f"""
-    WITH {BM25}, t AS (
-        SELECT item_id, doc_id, count(DISTINCT term) AS score FROM asked JOIN tf USING (term) GROUP BY 1, 2
-    ), p AS (
-        SELECT item_id, doc_id, 1.0 / (60 + row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id)) AS part FROM scored WHERE score > 0
-        UNION ALL SELECT item_id, doc_id, 1.0 / (60 + row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)) FROM t
-    ), f AS (SELECT item_id, doc_id, sum(part) AS score FROM p GROUP BY 1, 2)
+    WITH {ITEMS}, {bm25_ctes(50)}, {bm25_ctes(50, name="2", b=0.0)},
+    p AS (SELECT item_id, doc_id, 1.0 / (60 + place) AS part FROM scored WHERE score > 0 UNION ALL SELECT item_id, doc_id, 1.0 / (60 + place) FROM scored2 WHERE score > 0),
+    f AS (SELECT item_id, doc_id, sum(part) AS score FROM p GROUP BY 1, 2)
     SELECT item_id, doc_id, round(score, 8) AS score FROM f QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) <= 5
     """,
 )
 def rank_fusion(spark, sf_dir):
-    from tidemark.functions.ranking import top_k_per_key
-
+    """Two rankings by words, one of which does not mind how long a document is."""
     documents, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    scored = retrieval.bm25(documents, items, "doc_id", "item_id", "text")
-    asked = items.select("item_id", F.explode(F.array_distinct(retrieval.terms(F.col("text")))).alias("term"))
-    shared = asked.join(retrieval.term_counts(documents, "doc_id", "text"), "term").groupBy("item_id", "doc_id").agg(F.count("*").cast("double").alias("score"))
-    fused = retrieval.fuse([scored, shared], "item_id", "doc_id")
+    rankings = [retrieval.bm25(documents, items, "doc_id", "item_id", "text", 50, b=b) for b in (0.75, 0.0)]
+    fused = retrieval.fuse(rankings, "item_id", "doc_id", 50)
     return top_k_per_key(fused, "item_id", [F.round("score", 9).desc(), F.col("doc_id")], 5).select("item_id", "doc_id", F.round("score", 8).alias("score"))
 
 
+IN_FORCE = """chunks AS (
+        SELECT d.doc_id, d.text, e.embedding, d.doc_id % 100 AS family, d.doc_id // 100 AS version FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id
+    ), force AS (SELECT * FROM chunks WHERE DATE '2024-01-01' + INTERVAL 1 DAY * CAST(version AS INT) <= DATE '2024-01-03' QUALIFY version = max(version) OVER (PARTITION BY family))"""
+
+
+@register(
+    "hybrid_search",
+    f"""
+    WITH {IN_FORCE}, asking AS (SELECT b.item_id, b.text, e.embedding FROM benchmark b JOIN embeddings e ON b.item_id = e.vec_id),
+    items AS (SELECT item_id, list_filter(regexp_extract_all(lower(text), '{retrieval.TERM}'), lambda t: NOT list_contains({STOP}, t)) AS terms FROM asking), {bm25_ctes(30, "force")},
+    v AS (SELECT doc_id, embedding::DOUBLE[] AS e FROM force), q AS (SELECT item_id, embedding::DOUBLE[] AS e FROM asking),
+    s AS (SELECT item_id, doc_id, list_dot_product(q.e, v.e) / sqrt(list_dot_product(q.e, q.e)) / sqrt(list_dot_product(v.e, v.e)) AS score FROM q, v),
+    near AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS place FROM s),
+    p AS (
+        SELECT item_id, doc_id, 1.0 / (60 + place) AS part FROM scored WHERE score > 0
+        UNION ALL SELECT item_id, doc_id, 1.0 / (60 + place) FROM near WHERE place <= 30 AND score > 0
+    ), f AS (SELECT item_id, doc_id, sum(part) AS score FROM p GROUP BY 1, 2)
+    SELECT item_id, doc_id, round(score, 8) AS score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS INT) AS place FROM f QUALIFY place <= 5
+    """,
+)
+def hybrid_search(spark, sf_dir):
+    """Documents in versions, of which those in force on a day are searched by words and by vectors."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("vector_of"), "embedding")
+    chunks = table(spark, sf_dir, "documents").join(vectors, F.col("doc_id") == F.col("vector_of")).select(
+        "doc_id", "text", "embedding", (F.col("doc_id") % 100).alias("family"), F.floor(F.col("doc_id") / 100).alias("version")
+    )
+    chunks = chunks.withColumn("effective", F.date_add(F.lit("2024-01-01").cast("date"), F.col("version").cast("int"))).withColumn("status", F.lit("current"))
+    items = table(spark, sf_dir, "benchmark")
+    items = items.join(vectors, F.col("item_id") == F.col("vector_of")).select("item_id", "text", "embedding")
+    found = retrieval.hybrid_search(chunks, items, "doc_id", "item_id", "text", "embedding", 5, "hybrid", "2024-01-03", ("family", "version", "effective", "status"))
+    return found.select("item_id", "doc_id", F.round("score", 8).alias("score"), "place")
+
+
+@register("containing_documents", "SELECT doc_id, item_id FROM documents JOIN benchmark b ON contains(documents.text, b.text)")
+def containing_documents(spark, sf_dir):
+    return retrieval.containing(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id", "text")
+
+
 @register(
     "retrieval_quality",
     f"""
-    WITH {BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS place FROM scored),
-    w AS (SELECT item_id, min(doc_id) AS doc_id FROM documents JOIN benchmark b ON contains(documents.text, b.text) GROUP BY 1)
-    SELECT round(avg(CASE WHEN place <= 1 THEN 1.0 ELSE 0 END), 6) AS hit_1, round(avg(CASE WHEN place <= 5 THEN 1.0 ELSE 0 END), 6) AS hit_k, round(avg(coalesce(1.0 / place, 0)), 6) AS mrr FROM w LEFT JOIN r USING (item_id, doc_id)
+    WITH {ITEMS}, {bm25_ctes(10)}, w AS (SELECT item_id, min(doc_id) AS doc_id FROM documents JOIN benchmark b ON contains(documents.text, b.text) GROUP BY 1)
+    SELECT round(avg(CASE WHEN place <= 1 THEN 1.0 ELSE 0 END), 6) AS hit_1, round(avg(CASE WHEN place <= 5 THEN 1.0 ELSE 0 END), 6) AS hit_k, round(avg(coalesce(1.0 / place, 0)), 6) AS mrr FROM w LEFT JOIN scored USING (item_id, doc_id)
     """,
 )
 def retrieval_quality(spark, sf_dir):
     documents, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    # the benchmark is the stated query set, held against all documents
-    inside = documents.select("doc_id", F.col("text").alias("body")).join(F.broadcast(items), F.contains("body", "text"))
-    wanted = inside.groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))
-    row = retrieval.retrieval_quality(retrieval.bm25(documents, items, "doc_id", "item_id", "text"), wanted, "item_id", "doc_id", 5)
+    wanted = retrieval.containing(documents, items, "doc_id", "item_id", "text").groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))
+    row = retrieval.retrieval_quality(retrieval.bm25(documents, items, "doc_id", "item_id", "text", 10), wanted, "item_id", "doc_id", 5)
     return row.select(*[F.round(c, 6).alias(c) for c in ("hit_1", "hit_k", "mrr")])
 
 
@@ -117,14 +150,36 @@ def versions_in_force(spark, sf_dir):
     return retrieval.in_force(rows, "o_custkey", "o_orderkey", "effective", "status", "1997-06-30").select("o_orderkey", "o_custkey")
 
 
-@register("hashed_vector_norms", "SELECT item_id, 1.0 AS norm FROM benchmark")
-def hashed_vector_norms(spark, sf_dir):
-    rows = retrieval.hashed_vectors(table(spark, sf_dir, "benchmark"), "item_id", "text")
-    return rows.groupBy("item_id").agg(F.round(F.sum(F.col("value") ** 2), 6).alias("norm"))
+_DIGIT = "(strpos('0123456789abcdef', substr(md5(term), {0}, 1)) - 1)"
+
 
+@register(
+    "hashed_vectors",
+    f"""
+    WITH d AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(lower(text), '{retrieval.TERM}'), lambda t: NOT list_contains({STOP}, t))) AS term FROM documents),
+    c AS (SELECT doc_id, CAST(({_DIGIT.format(6)} * 256 + {_DIGIT.format(7)} * 16 + {_DIGIT.format(8)}) % 512 AS INT) AS bucket, CAST(count(*) AS DOUBLE) AS n FROM d GROUP BY 1, 2)
+    SELECT doc_id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS value FROM c
+    """,
+)
+def hashed_vectors(spark, sf_dir):
+    rows = retrieval.hashed_vectors(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return rows.select("doc_id", "bucket", F.round("value", 6).alias("value"))
 
-@register("heading_chunks", r"""SELECT doc_id, CAST(0 AS INT) AS chunk, lang AS section, body AS chunk_text FROM (SELECT doc_id, lang, regexp_replace(text, '[\n#`]+', ' ', 'g') AS body FROM documents) WHERE trim(body) <> ''""")
+
+@register("heading_chunks")
 def heading_chunks(spark, sf_dir):
-    body = F.concat(F.lit("# "), "lang", F.lit("\n\n"), F.regexp_replace("text", "[\n#`]+", " "))
-    pages = table(spark, sf_dir, "documents").select("doc_id", body.alias("body"))
-    return retrieval.heading_chunks(pages, "doc_id", "body")
+    """Whole texts as they are, in chunks of blocks; a test holds them against their own blocks."""
+    pages = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return retrieval.heading_chunks(pages, "doc_id", "text", "lang")
+
+
+@register(
+    "front_matter",
+    """SELECT doc_id, lang AS title, CAST(doc_id % 7 AS VARCHAR) AS version, coalesce(text, '') AS body, lang || ' (version ' || doc_id % 7 || '), Scope' AS citation FROM documents""",
+)
+def front_matter(spark, sf_dir):
+    """A front matter put before each text is read again, and cited."""
+    head = F.concat(F.lit("---\ntitle: "), "lang", F.lit("\nversion:  "), (F.col("doc_id") % 7).cast("string"), F.lit(" \n---\n"), F.coalesce("text", F.lit("")))
+    pages = table(spark, sf_dir, "documents").select("doc_id", head.alias("page"))
+    read = retrieval.front_matter(pages, "page", ("title", "version")).withColumn("section", F.lit("Scope"))
+    return read.select("doc_id", "title", "version", "body", retrieval.cited(read, "title", "version").alias("citation"))

@@ -134,14 +134,18 @@ def warning_episodes(spark, sf_dir):
 @register(
     "alert_metrics",
     f"""
-    WITH RECURSIVE {LOG} SELECT CAST((SELECT count(*) FROM onsets) AS BIGINT) AS alerts, round((SELECT count(*) FROM onsets) * 60.0 / (SELECT count(*) FROM log), 6) AS per_nurse_shift,
-    round((SELECT avg(CASE WHEN score > 1 THEN 1.0 ELSE 0 END) FROM onsets), 6) AS precision, round((SELECT avg(CASE WHEN high THEN 1.0 ELSE 0 END) FROM log), 6) AS share_high
+    WITH RECURSIVE {LOG}, pos AS (SELECT *, lag(day_at) OVER (PARTITION BY stay ORDER BY day_at) AS p FROM log WHERE score > 1),
+    runs AS (SELECT *, sum(CASE WHEN p IS NULL OR day_at - p > INTERVAL 1 DAY THEN 1 ELSE 0 END) OVER (PARTITION BY stay ORDER BY day_at ROWS UNBOUNDED PRECEDING) AS island FROM pos),
+    episodes AS (SELECT bool_or(high) AS caught, epoch(max(day_at) - min(day_at) FILTER (WHERE high)) / 3600 + 1 AS lead FROM runs GROUP BY stay, island)
+    SELECT CAST((SELECT count(*) FROM onsets) AS BIGINT) AS alerts, round((SELECT count(*) FROM onsets) * 60.0 / (SELECT count(*) FROM log), 6) AS per_nurse_shift,
+    round((SELECT avg(CASE WHEN score > 1 THEN 1.0 ELSE 0 END) FROM onsets), 6) AS precision, round((SELECT avg(CASE WHEN high THEN 1.0 ELSE 0 END) FROM log), 6) AS share_high,
+    (SELECT count(*) FROM episodes) AS escalations, round((SELECT avg(caught::INT) FROM episodes), 6) AS flagged, round((SELECT median(lead) FROM episodes), 6) AS median_lead
     """,
 )
 def alert_metrics(spark, sf_dir):
     log = score_log(spark, sf_dir).withColumn("label", (F.col("score") > 1).cast("int"))
-    row = alerts.alert_metrics(log, alerts.onsets(log, DAY, 72), "label")
-    return row.select("alerts", *[F.round(c, 6).alias(c) for c in ("per_nurse_shift", "precision", "share_high")])
+    row = alerts.alert_metrics(log, alerts.onsets(log, DAY, 72), "label", step_seconds=DAY)
+    return row.select("alerts", "escalations", *[F.round(c, 6).alias(c) for c in ("per_nurse_shift", "precision", "share_high", "flagged", "median_lead")])
 
 
 @register(
@@ -278,14 +282,20 @@ def drift_distances(spark, sf_dir):
     return rows.select("status", F.round("psi", 5).alias("psi"), F.round("js", 5).alias("js"), "n")
 
 
-@register(
-    "drift_levels",
-    """
-    SELECT user_id, value, CASE WHEN value / 100 >= 0.2 THEN 'act' WHEN value / 100 >= 0.1 THEN 'warn' ELSE 'stable' END AS level FROM events
-    """,
-)
+def _level_case(value: str) -> str:
+    out = []
+    for i, (_, (warn, act)) in enumerate(metrics.LIMITS.items()):
+        acts = f"WHEN {value} >= {act} THEN 'act' " if act != float("inf") else ""
+        out.append(f"WHEN event_id % 9 = {i} THEN CASE {acts}WHEN {value} >= {warn} THEN 'warn' ELSE 'stable' END")
+    return f"CASE WHEN event_id % 50 = 0 AND event_id % 9 < 8 THEN 'not enough data' {' '.join(out)} END"
+
+
+@register("drift_levels", f"SELECT event_id, {_level_case('value / 100')} AS level FROM events")
 def drift_levels(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("user_id", "value", metrics.level(F.lit("feature_psi"), F.col("value") / 100).alias("level"))
+    """Every signal's limits, a value that is missing, and a signal that there is not."""
+    names = F.array(*[F.lit(n) for n in metrics.LIMITS], F.lit("another"))
+    value = F.when(F.col("event_id") % 50 != 0, F.col("value") / 100)
+    return table(spark, sf_dir, "events").select("event_id", metrics.level(F.element_at(names, (F.col("event_id") % 9 + 1).cast("int")), value).alias("level"))
 
 
 @register("age_bands", "SELECT p_partkey, CASE WHEN p_size + 40 >= 18 AND p_size + 40 < 50 THEN '18-49' WHEN p_size + 40 < 70 THEN '50-69' WHEN p_size + 40 < 85 THEN '70-84' ELSE '85-199' END AS band FROM part")

@@ -82,10 +82,9 @@ def distance_pivot(spark, sf_dir):
     return wide.select(sum((F.col(c).isNotNull().cast("long") for c in ("A", "N", "R")), F.lit(0)).alias("flags"))
 
 
-@register("collected_json", "SELECT c_nationkey, '[' || string_agg('{\"k\":' || c_custkey || '}', ',' ORDER BY c_custkey) || ']' AS members FROM customer WHERE c_acctbal > 9000 GROUP BY 1")
+@register("collected_json", "SELECT c_nationkey, '[' || string_agg('{\"k\":' || c_custkey || '}', ',' ORDER BY c_custkey) || ']' AS members FROM customer GROUP BY 1")
 def collected_json(spark, sf_dir):
-    rich = table(spark, sf_dir, "customer").where("c_acctbal > 9000")
-    return rich.groupBy("c_nationkey").agg(F.to_json(F.array_sort(F.collect_list(F.struct(F.col("c_custkey").alias("k"))))).alias("members"))
+    return table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.to_json(F.array_sort(F.collect_list(F.struct(F.col("c_custkey").alias("k"))))).alias("members"))
 
 
 @register("top_orders", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
@@ -96,25 +95,41 @@ def top_orders(spark, sf_dir):
 @register("risk_deciles", "WITH e AS (SELECT quantile_cont(l_extendedprice, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS q FROM lineitem) SELECT 'd' || len(list_filter(q, lambda x: x <= l_extendedprice)) AS decile, CAST(count(*) AS BIGINT) AS n FROM lineitem, e GROUP BY 1")
 def risk_deciles(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select("l_extendedprice")
-    edges = lines.agg(F.percentile("l_extendedprice", F.array(*[F.lit(i / 10) for i in range(1, 10)])).alias("q"))
+    edges = metrics.quantiles(lines, "l_extendedprice", [i / 10 for i in range(1, 10)]).withColumnRenamed("quantiles", "q")
     placed = lines.crossJoin(F.broadcast(edges))  # one row
     return placed.groupBy(F.concat(F.lit("d"), F.size(F.filter("q", lambda e: e <= F.col("l_extendedprice"))).cast("string")).alias("decile")).agg(F.count("*").alias("n"))
 
 
-@register("worst_signals", "SELECT user_id, value, CASE WHEN value / 100 >= 0.2 THEN 'act' WHEN value / 100 >= 0.1 THEN 'warn' ELSE 'stable' END AS level FROM events")
+@register(
+    "worst_signals",
+    """
+    WITH s AS (SELECT event_id, value, CASE WHEN value / 100 >= 0.2 THEN 'act' WHEN value / 100 >= 0.1 THEN 'warn' ELSE 'stable' END AS level FROM events)
+    SELECT event_id, value, level, row_number() OVER (ORDER BY CASE level WHEN 'act' THEN 1 WHEN 'warn' THEN 2 ELSE 3 END, value DESC, event_id) AS place FROM s
+    """,
+)
 def worst_signals(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select("user_id", "value", metrics.level(F.lit("feature_psi"), F.col("value") / 100).alias("level"))
+    rows = table(spark, sf_dir, "events").select("event_id", "value", metrics.level(F.lit("feature_psi"), F.col("value") / 100).alias("level"))
     return metrics.worst_first(rows)
 
 
-@register("bootstrap_interval")
+def _interval_sql() -> str:
+    from tidemark.plans.checks import weights_sql
+
+    return f"""
+    WITH RECURSIVE {signals.LOG}, stays AS (SELECT stay, count(*) AS n, count(*) FILTER (WHERE high) AS high FROM log GROUP BY 1), w AS ({weights_sql('stay', 100)}),
+    r AS (SELECT replicate, sum(weight * high) / sum(weight * n) AS share FROM w JOIN stays USING (stay) GROUP BY 1)
+    SELECT 'share_high' AS metric, round(quantile_cont(share, 0.025), 6) AS lo, round(quantile_cont(share, 0.975), 6) AS hi FROM r
+    """
+
+
+@register("bootstrap_interval", _interval_sql())
 def bootstrap_interval(spark, sf_dir):
     """Percentile interval of the share of high days, whole stays resampled."""
     log = signals.score_log(spark, sf_dir)
     stays = log.groupBy("stay").agg(F.count("*").alias("n"), F.count_if("high").alias("high"))
     weighted = metrics.resampled(stays, "stay", 100)
     shares = weighted.groupBy("replicate").agg((F.sum(F.col("weight") * F.col("high")) / F.sum(F.col("weight") * F.col("n"))).alias("share")).withColumn("metric", F.lit("share_high"))
-    return metrics.interval(shares, ["metric"], "share")
+    return metrics.interval(shares, ["metric"], "share").select("metric", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
 
 @register("plain_score", "SELECT l_orderkey, l_linenumber, round(coalesce(l_quantity, 0) - 0.001 * coalesce(l_tax, 100), 8) AS score FROM lineitem")
@@ -123,11 +138,9 @@ def plain_score(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(F.coalesce("l_quantity", F.lit(0.0)) - 0.001 * F.coalesce("l_tax", F.lit(100.0)), 8).alias("score"))
 
 
-@register("seeded_sample", "SELECT CAST(200 AS BIGINT) AS n, true AS again")
+@register("seeded_sample", "SELECT event_id FROM events ORDER BY md5(event_id || ':7'), event_id LIMIT 200")
 def seeded_sample(spark, sf_dir):
-    """Two draws of a seeded sample are the same rows."""
-    draws = [ranking.hashed_sample(table(spark, sf_dir, "events").select("event_id"), "event_id", 7, 200) for _ in range(2)]
-    return draws[0].join(draws[1], "event_id").agg(F.count("*").alias("n"), (F.count("*") == 200).alias("again"))
+    return ranking.hashed_sample(table(spark, sf_dir, "events").select("event_id"), "event_id", 7, 200)
 
 
 @register("age_sum_bands", "SELECT CASE WHEN p_size < 18 THEN NULL WHEN p_size < 50 THEN '18-49' ELSE '50-69' END AS band, CAST(count(*) AS BIGINT) AS n FROM part GROUP BY 1")

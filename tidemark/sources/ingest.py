@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Mapping, Sequence
 
@@ -100,6 +101,50 @@ def pointer(version: str, digest: str) -> str:
     return json.dumps({"version": version, "sha256": digest}, sort_keys=True)
 
 
+def missing_columns(rows: DataFrame, needed: Sequence[str]) -> list[str]:
+    """Names that the rows lack, in order."""
+    return sorted(set(needed) - set(rows.columns))
+
+
+def widened(rows: DataFrame, present: Mapping[str, str]) -> DataFrame:
+    """The rows with a null column for each field that a table has and they lack: a table's fields only ever grow."""
+    return rows.withColumns({n: F.lit(None).cast(t) for n, t in present.items() if n not in rows.columns})
+
+
+def publish_snapshot(spark: SparkSession, tables: Mapping[str, DataFrame], root: str, version: str) -> str:
+    """Writes a snapshot below <root>/<digest of its manifest>, then its pointer file; returns the pointer's text.
+
+    A reader finds the old snapshot or the new one, whole: the pointer is the last thing that is written.
+    """
+    work = f"{root}/_new-{version}"
+    listed = sorted(map(tuple, write_snapshot(spark, tables, work).collect()))
+    text = pointer(version, hashlib.sha256(json.dumps(listed).encode()).hexdigest())
+    fs = _file_system(spark, root)
+    target = f"{root}/{json.loads(text)['sha256'][:16]}"
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    if not fs.exists(path(target)):
+        fs.rename(path(work), path(target))
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/pointer")
+    return text
+
+
+def fetch_snapshot(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The tables of the published snapshot, after its files were held against the pointer's digest."""
+    text = spark.read.text(f"{root}/pointer").first()[0]
+    digest = json.loads(text)["sha256"]
+    folder = f"{root}/{digest[:16]}"
+    status = _file_system(spark, root).listStatus(spark._jvm.org.apache.hadoop.fs.Path(folder))
+    names = sorted(s.getPath().getName() for s in status if s.isDirectory())
+    listed = sorted(map(tuple, manifest(spark, folder, names).collect()))
+    if hashlib.sha256(json.dumps(listed).encode()).hexdigest() != digest:
+        raise ValueError(f"the files in {folder} are not those that were published")
+    return {n: spark.read.parquet(f"{folder}/{n}") for n in names}
+
+
+def _file_system(spark: SparkSession, uri: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(uri).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def op_counts(log: DataFrame, op: str = "change_op") -> Column:
     """Counts of each operation, as one map column for a run log."""
     return F.map_from_entries(F.collect_list(F.struct(op, "n")))
