@@ -21,7 +21,7 @@ class Measure:
 MEASURES = {
     "alerts_per_nurse_per_shift": Measure("kpis", "round(sum(kpis.alerts) * 60.0 / sum(kpis.census), 6)", "alerts a nurse of 5 patients gets in 12 hours"),
     "alert_precision": Measure("alerts", "round(avg(alerts.escalated), 6)", "share of alerts that an event followed, of those whose outcome is known"),
-    "share_flagged": Measure("escalations", "round(avg(CASE WHEN escalations.flagged THEN 1.0 ELSE 0.0 END), 6)", "share of events flagged in advance"),
+    "share_flagged": Measure("escalations", "round(avg(CASE WHEN escalations.flagged THEN 1.0D ELSE 0.0D END), 6)", "share of events flagged in advance"),
     "device_uptime": Measure("devices", "round(avg(devices.uptime), 6)", "uptime in per cent of devices that were worn"),
 }
 FILTERS = {
@@ -74,10 +74,10 @@ HIGH_BY_SITE = f"SELECT log.site, count(*) AS stays, sum(CASE WHEN {FILTERS['hig
 HIGHEST = f"SELECT c_name, log.site, log.unit, round(100 * log.risk, 1) AS risk_percent, log.high, log.score FROM {{log}} AS log JOIN {{customers}} AS customers ON {JOINS['log', 'customers']} WHERE {FILTERS['now']} ORDER BY log.risk DESC, log.stay LIMIT 10"
 BY_UNIT = f"WITH {NOW} SELECT site, unit, count(*) AS alerts FROM {{alerts}} CROSS JOIN now WHERE alert_at > ts - INTERVAL 14 DAYS AND alert_at <= ts GROUP BY site, unit ORDER BY alerts DESC"
 LOAD = f"WITH {NOW} SELECT site, round(sum(alerts) * 60.0 / sum(census), 2) AS load FROM {{kpis}} CROSS JOIN now WHERE day_at > ts - INTERVAL 7 DAYS AND day_at <= ts GROUP BY site ORDER BY site"
-FLAGGED = f"WITH {NOW} SELECT site, count(*) AS escalations, sum(CASE WHEN flagged THEN 1 ELSE 0 END) AS in_advance, round(100 * avg(CASE WHEN flagged THEN 1.0 ELSE 0.0 END), 1) AS percent FROM {{escalations}} CROSS JOIN now WHERE event_at > ts - INTERVAL 14 DAYS AND event_at <= ts GROUP BY site ORDER BY site"
-DAILY = f"WITH {NOW} SELECT date(alert_at) AS day, count(*) AS alerts, sum(CASE WHEN escalated = 1 THEN 1 ELSE 0 END) AS followed, sum(CASE WHEN escalated IS NULL THEN 1 ELSE 0 END) AS pending FROM {{alerts}} CROSS JOIN now WHERE alert_at >= date_trunc('DAY', ts) - INTERVAL 14 DAYS AND alert_at < date_trunc('DAY', ts) GROUP BY date(alert_at) ORDER BY day"
+FLAGGED = f"WITH {NOW} SELECT site, count(*) AS escalations, sum(CASE WHEN flagged THEN 1 ELSE 0 END) AS in_advance, round(100 * avg(CASE WHEN flagged THEN 1.0D ELSE 0.0D END), 1) AS percent FROM {{escalations}} CROSS JOIN now WHERE event_at > ts - INTERVAL 14 DAYS AND event_at <= ts GROUP BY site ORDER BY site"
+DAILY = f"WITH {NOW} SELECT date_trunc('DAY', alert_at) AS day, count(*) AS alerts, sum(CASE WHEN escalated = 1 THEN 1 ELSE 0 END) AS followed, sum(CASE WHEN escalated IS NULL THEN 1 ELSE 0 END) AS pending FROM {{alerts}} CROSS JOIN now WHERE alert_at >= date_trunc('DAY', ts) - INTERVAL 14 DAYS AND alert_at < date_trunc('DAY', ts) GROUP BY date_trunc('DAY', alert_at) ORDER BY day"
 UPTIME = f"WITH {NOW} SELECT devices.user_id % 3 AS site, count(DISTINCT devices.user_id) AS worn, round(avg(uptime), 2) AS uptime, sum(outages) AS outages, sum(stuck_minutes) AS stuck_minutes FROM {{devices}} AS devices CROSS JOIN now WHERE {FILTERS['worn']} AND day > ts - INTERVAL 60 DAYS AND day <= ts GROUP BY 1 ORDER BY 1"
-MEANS = f"WITH {NOW} SELECT date(day_at) AS day, site, round(avg(risk), 4) AS mean_risk, round(avg(score), 4) AS mean_score FROM {{log}} CROSS JOIN now WHERE day_at >= date_trunc('DAY', ts) - INTERVAL 7 DAYS AND day_at < date_trunc('DAY', ts) GROUP BY date(day_at), site ORDER BY day, site"
+MEANS = f"WITH {NOW} SELECT date_trunc('DAY', day_at) AS day, site, round(avg(risk), 4) AS mean_risk, round(avg(score), 4) AS mean_score FROM {{log}} CROSS JOIN now WHERE day_at >= date_trunc('DAY', ts) - INTERVAL 7 DAYS AND day_at < date_trunc('DAY', ts) GROUP BY date_trunc('DAY', day_at), site ORDER BY day, site"
 
 N = ", n AS (SELECT max(day_at) AS ts FROM log)"
 _asked("question_high_by_site", HIGH_BY_SITE, f"{N} SELECT site, count(*) AS stays, CAST(sum(high::INT) AS BIGINT) AS high_risk FROM log, n WHERE day_at = ts GROUP BY 1")
@@ -90,10 +90,10 @@ _asked(
 )
 _asked(
     "question_alerts_daily", DAILY,
-    f"""{N} SELECT CAST(alert_at AS DATE) AS day, count(*) AS alerts, CAST(sum((escalated IS NOT DISTINCT FROM 1)::INT) AS BIGINT) AS followed, CAST(sum((escalated IS NULL)::INT) AS BIGINT) AS pending
+    f"""{N} SELECT date_trunc('day', alert_at) AS day, count(*) AS alerts, CAST(sum((escalated IS NOT DISTINCT FROM 1)::INT) AS BIGINT) AS followed, CAST(sum((escalated IS NULL)::INT) AS BIGINT) AS pending
     FROM alerts, n WHERE alert_at >= date_trunc('day', ts) - INTERVAL 14 DAY AND alert_at < date_trunc('day', ts) GROUP BY 1""",
 )
-_asked("question_means", MEANS, f"{N} SELECT CAST(day_at AS DATE) AS day, site, round(avg(risk), 4) AS mean_risk, round(avg(score), 4) AS mean_score FROM log, n WHERE day_at >= date_trunc('day', ts) - INTERVAL 7 DAY AND day_at < date_trunc('day', ts) GROUP BY 1, 2")
+_asked("question_means", MEANS, f"{N} SELECT date_trunc('day', day_at) AS day, site, round(avg(risk), 4) AS mean_risk, round(avg(score), 4) AS mean_score FROM log, n WHERE day_at >= date_trunc('day', ts) - INTERVAL 7 DAY AND day_at < date_trunc('day', ts) GROUP BY 1, 2")
 
 
 def _devices() -> None:

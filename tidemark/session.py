@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
+import time
 import uuid
 import zipfile
 from contextlib import contextmanager
@@ -96,6 +98,7 @@ def written(df, run, schema, purpose: str):
     path = shared_dir(spark, purpose)
     if not path.startswith("file:"):
         (df if run is None else df.mapInArrow(run, schema)).write.parquet(path)
+        release_shuffles(spark)
         return spark.read.schema(schema).parquet(path)
     local = "/" + path.removeprefix("file:").lstrip("/")
     hidden = os.path.join(local, "_attempts")
@@ -129,9 +132,26 @@ def written(df, run, schema, purpose: str):
 
     for row in df.mapInArrow(write, "name string").collect():  # a name for each task
         os.rename(os.path.join(hidden, row.name), os.path.join(local, row.name))
+    release_shuffles(spark)
     return spark.read.schema(schema).parquet(path)
 
 
+#: Seconds between two requests that the driver collects its garbage, and when the last one was.
+COLLECT_EVERY = 2.0
+_collected = [0.0]
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Have Spark drop the shuffle files of plans that nothing refers to any more.
+
+    It does so when the driver collects garbage, which a small heap in little use may put off until the disks are full.
+    """
+    if time.monotonic() - _collected[0] > COLLECT_EVERY:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _collected[0] = time.monotonic()
+
+
 _SHIPPED: set[str] = set()
 
 
