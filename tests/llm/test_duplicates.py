@@ -7,13 +7,13 @@ import random
 
 import numpy as np
 import public_tokenizers
-import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.conftest import SCHEMA, WORDS, document, edited, sentence
-from tidemark.llm import graph, lines, minhash, quality, repeats
+from tidemark.llm import dac, decontam, graph, lines, minhash, quality, repeats
 
 
 def shingles(text: str | None) -> frozenset:
@@ -21,7 +21,7 @@ def shingles(text: str | None) -> frozenset:
     return frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4)) if len(words) >= 5 else frozenset([tuple(words)] if words else [])
 
 
-def brute_components(texts: dict[int, str | None]) -> dict[int, int]:
+def brute_components(texts: dict[int, str | None], percent: int = 85) -> dict[int, int]:
     sets, root = {i: shingles(t) for i, t in texts.items()}, {i: i for i in texts}
 
     def find(x):
@@ -32,7 +32,7 @@ def brute_components(texts: dict[int, str | None]) -> dict[int, int]:
     ids = sorted(texts)
     for k, a in enumerate(ids):
         for b in ids[:k]:
-            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     return {i: find(i) for i in texts}
@@ -209,7 +209,7 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     kept = {x.doc_id for x in quality.judge(documents, quality.train(documents, labels)).where("kept").collect()}
     assert not kept & {400, 401, 402} and len(kept & set(junk)) <= 3 and len(kept & set(range(60))) >= 57
     after = {i: t for i, t in brute_lines({i: texts[i] for i in kept}).items() if t.strip()}
-    components = brute_components(after)
+    components = brute_components(after, corpus_pipeline.SIMILAR)
     after = {i: t for i, t in after.items() if components[i] == i}
     plain = lambda t: " ".join(t.lower().replace(".", " ").split())
     after = {i: t for i, t in after.items() if not any(plain(x) in plain(t) for _, x in items)}
@@ -233,14 +233,72 @@ def test_copies_with_short_lines_leave_the_pipeline(spark):
 
 
 def test_stages_keep_columns(spark, tmp_path, rows, nothing):
-    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    """Whatever columns there are, under any names and with nulls, rows that stay keep them; empty tables pass."""
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    spark.createDataFrame([(1, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, None), (2, rows[0][1] or "x")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = [*rows[:30], rows[1], (rows[2][0], "another text of a doc_id " * 5, "en", "s", 3), (None, "one without a doc_id " * 9, "en", "s", 3), (None, None, None, None, None), (77, "", None, None, 0)]
+    taken = ("n_words", "quality", "kept", "n_lines", "n_removed", "row", "mark", "of", "here", "id", "component_id", "item_id", "a.b")
+    plain = spark.createDataFrame([(*t, i) for i, t in enumerate(texts)], SCHEMA + ", number int")
+    docs = plain.withColumns({c: F.when(F.col("number") % 2 == 0, F.concat(F.lit(c), F.col("number").cast("string"))) for c in taken}).withColumn("list", F.array("number"))
     for name, stage in corpus_pipeline.STAGES:
+        last = name == corpus_pipeline.STAGES[-1][0]
         for frame in (docs, nothing):
             out = stage(spark, frame, str(tmp_path))
-            if name != corpus_pipeline.STAGES[-1][0]:
-                assert out.columns == docs.columns and out.dtypes == docs.dtypes
-            out.count()
-    assert pa.__version__
+            assert last or (out.columns == frame.columns and [t for _, t in out.dtypes] == [t for _, t in frame.dtypes])
+            got = out.collect()
+            assert len(got) == 0 if frame is nothing else got
+            if frame is docs and not last:
+                assert len({r.number for r in got}) == len(got)
+                for r in got:
+                    assert [r[c] for c in taken] == [f"{c}{r.number}" if r.number % 2 == 0 else None for c in taken] and r.list == [r.number]
+                    assert name == "line dedup" or r.text == texts[r.number][1]
+                if name == "MinHash near-dedup":
+                    assert {31, 32, 33, 34} <= {r.number for r in got}  # another text of a doc_id, and rows without one
+
+
+def mark(text: str) -> int:
+    value = xxhash.xxh64_intdigest(text.encode(), seed=42)
+    return value - (1 << 64) if value >> 63 else value
+
+
+def test_repeated_ids_and_long_texts(spark):
+    """Rows of one doc_id with several texts, repeated rows, and texts of many lines, of one long line and of one long word."""
+    r = random.Random(31)
+    long = "\n".join(sentence(r, r.randint(9, 14)) for _ in range(150))
+    line = " ".join(f"{w}{i}" for i in range(60) for w in WORDS[:100])
+    texts = [(1, document(r)), (1, document(r)), (1, long[2000:9000]), (2, long), (2, long), (3, long + "\nend"), (3, line), (4, line + " more"), (5, "x" * 30_000), (5, "x" * 30_001), (0, document(r) + "\n" + long.split("\n")[3])]
+    texts.append(texts[0])
+    frame = spark.createDataFrame([(*t, i) for i, t in enumerate(texts)], "doc_id long, text string, number int").repartition(3)
+    order = sorted({t for t in texts}, key=lambda t: (t[0], mark(t[1])))
+    earlier, want = [], {}
+    for key in order:
+        keep = []
+        for one in key[1].split("\n"):
+            words = frozenset(one.lower().split())
+            if not words or not any(10 * len(words & e) >= 9 * len(words | e) for e in earlier):
+                keep.append(one)
+            earlier += [words] if words else []
+        want[key] = "\n".join(keep)
+    assert {x.number: x.text for x in lines.dedup_lines(frame).collect()} == {i: want[t] for i, t in enumerate(texts)}
+    gone = repeats.brute_force([((d, mark(t)), t.encode()) for d, t in order])
+    left = sorted((d, len(t.encode()), int(gone[d, mark(t)].sum())) for d, t in texts)
+    assert sorted((x.doc_id, x.n_bytes, x.n_removed) for x in repeats.remove_repeats(frame).collect()) == left
+    sets = {t: shingles(t[1]) for t in order}
+    root = {d: d for d, _ in texts}
+    for _ in range(4):
+        for x in order:
+            for y in order:
+                if 100 * len(sets[x] & sets[y]) >= 85 * len(sets[x] | sets[y]):
+                    root[x[0]] = root[y[0]] = min(root[x[0]], root[y[0]])
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in minhash.near_duplicates(frame).collect()) == sorted((d, len(shingles(t)), root[d]) for d, t in texts)
+    judged = {x.number: (x.n_words, x.n_repeat_words) for x in quality.judge(frame, None).collect()}
+    assert judged == {i: tuple(np.array(quality.rule_counts(t))[[0, 4]]) for i, (_, t) in enumerate(texts)} and judged[6][0] == 6000
+    found = decontam.find_leaks(frame, spark.createDataFrame([(1, line[3000:3400]), (2, "y" * 50_000), (3, long.split("\n")[3])], "item_id long, text string"))
+    assert {(x.doc_id, x.item_id) for x in found.collect()} == {(3, 1), (4, 1), (0, 3), (2, 3), (3, 3)}
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    got = dac.tokenize(frame, path).orderBy("start").collect()
+    in_order = sorted(texts)
+    assert [np.frombuffer(x.ids, "<u4").tolist() for x in got] == [[*library.encode(t, add_special_tokens=False).ids, 1] for _, t in in_order]
