@@ -99,7 +99,7 @@ def written(df, run, schema, purpose: str):
     if not path.startswith("file:"):
         (df if run is None else df.mapInArrow(run, schema)).write.parquet(path)
         release_shuffles(spark)
-        return spark.read.schema(schema).parquet(path)
+        return _read(spark, schema, path)
     local = "/" + path.removeprefix("file:").lstrip("/")
     hidden = os.path.join(local, "_attempts")
     os.makedirs(hidden)
@@ -133,7 +133,18 @@ def written(df, run, schema, purpose: str):
     for row in df.mapInArrow(write, "name string").collect():  # a name for each task
         os.rename(os.path.join(hidden, row.name), os.path.join(local, row.name))
     release_shuffles(spark)
-    return spark.read.schema(schema).parquet(path)
+    return _read(spark, schema, path)
+
+
+def _read(spark: SparkSession, schema, path: str):
+    out = spark.read.schema(schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(table) -> None:
+    """Deletes the files of a written table that nothing will read again."""
+    _drop(table.sparkSession, table.written_to)
 
 
 #: Seconds between two requests that the driver collects its garbage, and when the last one was.
