@@ -39,9 +39,9 @@ class KeyFilter:
         return out
 
 
-def likely(rows: DataFrame, key: Column, keys: DataFrame, column: str) -> DataFrame:
+def likely(rows: DataFrame, key: Column, keys: DataFrame, column: str, expected: int | None = None) -> DataFrame:
     """The rows whose key (a 64-bit hash) may be among the hashes in `keys`.`column`."""
-    shared = rows.sparkSession.sparkContext.broadcast(KeyFilter(keys, column))
+    shared = rows.sparkSession.sparkContext.broadcast(KeyFilter(keys, column, expected))
 
     def run(batches):
         for batch in batches:

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import checkpointed
+from tidemark.session import checkpointed, discard
+
+#: Edges that a task writes.
+EDGES = 200_000
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,12 +16,14 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star rounds (Kiveris and others, 2014). A round sends each node the smallest
     of its neighbours, which partial aggregation finds even for a node that most edges share; rounds end when the
-    edges stay as they are. Each round is written to the shared folder.
+    edges stay as they are. Each round is written to the shared folder, by as many tasks as its edges need.
     """
     now = checkpointed(_small_star(edges.where("a <> b").select("a", "b")), "components")
     size, mark = _state(now)
     while size:
-        now = checkpointed(_small_star(_large_star(now)), "components")
+        last = now
+        now = checkpointed(_small_star(_large_star(last)).coalesce(1 + size // EDGES), "components")
+        discard(last)
         before, (size, mark) = (size, mark), _state(now)
         if before == (size, mark):
             break

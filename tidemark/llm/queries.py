@@ -41,7 +41,7 @@ def op5_chat(spark, sf_dir):
 
 @register("op6_minhash")
 def op6_minhash(spark, sf_dir):
-    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 @register("op7_quality")
