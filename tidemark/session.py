@@ -136,6 +136,16 @@ def written(df, run, schema, purpose: str):
     return _read(spark, schema, path)
 
 
+def settle(spark: SparkSession) -> None:
+    """Executors collect their garbage, between the stages of a long job.
+
+    A heap that has grown in one stage stays so while it is in little use, and would add to what the Python workers of the
+    next stage need. A row goes to each core, twice, so that hardly an executor is left out; it is no matter if one is.
+    """
+    n = 2 * spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).selectExpr("java_method('java.lang.System', 'gc')").collect()
+
+
 def _read(spark: SparkSession, schema, path: str):
     out = spark.read.schema(schema).parquet(path)
     out.written_to = path
