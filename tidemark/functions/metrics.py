@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.ranking import dense_number, running_sum
+from tidemark.functions.ranking import dense_number, in_ranges, running_sum
+from tidemark.session import checkpointed
 
 
 def ranking_quality(rows: DataFrame, score: str, label: str, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
@@ -57,19 +58,27 @@ def calibration(rows: DataFrame, score: str, label: str, tie: str, bins: int = 1
 def quantiles(rows: DataFrame, value: str, shares: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """The `by` columns and `quantiles`: an array of exact quantiles of the values there are, interpolated linearly.
 
-    Values are counted and their counts summed up in order, over ranges, so no task holds all values of a group.
+    Values lie in ranges of their order; what stands before a range in its group is a sum over ranges, so a value's place is
+    known where it lies, and no task holds all values of a group.
     """
     keys = list(by) or ["_all"]
     rows = rows.withColumn("_all", F.lit(1)) if keys == ["_all"] else rows
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_value")).agg(F.count("*").alias("_n"))
-    steps = running_sum(counts, [F.col("_value")], keys, ["_n"])
-    totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
+    dealt = in_ranges(rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_value")), [*keys, "_value"])
+    sizes = dealt.groupBy("_part", *keys).agg(F.count("*").alias("_n"), F.min("_own").alias("_first"))
+    group = Window.partitionBy(*keys)  # a row for each range that the group lies in
+    before = F.coalesce(F.sum("_n").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.withColumns({"_before": before, "_total": F.sum("_n").over(group)})
+    same = F.col("d._part") == F.col("s._part")
+    for k in keys:
+        same &= F.col(f"d.{k}").eqNullSafe(F.col(f"s.{k}"))
+    placed = dealt.alias("d").join(sizes.alias("s"), same).select(*[F.col(f"d.{k}") for k in keys], "_value", "_total", (F.col("_before") + F.col("_own") - F.col("_first")).alias("_place"))
     places = [F.lit(float(s)) * (F.col("_total") - 1) for s in shares]
+    wanted = F.array(*[f(p).cast("long") for p in places for f in (F.floor, F.ceil)])
 
     def at(place: Column) -> Column:
-        return F.max(F.when((F.col("cum__n") - F.col("_n") <= place) & (place < F.col("cum__n")), F.col("_value")))
+        return F.max(F.when(F.col("_place") == place, F.col("_value")))
 
-    found = steps.join(totals, keys).groupBy(*keys).agg(
+    found = placed.where(F.array_contains(wanted, F.col("_place"))).groupBy(*keys).agg(
         *[at(F.floor(p)).alias(f"_low{i}") for i, p in enumerate(places)], *[at(F.ceil(p)).alias(f"_high{i}") for i, p in enumerate(places)],
         *[F.max(p - F.floor(p)).alias(f"_rest{i}") for i, p in enumerate(places)],
     )
@@ -94,7 +103,8 @@ def distances(baseline: DataFrame, current: DataFrame, value: str, by: Sequence[
     by = list(by) or ["_all"]
     if by == ["_all"]:
         baseline, current = (x.withColumn("_all", F.lit(1)) for x in (baseline, current))
-    edges = quantiles(baseline, value, [i / 10 for i in range(1, 10)], by).select(*by, F.array_distinct("quantiles").alias("edges"))
+    # a row for each group, which three plans read
+    edges = checkpointed(quantiles(baseline, value, [i / 10 for i in range(1, 10)], by).select(*by, F.array_distinct("quantiles").alias("edges")), "edges")
 
     def shares(rows: DataFrame, name: str) -> DataFrame:
         rows = rows.where(F.col(value).isNotNull()).join(edges, by)
