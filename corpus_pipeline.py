@@ -13,18 +13,31 @@ An empty table gives an empty one.
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontam, lines, minhash, pieces, quality
-from tidemark.session import checkpointed, scratch
+from tidemark.session import checkpointed, scratch, settle
 
 VOCABULARY = "piece_bpe_32k.model"
 #: Per cent of shingles that near-duplicates share: the least that near-dedup may use.
 SIMILAR = 80
 
 
+def stage(f):
+    """A stage: before it begins, executors give back what the one before it needed."""
+
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        settle(spark)
+        return f(spark, docs, sf_dir)
+
+    return run_stage
+
+
 def _carried(docs: DataFrame) -> DataFrame:
     """doc_id, text and a struct of all columns but the text."""
     rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
@@ -36,12 +49,14 @@ def _back(rows: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
+@stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules and the classifier keep."""
     classifier = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return _back(quality.judge(_carried(docs), classifier).where("kept"), docs)
 
 
+@stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that resemble earlier ones; those that lose all their words go."""
     rows = lines.dedup_lines(_carried(docs))
@@ -52,6 +67,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _back(rows.where(~emptied), docs)
 
 
+@stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest doc_id."""
     gone = minhash.near_duplicates(docs.select("doc_id", "text"), SIMILAR).where("NOT text_kept")
@@ -60,11 +76,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.join(gone, (F.col("id") == F.col("of")) & (F.col("here") == F.col("mark")), "left_anti").select("row.*")
 
 
+@stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item."""
     return _back(decontam.without_leaks(_carried(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet")), docs)
 
 
+@stage
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian, 32 bits) and digests of the ids and of what they decode to."""
     rows = pieces.encode_decode(docs, public_tokenizers.path(VOCABULARY))
@@ -89,7 +107,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the folder's documents. A stage's tables go when its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
+    for i, (_, one) in enumerate(STAGES):
         with scratch(spark):
-            docs = checkpointed(stage(spark, docs, sf_dir), f"pipeline-{i}")
+            docs = checkpointed(one(spark, docs, sf_dir), f"pipeline-{i}")
     return docs
