@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from tidemark.llm import arrays, packed
 from tidemark.llm.filters import KeyFilter
-from tidemark.session import checkpointed, ship_package, written
+from tidemark.session import checkpointed, settle, ship_package, written
 
 THRESHOLD = (9, 10)
 #: Distinct words of the smallest set that can be similar enough to another without being equal: 9, to one of 10.
@@ -484,6 +484,7 @@ def kept_lines(documents: DataFrame) -> DataFrame:
     counts, n_lines = word_counts(documents)
     classes = first_lines(documents, counts, n_lines)
     matched = matched_lines(documents, classes, n_lines)
+    settle(documents.sparkSession)
     n_buckets = _parallel(documents, n_lines, 4 * LINES)
 
     def bucket(records):

@@ -40,7 +40,7 @@ from tidemark.llm import arrays
 from tidemark.llm.filters import likely
 from tidemark.llm.graph import components
 from tidemark.llm.streams import groups, pieces_by_key
-from tidemark.session import checkpointed, discard, ship_package, written
+from tidemark.session import checkpointed, discard, settle, ship_package, written
 
 WORDS = 5
 #: A link needs 100 * intersection >= PERCENT * union.
@@ -378,6 +378,7 @@ def set_links(documents: DataFrame, every: DataFrame, percent: int) -> tuple[Dat
     full_keys = bands.groupBy("key").count().where("count > 2").select("key")
     crowded = checkpointed(bands.join(full_keys, "key"), "crowded")
     discard(bands)
+    settle(documents.sparkSession)
     for _ in range(ROUNDS):
         more = checkpointed(corpus.best_pairs(corpus.cells(crowded, found)).join(tried, ["a", "b"], "left_anti"), "best")
         if not more.isEmpty():
@@ -414,6 +415,7 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     by_text = tops(found, "text_top")
     both = by_text.withColumn("top", F.col("text_top")) if same.isEmpty() else by_text.join(tops(joined(found, same), "top"), "set_key")
+    settle(documents.sparkSession)
     out = every.select("doc_id", "n_shingles", "mark", "set_key").join(both, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("top.of", "doc_id"))
     first = F.col("text_top").isNull() | F.col("doc_id").isNull() | ((F.col("text_top.of") == F.col("doc_id")) & (F.col("text_top.mark") == F.col("mark")))

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import arrays, packed
-from tidemark.session import ship_package, written
+from tidemark.session import settle, ship_package, written
 
 LENGTH, WORD = 100, 32
 REACH = LENGTH - WORD
@@ -346,6 +346,7 @@ def repeated_runs(documents: DataFrame, hot: int = HOT) -> DataFrame:
     ship_package(documents.sparkSession)
     parsed = parse(documents, hot)
     windows = order_windows(segments(documents, parsed.where("x >= 0")))
+    settle(documents.sparkSession)
     runs = parsed.where("x < 0").select("doc_id", "mark", "lo", "hi")
     runs = runs.unionByName(windows.where("content IS NULL").select("doc_id", "mark", "lo", "hi"))
     return runs.unionByName(order_contents(windows.where("content IS NOT NULL")))
