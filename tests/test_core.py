@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import bands, metrics, model, ranking, retrieval, sqlguard
 from tidemark.operators import alerts, history, joins, monitoring, quality, timegrid
+from tidemark.plans import catalogue, named  # noqa: F401, the catalogue loads the others in order
 from tidemark.sources import ingest, registry
 from tidemark.streaming import streams
 
@@ -99,6 +101,20 @@ def test_vanished_rows_and_publishing(spark, tmp_path):
         ingest.fetch_snapshot(spark, root)
 
 
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").is_dir(), reason="no test tables")
+def test_answers_are_kept_and_fall_back(spark):
+    snapshot = named.Facts(spark, "/root/testdata/sf0.001")
+    live = named.Facts(spark, "/root/testdata/sf0.001", keep=1, snapshot=snapshot)
+    units = live.rows(named.UNITS, as_of="2024-01-15", site=None)
+    assert units and live.rows(named.UNITS, as_of="2024-01-15", site=None) is units and not live.stale
+    live.rows(named.NOW)
+    assert len(live.answers) == 1 and live.rows(named.UNITS, as_of="2024-01-15", site=None) == units
+    live.frames["log"] = live.frames["kpis"] = spark.sql("SELECT raise_error('asleep') AS day_at, 1L AS site, 1L AS unit, 1L AS census, 1L AS n_low, 1L AS n_high, 1.0D AS mean_score")
+    live.max_age = -1.0
+    assert live.rows(named.UNITS, as_of="2024-01-15", site=None) == units and live.stale
+    assert live.rows(named.UNITS, as_of="2030-01-01", site=None) == snapshot.rows(named.UNITS, as_of=str(snapshot.rows(named.NOW)[0].last_at), site=None)
+
+
 def test_monitor_behind(spark):
     day = spark.createDataFrame([("1 day", T0, T0 + timedelta(days=1), "*", None, None, 5, 1.0, 0.1, 0.1, 0.5)], "granularity string, window_start timestamp, window_end timestamp, model_version string, slice_key string, slice_value string, count long, alerts_per_nurse_shift double, auprc double, brier double, auroc double")
     drift = day.withColumn("js_distance", F.lit(0.0))

@@ -6,9 +6,11 @@ null for "all": Spark folds the test away when it binds the value.
 
 from __future__ import annotations
 
+import time
 from collections import OrderedDict
 from collections.abc import Callable
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Row
 
 from tidemark.plans import signals
@@ -59,10 +61,14 @@ EXPLAIN = """
 
 
 class Facts:
-    """The tables that the texts read, made once for a folder, and a small cache of answers."""
+    """The tables that the texts read, made once for a folder, and a small cache of answers.
 
-    def __init__(self, spark, sf_dir: str, keep: int = 256):
-        self.spark = spark
+    Answers are kept for `max_age` seconds, `keep` of them. If a table can't be read and there is a snapshot, it answers,
+    as of its own last step; `stale` says so.
+    """
+
+    def __init__(self, spark, sf_dir: str, keep: int = 256, max_age: float = 3600.0, snapshot: Facts | None = None):
+        self.spark, self.max_age, self.snapshot, self.stale = spark, max_age, snapshot, False
         log = signals.score_log(spark, sf_dir)
         self.frames = {
             "log": log.withColumnRenamed("at", "day_at"),
@@ -72,7 +78,7 @@ class Facts:
             "devices": signals.device_health(spark, sf_dir),
             "customers": table(spark, sf_dir, "customer"),
         }
-        self.answers: OrderedDict[tuple, list[Row]] = OrderedDict()
+        self.answers: OrderedDict[tuple, tuple[float, list[Row]]] = OrderedDict()
         self.keep = keep
 
     def query(self, text: str, **parameters) -> DataFrame:
@@ -83,12 +89,23 @@ class Facts:
     def rows(self, text: str, **parameters) -> list[Row]:
         """The answer's rows, from the cache if it was asked before."""
         key = (text, tuple(sorted(parameters.items(), key=lambda p: p[0])))
-        if key not in self.answers:
-            self.answers[key] = self.query(text, **parameters).collect()
+        asked, answer = self.answers.get(key, (0.0, None))
+        if answer is None or time.monotonic() - asked > self.max_age:
+            try:
+                answer, self.stale = self.query(text, **parameters).collect(), False
+            except PySparkException:
+                if self.snapshot is None:
+                    raise
+                if "as_of" in parameters:
+                    last = self.snapshot.rows(NOW)[0].last_at
+                    parameters |= {"as_of": min(str(last), str(parameters["as_of"]))}
+                self.stale = True
+                return self.snapshot.rows(text, **parameters)
+            self.answers[key] = time.monotonic(), answer
             while len(self.answers) > self.keep:
                 self.answers.popitem(last=False)
         self.answers.move_to_end(key)
-        return self.answers[key]
+        return answer
 
 
 DAY = "2024-01-15"
