@@ -137,13 +137,14 @@ def written(df, run, schema, purpose: str):
 
 
 def settle(spark: SparkSession) -> None:
-    """Executors collect their garbage, between the stages of a long job.
+    """Executors and the driver collect their garbage, between the stages of a long job.
 
     A heap that has grown in one stage stays so while it is in little use, and would add to what the Python workers of the
     next stage need. A row goes to each core, twice, so that hardly an executor is left out; it is no matter if one is.
     """
     n = 2 * spark.sparkContext.defaultParallelism
     spark.range(0, n, 1, n).selectExpr("java_method('java.lang.System', 'gc')").collect()
+    release_shuffles(spark, now=True)
 
 
 def _read(spark: SparkSession, schema, path: str):
@@ -162,12 +163,12 @@ COLLECT_EVERY = 2.0
 _collected = [0.0]
 
 
-def release_shuffles(spark: SparkSession) -> None:
+def release_shuffles(spark: SparkSession, now: bool = False) -> None:
     """Have Spark drop the shuffle files of plans that nothing refers to any more.
 
     It does so when the driver collects garbage, which a small heap in little use may put off until the disks are full.
     """
-    if time.monotonic() - _collected[0] > COLLECT_EVERY:
+    if now or time.monotonic() - _collected[0] > COLLECT_EVERY:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         _collected[0] = time.monotonic()
