@@ -49,7 +49,8 @@ HOT, TOGETHER, RECORDS = 40_000, 20_000, 150_000
 #: Bits of the number of cells that triggers are counted in: the least and the most.
 LEAST_BITS, MOST_BITS = 20, 24
 #: A trigger of the parse; flag: HOT_WORD if its cell is hot, KNOWN if the slice has an equal phrase before it.
-PARSE = np.dtype([("word", "<u8"), ("phrase", "<u8"), ("doc", "<i8"), ("mark", "<i8"), ("x", "<i4"), ("lo", "<i4"), ("hi", "<i4"), ("flag", "<i4")])
+#: lo and hi, the first and last window, are so many bytes before the trigger.
+PARSE = np.dtype([("word", "<u8"), ("phrase", "<u8"), ("doc", "<i8"), ("mark", "<i8"), ("x", "<i4"), ("lo", "u1"), ("hi", "u1"), ("flag", "u1"), ("", "u1")])
 HOT_WORD, KNOWN = 1, 2
 NULL_ID = -(1 << 63)
 #: Windows of hot triggers that are made together.
@@ -114,7 +115,7 @@ def _slices(batches):
         for begin, _, data, offsets in arrays.text_slices(batch.column(2)):
             place, row, lo, hi, word, phrase = triggers(data, offsets)
             records, base = np.zeros(len(place), PARSE), offsets[row]
-            for name, values in (("word", word), ("phrase", phrase), ("doc", doc_id[begin + row]), ("mark", mark[begin + row]), ("x", place - base), ("lo", lo - base), ("hi", hi - base)):
+            for name, values in (("word", word), ("phrase", phrase), ("doc", doc_id[begin + row]), ("mark", mark[begin + row]), ("x", place - base), ("lo", place - lo), ("hi", place - hi)):
                 records[name] = values
             records = records[np.lexsort((records["x"], records["mark"], records["doc"], records["phrase"], records["word"]))]
             new, head = _heads(records)
@@ -135,7 +136,8 @@ def _elsewhere(records: np.ndarray, head: np.ndarray) -> np.ndarray:
 
 
 def _cells(words: np.ndarray, n: int) -> np.ndarray:
-    return (words >> np.uint64(65 - n.bit_length())).astype(np.int64)
+    # triggers are the smallest of many hashes, so they are mixed again
+    return (arrays.mix(words) >> np.uint64(65 - n.bit_length())).astype(np.int64)
 
 
 def trigger_counts(documents: DataFrame) -> np.ndarray:
@@ -168,10 +170,10 @@ def parse(documents: DataFrame, hot: int) -> DataFrame:
         out = packed.Outbox()
         for records in _slices(batches):
             is_hot = shared.value[_cells(records["word"], len(shared.value))]
-            records["flag"] |= np.where(is_hot, HOT_WORD, 0).astype(np.int32)
+            records["flag"] |= np.where(is_hot, HOT_WORD, 0).astype(np.uint8)
             route = np.where(is_hot, records["phrase"], records["word"])
-            route = np.where(records["flag"] >= KNOWN, arrays.mix(records["doc"].view(np.uint64) ^ records["x"].astype(np.uint64)), route)
-            out.add(packed.bucket_of(route, n_buckets), records)
+            route = np.where(records["flag"] >= KNOWN, records["doc"].view(np.uint64) ^ records["x"].astype(np.uint64), route)
+            out.add(packed.bucket_of(arrays.mix(route), n_buckets), records)
             yield from out.rows()
         yield from out.rows(True)
 
@@ -188,10 +190,11 @@ def parse(documents: DataFrame, hot: int) -> DataFrame:
         alone[:-1] &= first["word"][1:] != first["word"][:-1]
         first = first[~alone | (first["flag"] == HOT_WORD)]
         rows = np.concatenate([known, repeats, first])
-        rows["x"][: len(known) + len(repeats)] = -1
+        sure = np.arange(len(rows)) < len(known) + len(repeats)
         for at in range(0, len(rows), 50_000):
-            part = rows[at : at + 50_000]
-            columns = [pa.array(np.ascontiguousarray(part[name])) for name in ("doc", "mark", "x", "lo", "hi")]
+            part, place = rows[at : at + 50_000], rows["x"][at : at + 50_000]
+            x = np.where(sure[at : at + 50_000], np.int32(-1), place)
+            columns = [pa.array(np.ascontiguousarray(a)) for a in (part["doc"], part["mark"], x, place - part["lo"], place - part["hi"])]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(part["flag"] & HOT_WORD == HOT_WORD)], ["doc_id", "mark", "x", "lo", "hi", "hot"])
 
     rows = packed.dealt(_source(documents).where("text IS NOT NULL").mapInArrow(arrays.tidied(send), packed.SCHEMA), n_buckets)
@@ -345,6 +348,7 @@ def repeated_runs(documents: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, mark, lo, hi: windows lo to hi of a document also start earlier; null doc_ids as NULL_ID."""
     ship_package(documents.sparkSession)
     parsed = parse(documents, hot)
+    settle(documents.sparkSession)
     windows = order_windows(segments(documents, parsed.where("x >= 0")))
     settle(documents.sparkSession)
     runs = parsed.where("x < 0").select("doc_id", "mark", "lo", "hi")
