@@ -97,7 +97,8 @@ def written(df, run, schema, purpose: str):
     spark = df.sparkSession
     path = shared_dir(spark, purpose)
     if not path.startswith("file:"):
-        (df if run is None else df.mapInArrow(run, schema)).write.parquet(path)
+        with shuffles_dropped(spark):
+            (df if run is None else df.mapInArrow(run, schema)).write.parquet(path)
         release_shuffles(spark)
         return _read(spark, schema, path)
     local = "/" + path.removeprefix("file:").lstrip("/")
@@ -130,7 +131,9 @@ def written(df, run, schema, purpose: str):
             out.close()
             yield pa.RecordBatch.from_pydict({"name": [name]})
 
-    for row in df.mapInArrow(write, "name string").collect():  # a name for each task
+    with shuffles_dropped(spark):
+        names = df.mapInArrow(write, "name string").collect()  # a name for each task
+    for row in names:
         os.rename(os.path.join(hidden, row.name), os.path.join(local, row.name))
     release_shuffles(spark)
     return _read(spark, schema, path)
@@ -158,6 +161,18 @@ def discard(table) -> None:
     _drop(table.sparkSession, table.written_to)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """What runs inside runs once, so Spark may drop its shuffle files at its end."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 #: Seconds between two requests that the driver collects its garbage, and when the last one was.
 COLLECT_EVERY = 2.0
 _collected = [0.0]
