@@ -320,6 +320,38 @@ def test_item_blocks_cover_all(spark, monkeypatch):
     assert {b for b in blocks if b[0] and b[0] % 20 == 0} == {w for w in whole if w[0] and w[0] % 20 == 0}
 
 
+def test_directions_come_from_all_documents(spark):
+    """The fit is a subspace iteration over every passage of every document, however many there are and wherever they lie."""
+    r = random.Random(21)
+    words = [w + x for w in WORDS for x in WORDS[::10]]
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(0, 70))) for _ in range(4500)]
+    asked = [(i, " ".join(r.choice(words) for _ in range(20))) for i in range(30)]
+    rows = spark.createDataFrame([*enumerate(texts), (None, None)], "doc_id long, text string").repartition(5)
+    [got] = decontam.searchers(rows, spark.createDataFrame(asked, "item_id long, text string"))
+    n, weights, term = len(got.weights), got.weights, {w: int(got.vocabulary.terms(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0][0]) for w in words}
+    assert (weights > 0).sum() > decontam.RANK
+
+    def gram(parts):
+        """A^T A of passages of unit length."""
+        a = np.zeros((len(parts), n))
+        for i, p in enumerate(parts):
+            np.add.at(a[i], p, weights[p] / max(1e-6, np.sqrt((weights[p] ** 2).sum())))
+        return a.T @ a
+
+    passages, chunks = [], 0
+    for t in texts:
+        have = [term[w] for w in t.split()]
+        chunks += -(-len(have) // decontam.CHUNK)
+        passages += [np.array([x for x in have[i : i + 48] if x >= 0], int) for i in range(0, len(have), 48)]
+    own = [np.array([term[w] for w in t.split()]) for _, t in asked]
+    matrix = gram(passages) + max(4.0, chunks / 2 / len(own)) * gram(own)
+    want = np.random.default_rng(5).standard_normal((n, decontam.RANK))
+    for _ in range(3):
+        want = np.linalg.qr(matrix @ want)[0]
+    basis = np.linalg.qr(got.basis / np.maximum(weights, 1e-9)[:, None])[0]
+    assert np.abs(basis @ (basis.T @ want) - want).max() < 0.01
+
+
 def test_common_subsequence():
     r = random.Random(1)
     for _ in range(50):

@@ -1,11 +1,11 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Words (lower-cased runs of letters, digits and code points from \\x80 on) are reduced to the benchmark's vocabulary,
-   and their occurrences counted over all texts of the corpus, for all items in one pass.
-2. A randomised SVD of TF-IDF passages (two neighbouring chunks of CHUNK words) gives RANK directions: each round
-   multiplies the passages' matrix and its transpose with a thin matrix, task by task, and adds the products. It is
-   fitted on the benchmark's own passages and those of about SAMPLE documents, chosen by hash: a sample of bounded size,
-   so a few tasks make the products.
+1. Words (lower-cased runs of letters, digits and code points from \\x80 on) are reduced to the benchmark's vocabulary.
+   All passages of the corpus (two neighbouring chunks of CHUNK words) are written as terms, for all items in one pass,
+   and their occurrences counted.
+2. A randomised SVD of all these TF-IDF passages, with the benchmark's own, gives RANK directions: each round multiplies
+   the passages' matrix and its transpose with a thin matrix, task by task, and adds the products, on the executors, in
+   PARTS parts. Together, the benchmark's passages weigh as much as the corpus', so directions for them stay as it grows.
 3. Every passage of every document is projected and compared with the benchmark's by cosine. A candidate goes on if it
    holds COVERED of the item's term weights.
 4. It is confirmed by the longest common subsequence of the item with the words around the passage, in a
@@ -37,12 +37,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm import arrays
-from tidemark.session import checkpointed, ship_package, written
+from tidemark.llm import arrays, packed
+from tidemark.session import discard, ship_package, shuffles_dropped, written
 
 CHUNK = 24
 RANK = 128
-SAMPLE = 3000
+#: Passages of the corpus that one of the benchmark's weighs as much as, at least.
+OWN = 4.0
+#: Parts that thin matrices are added up in, and terms in a row of the written passages.
+PARTS, ROW = 16, 1 << 16
+PASSAGES = "terms binary, counts binary, chunks long"
 #: A block of items, and the words from which an item is cut in sections.
 ITEMS, BLOCK_WORDS, SECTION = 500, 16_000, 400
 #: Cosine from which a passage is a candidate, and the share of an item's term weights that it must hold.
@@ -130,29 +134,51 @@ def make_items(rows: list[tuple[int | None, str]]) -> tuple[Vocabulary, list[Ite
     return vocabulary, items
 
 
-def chunk_of_words(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def chunk_of_words(words: np.ndarray, size: int = CHUNK) -> tuple[np.ndarray, np.ndarray]:
     """Chunk of each word, and chunks before each row, given the words before each row."""
     counts = np.diff(words)
-    before = np.concatenate([[0], np.cumsum(-(-counts // CHUNK))])
-    return np.repeat(before[:-1], counts) + (np.arange(words[-1]) - np.repeat(words[:-1], counts)) // CHUNK, before
+    before = np.concatenate([[0], np.cumsum(-(-counts // size))])
+    return np.repeat(before[:-1], counts) + (np.arange(words[-1]) - np.repeat(words[:-1], counts)) // size, before
 
 
-def frequencies(documents: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, int]:
-    """Occurrences of each term in the corpus, and its chunks in all; summed before anything leaves the executors."""
-    n = len(vocabulary.hashes)
+def corpus_passages(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """All passages of all documents as a written table (PASSAGES): the terms of many passages in a row, how many each
+    passage has, and the chunks that they come from."""
     shared = documents.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
-        seen = np.zeros(n + 1, np.int64)
         for batch in batches:
             for _, _, data, offsets in arrays.text_slices(_text_column(batch.column(0))):
                 terms, words = shared.value.terms(data, offsets)
-                np.add.at(seen, terms[terms >= 0], 1)
-                seen[n] += int((-(-np.diff(words) // CHUNK)).sum())
+                passage, _ = chunk_of_words(words, 2 * CHUNK)
+                known = terms >= 0
+                passage, terms = passage[known], terms[known].astype(np.int32)
+                counts = np.diff(np.flatnonzero(np.diff(passage, prepend=-1)), append=len(passage)).astype(np.int32)
+                cuts = np.flatnonzero(np.diff((np.cumsum(counts, dtype=np.int64) - 1) // ROW, prepend=-1))
+                if not len(cuts):
+                    cuts = np.zeros(1, np.int64)
+                ends = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+                edges = np.append(cuts, len(counts))
+                chunks = np.zeros(len(cuts), np.int64)
+                chunks[0] = (-(-np.diff(words) // CHUNK)).sum()
+                columns = [packed.binary(terms, np.diff(ends[edges])), packed.binary(counts, np.diff(edges)), pa.array(chunks)]
+                yield pa.RecordBatch.from_arrays(columns, ["terms", "counts", "chunks"])
+
+    return written(documents.select("text"), arrays.tidied(run), PASSAGES, "passages")
+
+
+def frequencies(passages: DataFrame, n: int) -> tuple[np.ndarray, int]:
+    """Occurrences of each of n terms in the corpus, and its chunks in all; summed before anything leaves the executors."""
+
+    def run(batches):
+        seen = np.zeros(n + 1, np.int64)
+        for batch in batches:
+            np.add.at(seen, packed.joined(batch.column(0), np.int32), 1)
+            seen[n] += pc.sum(batch.column(2)).as_py() or 0
         some = np.flatnonzero(seen)
         yield pa.RecordBatch.from_pydict({"term": pa.array(some, pa.int64()), "n": pa.array(seen[some], pa.int64())})
 
-    rows = documents.select("text").mapInArrow(arrays.tidied(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    rows = passages.mapInArrow(arrays.tidied(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(n + 1, np.int64)
     out[rows["term"].to_numpy()] = rows["n"].to_numpy()
     return out[:n], int(out[n])
@@ -176,74 +202,76 @@ def item_passages(item: Item) -> list[np.ndarray]:
     return [item.words[i : i + size] for i in sorted(starts)]
 
 
-def sampled(documents: DataFrame) -> DataFrame:
-    """The texts of about SAMPLE documents, chosen by hash."""
-    share = min(1.0, SAMPLE / max(1, documents.count()))
-    some = documents.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < round(share * 1_000_000))
-    return checkpointed(some.select("text"), "sample")
+def product(terms: np.ndarray, counts: np.ndarray, weights: np.ndarray, thin: np.ndarray) -> np.ndarray:
+    """A^T A thin for passages of `counts` terms each, rows of unit length."""
+    row, value = np.repeat(np.arange(len(counts)), counts), weights[terms]
+    norm = np.sqrt(np.maximum(np.bincount(row, value**2, len(counts)), 1e-12)).astype(np.float32)
+    value = (value / norm[row])[:, None]
+    projected = run_sums(thin, terms, np.cumsum(counts) - counts, counts, value)
+    order = np.argsort(terms, kind="stable")
+    first = np.flatnonzero(np.diff(terms[order], prepend=-1))
+    out = np.zeros_like(thin)
+    out[terms[order[first]]] = run_sums(projected, row[order], first, np.diff(first, append=len(terms)), value[order])
+    return out
 
 
-def fit_directions(sample: DataFrame, vocabulary: Vocabulary, items: list[Item], weights: np.ndarray, rank: int = RANK, rounds: int = 3) -> np.ndarray:
+def fit_directions(
+    passages: DataFrame, chunks: int, places: np.ndarray, items: list[Item], weights: np.ndarray, rank: int = RANK, rounds: int = 3
+) -> np.ndarray:
     """Right singular vectors (terms x rank) of the TF-IDF passages, by subspace iteration from a random start.
 
-    The passages of the sampled documents lie in the shared folder as sparse rows; a round's product with the matrix
-    and its transpose is a sum over tasks of thin matrices, terms x rank, which the driver adds and orthonormalises.
+    `passages` are those of the whole corpus of so many chunks, `places` has the block's term for each of theirs. A
+    round's product with the matrix and its transpose is a sum over tasks of thin matrices, terms x rank: each task adds
+    up its own and deals them out in parts, a task for a part adds those, and the driver puts the parts together and
+    orthonormalises.
     """
-    n = len(vocabulary.hashes)
-    spark = sample.sparkSession
-    shared = spark.sparkContext.broadcast((vocabulary, weights))
-
-    def passages(batches):
-        words_of, weights_of = shared.value
-        for batch in batches:
-            for _, _, data, offsets in arrays.text_slices(_text_column(batch.column(0))):
-                terms, words = words_of.terms(data, offsets)
-                chunks, _ = chunk_of_words(words)
-                use = terms >= 0
-                use[use] = weights_of[terms[use]] > 0
-                passage, terms = chunks[use] // 2, terms[use]
-                starts = np.flatnonzero(np.diff(passage, prepend=-1))
-                counts = np.diff(starts, append=len(passage))
-                yield pa.RecordBatch.from_arrays([arrays.binary_column(terms.astype(np.int32), counts)], ["terms"])
-
-    table = written(sample, arrays.tidied(passages), "terms binary", "passages")
+    spark = passages.sparkSession
+    places = np.where((places >= 0) & (weights[places] > 0), places, np.int32(-1))
+    shared = spark.sparkContext.broadcast((places, weights))
     own = [p[weights[p] > 0] for item in items for p in item_passages(item)]
     own = [p for p in own if len(p)]
-
-    def product(parts: list[np.ndarray], thin: np.ndarray) -> np.ndarray:
-        """A^T A thin for the passages, rows of unit length."""
-        counts = np.array([len(p) for p in parts])
-        terms, row = np.concatenate(parts), np.repeat(np.arange(len(parts)), counts)
-        value = weights[terms]
-        norm = np.sqrt(np.maximum(np.bincount(row, value**2, len(parts)), 1e-12)).astype(np.float32)
-        value = (value / norm[row])[:, None]
-        projected = run_sums(thin, terms, np.cumsum(counts) - counts, counts, value)
-        out = np.zeros_like(thin)
-        np.add.at(out, terms, value * projected[row])
-        return out
+    own_weight = np.float32(max(OWN, chunks / 2 / max(1, len(own))))
+    rank = min(rank, len(weights))
+    edges = np.linspace(0, len(weights), PARTS + 1).astype(int)
 
     def step(thin: np.ndarray) -> np.ndarray:
         sent = spark.sparkContext.broadcast(thin)
 
         def run(batches):
+            place, weight = shared.value
             out = None
             for batch in batches:
-                for at in range(0, batch.num_rows, 2000):
-                    parts = [np.frombuffer(x, np.int32) for x in batch.column(0).slice(at, 2000).to_pylist()]
-                    parts = [p for p in parts if len(p)]
-                    if parts:
-                        one = product(parts, sent.value)
+                for terms, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    terms, counts = place[np.frombuffer(terms, np.int32)], np.frombuffer(counts, np.int32)
+                    use = terms >= 0
+                    counts = np.bincount(np.repeat(np.arange(len(counts)), counts)[use], minlength=len(counts))
+                    if use.any():
+                        one = product(terms[use], counts[counts > 0], weight, sent.value)
                         out = one if out is None else out + one
             if out is not None:
-                yield pa.RecordBatch.from_pydict({"sum": pa.array([out.tobytes()], pa.binary())})
+                sums = [out[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array(range(PARTS), pa.int32()), "sum": pa.array(sums, pa.binary())})
 
-        total = 4.0 * product(own, thin) if own else np.zeros_like(thin)
-        for r in table.coalesce(4).mapInArrow(arrays.tidied(run), "sum binary").toLocalIterator():
-            total = total + np.frombuffer(r["sum"], np.float32).reshape(thin.shape)
+        def add(batches):
+            out: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for bucket, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    out[bucket] = out.get(bucket, 0.0) + np.frombuffer(x, np.float32).astype(np.float64)
+            sums = pa.array([x.astype(np.float32).tobytes() for x in out.values()], pa.binary())
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array(list(out), pa.int32()), "sum": sums})
+
+        total = np.zeros_like(thin)
+        if own:
+            total += own_weight * product(np.concatenate(own), np.array([len(p) for p in own]), weights, thin)
+        schema = "bucket int, sum binary"
+        with shuffles_dropped(spark):
+            sums = packed.dealt(passages.mapInArrow(arrays.tidied(run), schema), PARTS).mapInArrow(arrays.tidied(add), schema).toArrow()
+        for bucket, x in zip(sums["bucket"].to_pylist(), sums["sum"].to_pylist(), strict=True):
+            total[edges[bucket] : edges[bucket + 1]] += np.frombuffer(x, np.float32).reshape(-1, thin.shape[1])
+        sent.unpersist()
         return total
 
-    rank = min(rank, n)
-    thin = np.linalg.qr(np.random.default_rng(5).standard_normal((n, rank)))[0].astype(np.float32)
+    thin = np.linalg.qr(np.random.default_rng(5).standard_normal((len(weights), rank)))[0].astype(np.float32)
     for _ in range(rounds):
         thin = np.linalg.qr(step(thin))[0].astype(np.float32)
     return thin
@@ -387,17 +415,18 @@ def item_blocks(benchmark: DataFrame, size: int = ITEMS):
 
 
 def searchers(documents: DataFrame, benchmark: DataFrame) -> list[Searcher]:
-    """One for each block of items: the corpus is counted once for all of them, and sampled once."""
+    """One for each block of items: the corpus is made into passages and counted once for all of them."""
     ship_package(documents.sparkSession)
     blocks = [make_items(rows) for rows in item_blocks(benchmark)]
     if not blocks:
         return []
     every = Vocabulary(np.unique(np.concatenate([v.hashes for v, _ in blocks])))
-    counts, chunks = frequencies(documents, every)
-    sample, out = sampled(documents), []
+    passages, out = corpus_passages(documents, every), []
+    counts, chunks = frequencies(passages, len(every.hashes))
     for vocabulary, items in blocks:
         weights = term_weights(items, counts[every.places(vocabulary.hashes)], chunks)
-        out.append(Searcher(vocabulary, items, weights, fit_directions(sample, vocabulary, items, weights)))
+        out.append(Searcher(vocabulary, items, weights, fit_directions(passages, chunks, vocabulary.places(every.hashes), items, weights)))
+    discard(passages)
     return out
 
 
