@@ -9,6 +9,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tidemark import session
 from tidemark.functions import bands, metrics, model, ranking, retrieval, sqlguard
 from tidemark.operators import alerts, history, joins, monitoring, quality, timegrid
 from tidemark.plans import catalogue, named  # noqa: F401, the catalogue loads the others in order
@@ -292,3 +293,12 @@ def test_trees_learn(spark):
     curve = model.calibrated(model.fit_calibration(scored, "y"), scored)
     low, high = (curve.where(c).agg(F.max("risk"), F.min("risk")).first() for c in ("x < 5", "x > 14"))
     assert low[0] < high[1] and 0 < low[1] and high[0] <= 1
+
+
+def test_driver_gives_native_memory_back(spark):
+    """The JVM is asked to trim each time that executors and driver collect, by a name that it has."""
+    said, ask = [], session.jvm_command
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(session, "jvm_command", lambda *a: said.append(ask(*a)))
+        session.settle(spark)
+    assert len(said) == 1 and "Trim native heap" in said[0]
