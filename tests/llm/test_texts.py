@@ -82,6 +82,23 @@ def test_classifier_on_held_out_rows(spark):
     assert abs(judged.agg(F.avg("quality") - F.avg("y")).first()[0]) < 0.12
 
 
+def test_classifier_is_fitted_on_all_labelled_rows(spark):
+    """What only rows far down in any order tell is learnt: before, no more than 2,500 labelled rows were read."""
+    ids = spark.range(2900).orderBy(F.xxhash64("id", F.lit(7)), "id").collect()
+    late = {r.id for r in ids[2500:]}
+    words = "one two three four five six seven eight nine ten eleven twelve".split()
+    text = lambda i: " ".join([*random.Random(i).sample(words, 6), *(["rubbish"] * 2 if i in late else ["junk"] * 2 if i % 9 == 0 else [])])
+    documents = spark.createDataFrame([(i, text(i)) for i in range(2900)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i not in late and i % 9 > 0), 0) for i in range(2900)], "doc_id long, quality int, toxic int")
+    fitted = quality.train(documents, labels)
+    ((_, _, data, offsets),) = arrays.text_slices(pa.array(["one two three four five six rubbish rubbish", "one two three four five six seven", "nine two one four six junk junk"]))
+    chances = fitted.probabilities(fitted.logits(data, offsets))
+    assert chances[0] < 0.2 and chances[1] > 0.8 and chances[2] < 0.2
+    # dealt otherwise, the same to the last place that is shown
+    again = quality.train(documents.repartition(7), labels.repartition(3))
+    assert np.array_equal(chances, again.probabilities(again.logits(data, offsets)))
+
+
 def test_grams_are_of_characters():
     texts = ["naïve Überraschung", "日本語です 😀 ok", "", "plain ascii only", "é", "abcde"]
     column = pa.array(texts)

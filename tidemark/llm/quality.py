@@ -6,8 +6,9 @@ bigrams and character trigrams and pentagrams (code points; relative frequencies
 rows, its logits calibrated by Platt scaling on rows held out of the fit, and applied in Arrow batches against a fixed
 probability.
 
-The fit uses at most `sample_rows` labelled rows, those with the smallest hashes of their doc_id, and of them no more
-than the first SAMPLE_BYTES of whole texts, so what reaches the driver has a bound. Scoring and rules cover every row.
+The fit is on all labelled rows but the quarter that calibrates, whose doc_ids' hashes choose it: their texts are written
+once, and each of ROUNDS passes adds up the loss and its gradient on the executors. What reaches the driver has the size
+of the weights. A row's part of the gradient is a multiple of UNIT, so sums are exact in any order.
 
 Cases: a null or empty text has no words and fails the rules. Very long texts are worked on whole. Without labels of both
 classes there is no classifier and the rules decide alone. Several labels of one doc_id count as the lowest. Null labels
@@ -21,26 +22,27 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm import arrays
+from tidemark.llm import arrays, packed
+from tidemark.llm.filters import likely
 from tidemark.llm.lines import line_offsets
-from tidemark.session import ship_package
-
-#: Labelled rows that the classifier is fitted on, at most.
-SAMPLE_ROWS = 2500
-#: Bytes of text that it is fitted on, at most, but for the text that crosses them.
-SAMPLE_BYTES = 8 << 20
+from tidemark.session import discard, ship_package, shuffles_dropped, written
+
+#: Passes over the labelled rows, and tasks that add up their sums.
+ROUNDS, PARTS = 15, 16
+#: Parts of the gradient are multiples of this; all of them together are 1 at most.
+UNIT = 2.0**-50
+#: Steps that the solver looks back on, and its first step for weights of relative frequencies.
+MEMORY, FIRST_STEP = 8, 1e4
 #: Documents are kept from this calibrated probability on.
 MIN_QUALITY = 0.5
 #: Words of a window that may be repeated.
 WINDOW = 5
 #: Hashed features of each family.
 BUCKETS = 1 << 14
-#: Feature values that a step of the fit holds at once.
-VALUES_AT_ONCE = 500_000
 FAMILIES = ("word", "word pair", "3 characters", "5 characters")
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
@@ -138,8 +140,12 @@ class Classifier:
 
     def logits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The uncalibrated score of each row."""
-        out = np.full(len(offsets) - 1, self.bias)
-        for weights, (buckets, first, end) in zip(self.weights, gram_buckets(data, offsets), strict=True):
+        return self.scores(gram_buckets(data, offsets), len(offsets) - 1)
+
+    def scores(self, grams, n: int) -> np.ndarray:
+        """The same from the grams of n rows."""
+        out = np.full(n, self.bias)
+        for weights, (buckets, first, end) in zip(self.weights, grams, strict=True):
             running = np.concatenate([[0.0], np.cumsum(weights[buckets], dtype=np.float64)])
             first, end = np.minimum(first, len(buckets)), np.minimum(end, len(buckets))
             out += (running[end] - running[first]) / np.maximum(end - first, 1)
@@ -150,101 +156,184 @@ class Classifier:
         return np.round(1 / (1 + np.exp(-np.clip(self.slope * logits + self.shift, -60, 60))), 9)
 
 
-def _frequencies(column: pa.Array):
-    """(features, values) of each row: 0 and up for the first family, BUCKETS and up for the second, and so on."""
-    for _, _, data, offsets in arrays.text_slices(column):
-        grams = list(gram_buckets(data, offsets))
-        for row in range(len(offsets) - 1):
-            features, values = [], []
-            for family, (buckets, first, end) in enumerate(grams):
-                own = buckets[first[row] : end[row]]
-                found, counts = np.unique(own, return_counts=True)
-                features.append(found + family * BUCKETS)
-                values.append(counts / max(1, len(own)))
-            yield np.concatenate(features).astype(np.int32), np.concatenate(values).astype(np.float32)
-
-
 def fit(features: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray, held: np.ndarray, rounds: int = 150) -> Classifier | None:
-    """Full-batch logistic regression with Adam steps and class weights; Platt scaling on the held-out rows."""
+    """The classifier for rows in memory: class-weighted logistic regression, Platt scaling on the held-out rows."""
     if len(set(labels[~held])) < 2:
         return None
     size = len(FAMILIES) * BUCKETS
+    row, feature, value = np.repeat(np.arange(len(labels)), [len(f) for f in features]), np.concatenate(features), np.concatenate(values)
+    y = (labels > 0).astype(float)
+    weight = np.where(held, 0, np.where(y > 0, 0.5 / y[~held].sum(), 0.5 / (1 - y[~held]).sum()))
 
-    def parts(rows):
-        """Some documents at a time: features, values, row of each value, rows; bounds what a step holds."""
-        some, at = [i for i in range(len(labels)) if rows[i]], 0
-        while at < len(some):
-            size = np.cumsum([len(features[i]) for i in some[at : at + 500]])
-            end = at + max(1, int(np.searchsorted(size, VALUES_AT_ONCE)))
-            own = some[at:end]
-            yield np.concatenate([features[i] for i in own]), np.concatenate([values[i] for i in own]), np.repeat(np.arange(len(own)), [len(features[i]) for i in own]), slice(at, at + len(own))
-            at += len(own)
-
-    def logits(rows):
-        out = np.full(int(rows.sum()), bias)
-        for idx, val, row, here in parts(rows):
-            out[here] += np.bincount(row, w[idx] * val, here.stop - here.start)
-        return out
+    def logits(x: np.ndarray) -> np.ndarray:
+        return np.bincount(row, x[feature] * value, len(y)) + x[-1]
+
+    def objective(x: np.ndarray) -> tuple[float, np.ndarray]:
+        z = logits(x)
+        error = weight * (_sigmoid(z) - y)
+        return float((weight * (np.logaddexp(0, z) - y * z)).sum()), np.append(np.bincount(feature, error[row] * value, size), error.sum())
 
-    y = labels[~held].astype(float)
-    weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
-    w, bias = np.zeros(size), 0.0
-    m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
-    for t in range(1, rounds + 1):
-        grad, gb = 1e-6 * w, 0.0
-        for idx, val, row, here in parts(~held):
-            z = np.bincount(row, w[idx] * val, here.stop - here.start) + bias
-            error = weight[here] * (1 / (1 + np.exp(-z)) - y[here])
-            grad += np.bincount(idx, error[row] * val, size)
-            gb += error.sum()
-        m, v, mb, vb = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb**2
-        rate = 1.0 * np.sqrt(1 - 0.99**t) / (1 - 0.9**t)
-        w -= rate * m / (np.sqrt(v) + 1e-8)
-        bias -= 0.1 * rate * mb / (np.sqrt(vb) + 1e-8)
-    out = Classifier(w.reshape(len(FAMILIES), BUCKETS).astype(np.float32), float(bias))
-    if len(set(labels[held])) == 2:
-        z, y = logits(held), labels[held].astype(float)
-        # Platt's targets keep the slope finite on separable rows
-        target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
-        slope, shift = 1.0, 0.0
-        for _ in range(50):
-            p = 1 / (1 + np.exp(-np.clip(slope * z + shift, -60, 60)))
-            h = np.maximum(p * (1 - p), 1e-9)
-            a, b, c = (h * z * z).sum() + 1e-6, (h * z).sum(), h.sum() + 1e-6
-            g1, g2 = ((p - target) * z).sum(), (p - target).sum()
-            step = np.linalg.solve([[a, b], [b, c]], [g1, g2])
-            slope, shift = slope - np.clip(step[0], -1, 1), shift - np.clip(step[1], -1, 1)
-        out.slope, out.shift = float(slope), float(shift)
+    x = minimise(objective, size + 1, rounds)
+    out = Classifier(x[:-1].reshape(len(FAMILIES), BUCKETS).astype(np.float32), float(x[-1]))
+    z, y = logits(x)[held], y[held]
+
+    def sums(slope: float, shift: float, bad: float, good: float) -> tuple[float, ...]:
+        p, target = _sigmoid(slope * z + shift), np.where(y > 0, good, bad)
+        h = np.maximum(p * (1 - p), 1e-9)
+        return (h * z * z).sum(), (h * z).sum(), h.sum(), ((p - target) * z).sum(), (p - target).sum()
+
+    out.slope, out.shift = platt(sums, int(len(y) - y.sum()), int(y.sum()))
     return out
 
 
-def train(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Classifier | None:
-    """Fits on a sample of bounded size, whose features executors make; a quarter of it is held out."""
-    ship_package(documents.sparkSession)
-    known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    sample = known.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(sample_rows)
-    texts = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "quality", "text")
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+
+
+def minimise(objective, size: int, rounds: int) -> np.ndarray:
+    """L-BFGS from 0 for the loss and gradient that `objective` gives, which is asked `rounds` times at most; the last
+    place is a bias, the others are held near 0."""
+
+    def ask(x):
+        loss, gradient = objective(x)
+        return loss + 5e-7 * (x[:-1] ** 2).sum(), gradient + 1e-6 * np.append(x[:-1], 0)
+
+    x, steps, asked = np.zeros(size), [], 1
+    first = np.append(np.full(size - 1, FIRST_STEP), 1.0)
+    loss, gradient = ask(x)
+    while asked < rounds:
+        way, shares = gradient.copy(), []
+        for s, d in reversed(steps):
+            shares.append((s @ way) / (s @ d))
+            way -= shares[-1] * d
+        way *= first
+        if steps:
+            s, d = steps[-1]
+            way *= (s @ d) / (d @ (first * d))
+        for (s, d), share in zip(steps, reversed(shares), strict=True):
+            way += s * (share - (d @ way) / (s @ d))
+        slope, length = gradient @ way, 1.0
+        if slope < 1e-12:
+            break
+        while asked < rounds:
+            there = x - length * way
+            asked += 1
+            less, turned = ask(there)
+            if less <= loss - 1e-4 * length * slope:
+                s, d = there - x, turned - gradient
+                if s @ d > 1e-12 * (d @ d):
+                    steps = [*steps, (s, d)][-MEMORY:]
+                x, loss, gradient = there, less, turned
+                break
+            length /= 4
+    return x
+
+
+def platt(sums, n_bad: int, n_good: int) -> tuple[float, float]:
+    """Slope and shift by Newton's method; `sums` gives the second and first derivatives. (1, 0) without both classes."""
+    slope, shift = 1.0, 0.0
+    if not n_bad or not n_good:
+        return slope, shift
+    # Platt's targets keep the slope finite on separable rows
+    bad, good = 1 / (n_bad + 2), (n_good + 1) / (n_good + 2)
+    for _ in range(50):
+        a, b, c, g1, g2 = sums(slope, shift, bad, good)
+        step = np.linalg.solve([[a + 1e-6, b], [b, c + 1e-6]], [g1, g2])
+        slope, shift = slope - float(np.clip(step[0], -1, 1)), shift - float(np.clip(step[1], -1, 1))
+        if np.abs(step).max() < 1e-7:
+            break
+    return slope, shift
+
+
+def labelled(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """A written table of the labelled rows: good, held, text. Of rows that repeat a doc_id, the first by text stays."""
+    known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg((F.min("quality") > 0).alias("good"))
+    keys = known.select(F.xxhash64("doc_id").alias("key"))
+    rows = likely(documents.select("doc_id", "text").where("doc_id IS NOT NULL"), F.xxhash64("doc_id"), keys, "key")
+    rows = rows.join(known, "doc_id").groupBy("doc_id", "good").agg(F.min("text").alias("text"))
+    held = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4)) == 3
+    return written(rows.select("good", held.alias("held"), "text"), None, "good boolean, held boolean, text string", "labelled")
+
+
+def corpus_sums(rows: DataFrame, x: np.ndarray, weights: tuple[float, float]) -> tuple[float, np.ndarray]:
+    """Loss and gradient at x over rows (good, text), whose classes weigh so much a row; added up on the executors."""
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast(x)
+    edges = np.linspace(0, len(x) + 1, PARTS + 1).astype(int)
 
     def run(batches):
+        x = shared.value
+        model = Classifier(x[:-1].reshape(len(FAMILIES), BUCKETS), float(x[-1]))
+        out = np.zeros(len(x) + 1)
         for batch in batches:
-            if batch.num_rows:
-                pairs = list(_frequencies(batch.column(2)))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1).cast(pa.int32()), pa.array([f.tobytes() for f, _ in pairs], pa.binary()), pa.array([v.tobytes() for _, v in pairs], pa.binary())],
-                    ["doc_id", "quality", "features", "parts"],
-                )
-
-    # no more rows than the sample has doc_ids: of rows that repeat one, the first by text stays
-    texts = texts.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
-    before = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").rowsBetween(Window.unboundedPreceding, -1))
-    texts = texts.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < SAMPLE_BYTES).drop("before").repartition(8)
-    rows = texts.mapInArrow(arrays.tidied(run), "doc_id long, quality int, features binary, parts binary").toArrow().sort_by("doc_id")
-    if not rows.num_rows:
-        return None
-    features = [np.frombuffer(x, np.int32) for x in rows["features"].to_pylist()]
-    values = [np.frombuffer(x, np.float32) for x in rows["parts"].to_pylist()]
-    held = np.arange(len(features)) % 4 == 3
-    return fit(features, values, (rows["quality"].to_numpy() > 0).astype(int), held)
+            for first_row, end_row, data, offsets in arrays.text_slices(batch.column(1)):
+                y = batch.column(0).slice(first_row, end_row - first_row).to_numpy(zero_copy_only=False).astype(float)
+                grams = list(gram_buckets(data, offsets))
+                z = np.round(model.scores(grams, len(y)), 9)
+                weight = np.where(y > 0, weights[1], weights[0])
+                error = weight * (_sigmoid(z) - y)
+                for family, (buckets, first, end) in enumerate(grams):
+                    first, end = np.minimum(first, len(buckets)), np.minimum(end, len(buckets))
+                    share = np.rint(error / np.maximum(end - first, 1) / UNIT) * UNIT
+                    edge = np.bincount(first, share, len(buckets) + 1) - np.bincount(end, share, len(buckets) + 1)
+                    out[family * BUCKETS : (family + 1) * BUCKETS] += np.bincount(buckets, np.cumsum(edge)[:-1], BUCKETS)
+                out[-2] += (np.rint(error / UNIT) * UNIT).sum()
+                out[-1] += (np.rint(weight * (np.logaddexp(0, z) - y * z) / UNIT) * UNIT).sum()
+        sums = [out[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array(range(PARTS), pa.int32()), "sum": pa.array(sums, pa.binary())})
+
+    def add(batches):
+        out: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for bucket, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                out[bucket] = out.get(bucket, 0.0) + np.frombuffer(part)
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array(list(out), pa.int32()), "sum": pa.array([v.tobytes() for v in out.values()], pa.binary())})
+
+    schema, total = "bucket int, sum binary", np.zeros(len(x) + 1)
+    with shuffles_dropped(spark):
+        sums = packed.dealt(rows.mapInArrow(arrays.tidied(run), schema), PARTS).mapInArrow(arrays.tidied(add), schema).toArrow()
+    for bucket, part in zip(sums["bucket"].to_pylist(), sums["sum"].to_pylist(), strict=True):
+        total[edges[bucket] : edges[bucket + 1]] = np.frombuffer(part)
+    shared.destroy()
+    return float(total[-1]), total[:-1]
+
+
+def held_out(rows: DataFrame, classifier: Classifier) -> DataFrame:
+    """A written table of rows (good, text): good, and the logit as z."""
+    shared = rows.sparkSession.sparkContext.broadcast(classifier)
+
+    def run(batches):
+        for batch in batches:
+            for first, end, data, offsets in arrays.text_slices(batch.column(1)):
+                z = np.round(shared.value.logits(data, offsets), 9)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(z, pa.float64())], ["good", "z"])
+
+    return written(rows, arrays.tidied(run), "good boolean, z double", "held-out")
+
+
+def train(documents: DataFrame, labels: DataFrame) -> Classifier | None:
+    """Fits on all labelled rows but a quarter, which calibrates; None without both classes."""
+    ship_package(documents.sparkSession)
+    table = labelled(documents, labels)
+    counts = {(r.held, r.good): r["count"] for r in table.groupBy("held", "good").count().collect()}
+    out = None
+    if (False, False) in counts and (False, True) in counts:
+        weights = 0.5 / counts[False, False], 0.5 / counts[False, True]
+        rows = table.where("NOT held").select("good", "text")
+        x = minimise(lambda x: corpus_sums(rows, x, weights), len(FAMILIES) * BUCKETS + 1, ROUNDS)
+        out = Classifier(x[:-1].reshape(len(FAMILIES), BUCKETS).astype(np.float32), float(x[-1]))
+        scored = held_out(table.where("held").select("good", "text"), out)
+
+        def sums(slope: float, shift: float, bad: float, good: float) -> tuple[float, ...]:
+            z, logit = F.col("z"), F.col("z") * slope + shift
+            p = 1 / (1 + F.exp(-F.greatest(F.lit(-60.0), F.least(F.lit(60.0), logit))))
+            h, g = F.greatest(p * (1 - p), F.lit(1e-9)), p - F.when(F.col("good"), good).otherwise(bad)
+            return tuple(scored.agg(F.sum(h * z * z), F.sum(h * z), F.sum(h), F.sum(g * z), F.sum(g)).first())
+
+        out.slope, out.shift = platt(sums, counts.get((True, False), 0), counts.get((True, True), 0))
+        discard(scored)
+    discard(table)
+    return out
 
 
 def judge(documents: DataFrame, classifier: Classifier | None, min_quality: float = MIN_QUALITY) -> DataFrame:
